@@ -12,6 +12,7 @@ from timbre.llm.registry import tokenizer_path
 WORDS, BYTES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 ODD = ["", " ", "a", "don't 'S 'll''re", "été ÀÉ œ ﬁ é", "x y\u0085z", "a\x1cb\x00c", "<|endoftext|> x<|startoftext|>", "  two\n\n three \t", "½²3 ٣ 一二", "“q” — 🙂 İ", "\r\n \r", "ſ K"]
 CAPACITY = 64
+bytes_of = vocab.le_bytes
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,8 @@ def test_cached_pieces_equal_the_library(text):
     for path, cut, lower in ((WORDS, vocab.WORD_PIECES, True), (BYTES, vocab.BYTE_PIECES, False)):
         got = vocab.PieceCache(path, cut, lower, list).values([text])[0]
         assert sum(got, []) == vocab.tokenizer(path).encode(text, add_special_tokens=False).ids
+    words = vocab.WordEndCache(WORDS, vocab.WORD_PIECES, True)
+    assert b"".join(words.values([text])[0]) == bytes_of(vocab.tokenizer(WORDS).encode(text, add_special_tokens=False).ids)
 
 
 def rows(spark, texts):

@@ -21,17 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbre.llm.common import checkpointed, only, schema, slices, texts
-from timbre.llm.vocab import WORD_PIECES, PieceCache
+from timbre.llm.vocab import WORD_PIECES, WordEndCache, le_bytes
 
 CAPACITY, END_ID = 2048, 0
 
 _caches: dict = {}
 
 
-def _le_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 def fullest(counts: np.ndarray, room: int) -> list[tuple[int, int]]:
     """(length, copies) of available lengths whose sum comes closest to ``room`` from below.
 
@@ -89,8 +85,8 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _caches:
-            _caches[path] = PieceCache(path, WORD_PIECES, True, _le_bytes)
-        part, seen, end = TaskContext.get().partitionId(), [0] * (capacity + 1), _le_bytes([END_ID])
+            _caches[path] = WordEndCache(path, WORD_PIECES, True)
+        part, seen, end = TaskContext.get().partitionId(), [0] * (capacity + 1), le_bytes([END_ID])
         for batch in slices(batches):
             row, columns = [], [[], [], [], [], []]
             for i, values in enumerate(_caches[path].values(texts(batch.column(1)))):

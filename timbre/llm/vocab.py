@@ -12,17 +12,20 @@ import os
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Latin-1 without control characters other than common white space, and punctuation of U+20xx.
 ODD = re.compile("[^\t\n\v\f\r -~\xa1-\xff‐-‧‰-⁞]")
 L, N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: The pieces of the two pre-tokenisers for texts without odd characters.
-WORD_PIECES = re.compile(f"{CONTRACTIONS}|[{L}]+|[{N}]|[^ \t-\r{L}{N}]+")
-BYTE_PIECES = re.compile(f"{CONTRACTIONS}| ?[{L}]+| ?[{N}]+| ?[^ \t-\r{L}{N}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+#: The pieces of the two pre-tokenisers for texts without odd characters; only contractions and other
+#: punctuation can start alike, so letters, the commonest, are tried first.
+WORD_PIECES = re.compile(f"[{L}]+|{CONTRACTIONS}|[{N}]|[^ \t-\r{L}{N}]+")
+BYTE_PIECES = re.compile(f" ?[{L}]+|{CONTRACTIONS}| ?[{N}]+| ?[^ \t-\r{L}{N}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: A worker forgets the pieces it has met beyond so many.
-CACHE_LIMIT = 500_000
+CACHE_LIMIT = 700_000
 
 _tokenizers: dict = {}
 
@@ -44,7 +47,6 @@ class PieceCache:
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.known = known or {}
         self.memo = dict(self.known)
-        self.looked_up = self.missed = 0
 
     def plain(self, text: str) -> bool:
         return not ODD.search(text) and not any(x in text for x in self.special)
@@ -53,21 +55,48 @@ class PieceCache:
         """For each text: the list of its pieces' values, or of one value for an odd text."""
         if len(self.memo) > CACHE_LIMIT + len(self.known):
             self.memo = dict(self.known)
-        get, cut, out, unknown = self.memo.get, self.cut, [], []
+        memo, cut = self.memo, self.cut
+        get, out, unknown = memo.get, [], []
         for text in texts:
             if not self.plain(text):
                 out.append([self.value(self.library.encode(text, add_special_tokens=False).ids)])
                 continue
             pieces = cut(text.lower() if self.lower else text)
             values = list(map(get, pieces))
-            self.looked_up += len(pieces)
             if None in values:
-                unknown.append((len(out), pieces))
+                unknown += [(values, i, pieces[i]) for i, x in enumerate(values) if x is None]
             out.append(values)
-        if new := list({x for _, pieces in unknown for x in pieces if x not in self.memo}):
-            self.missed += len(new)
-            encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-            self.memo.update((x, self.value(e.ids)) for x, e in zip(new, encoded, strict=True))
-        for i, pieces in unknown:
-            out[i] = list(map(get, pieces))
+        if unknown:
+            new = list({piece for _, _, piece in unknown})
+            memo.update(zip(new, self._encoded(new), strict=True))
+            for values, i, piece in unknown:
+                values[i] = memo[piece]
         return out
+
+    def _encoded(self, pieces: list[str]) -> Iterable:
+        return (self.value(x.ids) for x in self.library.encode_batch_fast(pieces, add_special_tokens=False))
+
+
+class WordEndCache(PieceCache):
+    """For models that mark the last token of each piece and pre-tokenisers that drop white space.
+
+    New pieces are encoded many at a time, as one text, and told apart by the marks. Values are the
+    pieces' ids as little-endian unsigned 32-bit numbers.
+    """
+
+    def __init__(self, path: str, pieces: re.Pattern, lower: bool, mark: str = "</w>"):
+        super().__init__(path, pieces, lower, le_bytes)
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.library.get_vocab().items() if piece.endswith(mark)]] = True
+
+    def _encoded(self, pieces: list[str]) -> Iterable:
+        ids = np.array(self.library.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):  # a piece whose last token has no mark
+            return super()._encoded(pieces)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return (data[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
+def le_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
