@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbre.llm import packing, quality_model, quality_rules, token_counts
+from timbre.llm import fingerprints, packing, quality_model, quality_rules, token_counts
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -36,10 +36,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
