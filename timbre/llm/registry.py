@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timbre.llm import fingerprints, packing, quality_model, quality_rules, token_counts
+from timbre.llm import fingerprints, line_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -36,6 +37,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = sharding.even_tree(8)
+    return sharding.shard(documents(spark, sf_dir), tree, sharding.grown(tree, 8))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"), tally=True)
+    return done.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
@@ -45,6 +60,9 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op7_sharding": op7_sharding,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pii": op9_pii,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
