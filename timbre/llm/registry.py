@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbre.llm import fingerprints, line_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
+from timbre.llm import fingerprints, jaccard, line_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(documents(spark, sf_dir), labels)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_table(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op7_sharding": op7_sharding,
@@ -65,4 +70,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
