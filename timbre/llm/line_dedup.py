@@ -80,12 +80,12 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return later.groupBy("id", "hash").agg(F.array_sort(F.collect_set("k")).alias("gone"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tally: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tally: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the repeated chunks taken out of their texts, other columns as they are.
 
     ``tally`` adds ``n_lines``, ``n_removed_lines`` and ``n_removed_chunks``. A null text stays null and
-    a text without repeated chunks stays as it is; a text of which nothing stays becomes empty. An
-    empty table gives an empty result.
+    a text without repeated chunks stays as it is; a text of which no word stays becomes empty or blank,
+    and its row goes with ``drop_emptied``. An empty table gives an empty result.
     """
     gone = checkpointed(removals(docs, id_col, text_col).select(F.col("id").alias("__timbre_id"), F.col("hash").alias("__timbre_of"), F.col("gone").alias(GONE)))
     joined = docs.withColumn("__timbre_key", F.xxhash64(docs[text_col])).join(
@@ -104,7 +104,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n_gone.cast("long").alias("n_removed_lines"),
             F.when(some, F.size(GONE)).otherwise(0).cast("long").alias("n_removed_chunks"),
         ]
-    return whole.select(*out)
+    done = whole.select(*out, some.alias("__timbre_some"))
+    if drop_emptied:
+        done = done.where(~F.col("__timbre_some") | F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
+    return done.drop("__timbre_some")
 
 
 #: The same for DuckDB over ``documents`` (ids are unique there): the digest of op8.

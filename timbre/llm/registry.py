@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbre.llm import fingerprints, jaccard, line_dedup, packing, pii, quality_model, quality_rules, sharding, token_counts
+from timbre.llm import fingerprints, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, token_counts
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -41,6 +41,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return mixing.mixed(docs, places=True).select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "epoch", "block", "place")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(8)
     return sharding.shard(documents(spark, sf_dir), tree, sharding.grown(tree, 8))
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_source_mixing": op6_source_mixing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
