@@ -104,7 +104,7 @@ def test_filters_lose_no_link(a, b):
     texts = [" ".join(map(str, x)).encode() for x in (a, b)]
     s, t = (shingle_set(x.decode()) for x in texts)
     link = bool(s and t) and 100 * len(s & t) >= 80 * len(s | t)
-    assert jaccard.linked(*texts) == link
+    assert jaccard.Verifier().linked(0, texts[0], 1, texts[1]) == link
     if link:
         x, y = map(jaccard.shingle_hashes, texts)
         assert np.intersect1d(x[: jaccard.prefix_length(len(x))], y[: jaccard.prefix_length(len(y))]).size
@@ -112,6 +112,19 @@ def test_filters_lose_no_link(a, b):
         assert d[0, 1] != jaccard._FAR
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9000), st.integers(0, 3000), st.integers(0, 3000))
+def test_parities_bound_differences(common, own, other):
+    rng = np.random.default_rng(common * 31 + own)
+    h = np.unique(rng.integers(0, 2**63, common + own + other).astype(np.uint64))
+    x, y = h[: common + own], np.concatenate([h[:common], h[common + own :]])
+    p, q = jaccard.parity(x), jaccard.parity(y)
+    d = jaccard.difference(p, q)
+    assert d <= len(np.setxor1d(x, y))
+    matrix = jaccard._distances([p, q, p], np.array([len(x), len(y), len(x)]), 10)
+    assert matrix[0, 1] == matrix[1, 0] and matrix[0, 1] in (d, jaccard._FAR) and matrix[0, 2] in (0, jaccard._FAR)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(90)] + [(200, 200 + i) for i in range(1, 60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]

@@ -9,11 +9,12 @@ the order of their hash; they must also share one under two further orders befor
 * Common tokens are told from sums of each task's most repeated tokens. The list is bounded, and
   any list gives a valid order: it decides how much is compared, not what is found.
 * Groups of up to four sets with a common prefix token give their pairs. In larger groups, which
-  are cut into blocks, 512-bit parity sketches bound the similarity of two sets from above. First
+  are cut into blocks, parity sketches bound the similarity of two sets from above. First
   only the likeliest links that would join a block are verified; then, of all pairs that the bound
   lets through, those between sets that are still apart. So no group's links are all listed, and no
   link between components is missed.
-* Verification compares the shingles themselves, not hashes.
+* Shingles are 64-bit hashes throughout. That two of some thousand in a pair collide has a chance
+  under one in 10^12.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from timbre.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Most common tokens that the first order puts last, and most that a task reports.
-COMMON, COMMON_A_TASK, LEAST_COUNT = 100_000, 20_000, 8
+COMMON, COMMON_A_TASK, LEAST_COUNT = 200_000, 20_000, 8
 SMALL_GROUP, BLOCK = 4, 1000
-BITS = 512
+LEAST_BITS, MOST_BITS = 512, 8192
 #: Rows of an id table that is broadcast (16 bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Multipliers of the further orders.
@@ -83,9 +84,24 @@ def _set_key(hashes: np.ndarray) -> int:
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """Parity of the number of members in each of 512 classes: sets differ in at least as many
-    members as their parities in bits."""
-    return np.packbits(np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the number of members in each of so many classes, at least twice as many as members
+    (up to a bound): sets differ in at least as many members as their parities in bits."""
+    bits = min(max(LEAST_BITS, 1 << (2 * len(hashes) - 1).bit_length()), MOST_BITS)
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def difference(a: bytes, b: bytes) -> int:
+    """Bits in which two parities differ, the longer folded to the shorter: classes are halved by sums."""
+    x, y = (int.from_bytes(p, "little") for p in (a, b))
+    n, m = len(a), len(b)
+    while n > m:
+        n //= 2
+        x = (x >> 8 * n) ^ (x & ((1 << 8 * n) - 1))
+    while m > n:
+        m //= 2
+        y = (y >> 8 * m) ^ (y & ((1 << 8 * m) - 1))
+    return (x ^ y).bit_count()
 
 
 def _binary(column: pa.Array) -> list[bytes]:
@@ -142,6 +158,8 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         late = shared.value
+        maybe = np.zeros(1 << 22, bool)
+        maybe[(late >> np.uint64(42)).astype(np.int64)] = True
         for batch in slices(batches, 2):
             n, nodes, sketches, prefixes = [], [], [], []
             for text in _binary(batch.column(2)):
@@ -157,14 +175,13 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
                     seen.clear()
                 seen.add(node)
                 length = prefix_length(len(hashes), percent)
-                if len(late):
-                    at = np.searchsorted(late, hashes)
-                    at[at == len(late)] = 0
-                    is_late = late[at] == hashes
-                    first = hashes[~is_late][:length]
-                    prefix = np.concatenate([first, hashes[is_late][: length - len(first)]])
-                else:
-                    prefix = hashes[:length]
+                is_late = maybe[(hashes >> np.uint64(42)).astype(np.int64)]
+                if is_late.any():
+                    some = np.flatnonzero(is_late)
+                    at = np.minimum(np.searchsorted(late, hashes[some]), len(late) - 1)
+                    is_late[some] = late[at] == hashes[some]
+                first = hashes[~is_late][:length]
+                prefix = np.concatenate([first, hashes[is_late][: length - len(first)]])
                 sketches.append(parity(hashes))
                 prefixes.append(prefix.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -176,10 +193,23 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
 
 def _distances(parities: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
     """Lower bounds of how many members two sets differ in; _FAR where they cannot be linked."""
-    bits = np.frombuffer(b"".join(parities), np.uint64).reshape(len(parities), -1)
-    out = np.zeros((len(bits), len(bits)), np.uint16)
-    for w in bits.T:
-        out += np.bitwise_count(w[:, None] ^ w[None, :])
+    n = len(parities)
+    out = np.full((n, n), _FAR, np.uint16)
+    lengths = np.array(list(map(len, parities)))
+    for length in np.unique(lengths):  # pairs whose shorter parity has this length
+        rows = np.flatnonzero(lengths >= length)
+        bits = np.zeros((len(rows), length), np.uint8)
+        for k, i in enumerate(rows):
+            p = np.frombuffer(parities[i], np.uint8)
+            while len(p) > length:
+                p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+            bits[k] = p
+        found = np.zeros((len(rows), len(rows)), np.uint16)
+        for w in np.ascontiguousarray(bits).view(np.uint64).T:
+            found += np.bitwise_count(w[:, None] ^ w[None, :])
+        shorter = np.minimum(lengths[rows][:, None], lengths[rows][None, :]) == length
+        view = np.ix_(rows, rows)
+        out[view] = np.where(shorter, found, out[view])
     both = sizes[:, None] + sizes[None, :]
     less, more = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
     out[(out.astype(np.int64) * (100 + percent) > both * (100 - percent)) | (100 * less < percent * more)] = _FAR
@@ -247,22 +277,26 @@ def block_pairs(groups: DataFrame, percent: int, every: bool) -> DataFrame:
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
-def shingles(text: bytes, words: int = WORDS) -> set[tuple[bytes, ...]]:
-    tokens = text.lower().split()
-    width = min(words, len(tokens))
-    return set(zip(*(tokens[i:] for i in range(width)), strict=False))
+class Verifier:
+    """Whether two texts link. A text's hashes under each order are kept while a batch lasts."""
+
+    def __init__(self, words: int = WORDS, percent: int = PERCENT):
+        self.words, self.percent, self.known = words, percent, {}
 
+    def _views(self, key, text: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+        if key not in self.known:
+            h = shingle_hashes(text, self.words)
+            n = prefix_length(len(h), self.percent)
+            self.known[key] = h, [np.sort(_mixed(h * np.uint64(order)))[:n] for order in ORDERS]
+        return self.known[key]
 
-def linked(a: bytes, b: bytes, words: int = WORDS, percent: int = PERCENT) -> bool:
-    """Whether two texts link: prefix tokens shared under each further order, then all shingles."""
-    x, y = shingle_hashes(a, words), shingle_hashes(b, words)
-    for order in ORDERS:
-        firsts = [np.sort(_mixed(h * np.uint64(order)))[: prefix_length(len(h), percent)] for h in (x, y)]
-        if not np.intersect1d(*firsts, assume_unique=True).size:
+    def linked(self, a, x: bytes, b, y: bytes) -> bool:
+        """Prefix tokens shared under each further order, then the shingles."""
+        (s, firsts), (t, others) = self._views(a, x), self._views(b, y)
+        if any(not np.intersect1d(p, q, assume_unique=True).size for p, q in zip(firsts, others, strict=True)):
             return False
-    s, t = shingles(a, words), shingles(b, words)
-    both = len(s & t)
-    return bool(s) and 100 * both >= percent * (len(s) + len(t) - both)
+        both = np.intersect1d(s, t, assume_unique=True).size
+        return 100 * both >= self.percent * (len(s) + len(t) - both)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -284,11 +318,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             a, b, x, y = (c.to_pylist() for c in batch.columns)
-            texts: dict[int, bytes] = {}
-            for key, z in zip(a + b, x + y, strict=True):
-                if key not in texts:
-                    texts[key] = zlib.decompress(z)
-            keep = [i for i, (p, q) in enumerate(zip(a, b, strict=True)) if linked(texts[p], texts[q], words, percent)]
+            texts = {k: zlib.decompress(z) for k, z in {**dict(zip(a, x, strict=True)), **dict(zip(b, y, strict=True))}.items()}
+            found = Verifier(words, percent)
+            keep = [i for i, (p, q) in enumerate(zip(a, b, strict=True)) if found.linked(p, texts[p], q, texts[q])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
     texts = some.select("text").mapInArrow(deflate, "node long, z binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
@@ -314,16 +346,18 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     by_token = Window.partitionBy("token")
     ordered = by_token.orderBy("node")
     nexts = F.array(*(F.lead("node", k).over(ordered) for k in range(1, SMALL_GROUP)))
-    groups = postings.withColumns({"size": F.count("*").over(by_token), "next": nexts}).where("size > 1")
-    groups = checkpointed(groups.select("token", "node", "n_shingles", "size", F.when(F.col("size") <= SMALL_GROUP, F.col("next")).alias("next")))
-    sketches = known.where("parity is not null").select("node", "parity").dropDuplicates(["node"])
-
-    small = groups.where(F.col("next").isNotNull()).select(F.col("node").alias("a"), F.explode("next").alias("b")).where("b is not null").distinct()
-    sized = sketches.join(nodes.select("node", "n_shingles"), "node")
-    side = lambda c: sized.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    sized = postings.withColumns({"size": F.count("*").over(by_token), "next": nexts}).where("size > 1")
+    # a row for each pair of a small group (node, other), and for each member of a large one (token, node)
+    others = F.when(F.col("size") <= SMALL_GROUP, F.filter("next", lambda x: x.isNotNull())).otherwise(F.array(F.lit(None).cast("long")))
+    groups = sized.select("token", "node", "n_shingles", "size", F.explode(others).alias("other"))
+    groups = checkpointed(groups.select("node", F.coalesce("other", "token").alias("with"), F.col("other").isNull().alias("large"), "size", "n_shingles"))
+    sketches = known.where("parity is not null").select("node", "n_shingles", "parity").dropDuplicates(["node"])
+
+    small = groups.where("not large").select(F.col("node").alias("a"), F.col("with").alias("b")).distinct()
+    side = lambda c: sketches.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
     small = _near(small.join(side("a"), "a").join(side("b"), "b"), percent)
-    large = groups.where(F.col("size") > SMALL_GROUP).select("token", "node", "n_shingles", "size")
-    large = checkpointed(large.join(sketches, "node"))
+    large = groups.where("large").select(F.col("with").alias("token"), "node", "n_shingles", "size")
+    large = checkpointed(large.join(sketches.select("node", "parity"), "node"))
 
     first = block_pairs(large.withColumn("root", F.col("node")), percent, every=False)
     tested = checkpointed(small.unionByName(first).distinct())
@@ -347,12 +381,15 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b whose sizes and parities (pa, na, pb, nb) let them link."""
-    bits = F.lit(0)
-    for i in range(0, BITS // 8, 8):
-        words = [F.conv(F.hex(F.substring(p, i + 1, 8)), 16, -10).cast("long") for p in ("pa", "pb")]
-        bits = bits + F.bit_count(words[0].bitwiseXOR(words[1]))
-    less, more = F.least("na", "nb"), F.greatest("na", "nb")
-    return pairs.where((100 * less >= percent * more) & (bits * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, n, m = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if difference(x[i], y[i]) * (100 + percent) <= (n[i] + m[i]) * (100 - percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return fit.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
