@@ -245,19 +245,22 @@ def _units(groups: DataFrame) -> DataFrame:
 
 def block_pairs(groups: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs a < b of the units that may be linked and whose roots differ: all, or the likeliest that
-    would join them."""
+    would join them. In the latter case ``open`` names, in rows of its own, the tokens of units with
+    further pairs."""
 
-    def pairs(unit: list[tuple]) -> list[tuple[int, int]]:
+    def pairs(unit: list[tuple]) -> list[tuple]:
         roots = np.array([r[5] for r in unit], np.int64)
         if (roots == roots[0]).all():
             return []
         nodes = [r[3] for r in unit]
         distance = _distances([r[6] for r in unit], np.array([r[4] for r in unit], np.int64), percent)
-        if every:
-            found = zip(*np.nonzero(np.triu((distance != _FAR) & (roots[:, None] != roots[None, :]))), strict=True)
-        else:
-            found = _likeliest(distance, roots)
-        return [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in found]
+        able = np.triu((distance != _FAR) & (roots[:, None] != roots[None, :]))
+        some = list(zip(*np.nonzero(able), strict=True)) if every else list(_likeliest(distance, roots))
+        found = [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), None) for i, j in some]
+        return found + [(None, None, unit[0][0])] if len(found) < np.count_nonzero(able) else found
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], names=["a", "b", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit: list[tuple] = []
@@ -269,12 +272,12 @@ def block_pairs(groups: DataFrame, percent: int, every: bool) -> DataFrame:
                     unit = []
                 unit.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                yield batch_of(found)
         if unit and (found := pairs(unit)):
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield batch_of(found)
 
     units = _units(groups).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return units.mapInArrow(run, "a long, b long").distinct()
+    return units.mapInArrow(run, "a long, b long, open long").distinct()
 
 
 class Verifier:
@@ -359,13 +362,13 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     large = groups.where("large").select(F.col("with").alias("token"), "node", "n_shingles", "size")
     large = checkpointed(large.join(sketches.select("node", "parity"), "node"))
 
-    first = block_pairs(large.withColumn("root", F.col("node")), percent, every=False)
-    tested = checkpointed(small.unionByName(first).distinct())
+    first = checkpointed(block_pairs(large.withColumn("root", F.col("node")), percent, every=False))
+    tested = checkpointed(small.unionByName(first.where("a is not null").select("a", "b")).distinct())
     links = checkpointed(verified(tested, nodes, rows, words, percent))
     roots = checkpointed(components(links))
-    apart = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = apart.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token")
-    rest = block_pairs(apart.join(mixed, "token", "left_semi"), percent, every=True)
+    apart = large.join(first.where("open is not null").select(F.col("open").alias("token")).distinct(), "token", "left_semi")
+    apart = apart.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = block_pairs(apart, percent, every=True).select("a", "b")
     rest = checkpointed(rest.join(tested, ["a", "b"], "left_anti"))
     more = verified(rest, nodes, rows, words, percent) if rest.take(1) else None
     if more is not None:
