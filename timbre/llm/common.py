@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from timbre.session import checkpointed  # noqa: F401  (operators take it from here)
+
 #: Rows and text bytes that a Python worker turns into objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, so that lost executors cost no rework.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests) gets its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "timbre-checkpoints"))
-    return df.checkpoint()
+def release(*caches) -> None:
+    """Empties caches at the end of a task and gives freed memory back to the system: Python workers
+    live on, and what one stage leaves counts against the next."""
+    for cache in caches:
+        cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def only(df: DataFrame, **names: str) -> DataFrame:
@@ -52,19 +53,10 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def kind(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 def schema(df: DataFrame, ids: list[str], rest: str) -> T.StructType:
     """The given columns of ``df`` as they are, then ``rest`` (DDL)."""
     return T.StructType([df.schema[c] for c in ids] + T._parse_datatype_string(rest).fields)
 
 
-def words_of(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; none of a null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")

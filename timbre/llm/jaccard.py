@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbre.llm.common import checkpointed, schema, slices
+from timbre.llm.common import checkpointed, release, schema, slices
 from timbre.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -40,7 +40,7 @@ LEAST_BITS, MOST_BITS = 512, 8192
 BROADCAST_ROWS = 1_000_000
 #: Multipliers of the further orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_CACHE, _TOKENS = 400_000, 4_000_000
+_CACHE, _TOKENS = 250_000, 2_000_000
 
 _FAR = np.uint16(65535)
 
@@ -143,6 +143,7 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> np.ndarray:
         for at in range(0, len(keep), 10_000):
             k = keep[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[k].view(np.int64)), pa.array(counts[k])], names=["token", "n"])
+        release(_words)
 
     sums = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(COMMON).select("token").toPandas()
@@ -187,6 +188,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=out.names
             )
+        release(_words)
 
     return rows.mapInArrow(run, out)
 
@@ -317,6 +319,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
                 if len(hashes := shingle_hashes(text, words)):
                     found[_set_key(hashes)] = zlib.compress(text, 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "z"])
+        release(_words)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -325,6 +328,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
             found = Verifier(words, percent)
             keep = [i for i, (p, q) in enumerate(zip(a, b, strict=True)) if found.linked(p, texts[p], q, texts[q])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
+        release(_words)
 
     texts = some.select("text").mapInArrow(deflate, "node long, z binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     texts = checkpointed(texts)
