@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder (``spark.checkpoint.dir`` of the session;
+    only a session without one gets its own)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "timbre-checkpoints"))
+    return df.checkpoint()
+
+
 def local_session(name: str = "timbre", cpus: int | str = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; cluster sessions come from spark-submit."""
     spark = (
