@@ -156,7 +156,7 @@ def read_meta_export(spark: SparkSession, path: str) -> DataFrame:
     return _turns(rows, doc_id=F.col("doc"), turn_id=F.col("n"), speaker=_repaired(F.coalesce("m.sender_name", F.lit("unknown"))), text=_repaired(F.col("m.content")), ts=parse_time(F.col("m.timestamp_ms")))
 
 
-def thread_roots(tweets: DataFrame, rounds: int = 32) -> DataFrame:
+def thread_roots(tweets: DataFrame) -> DataFrame:
     """id, root: the first tweet of each thread, by pointer jumping: each round doubles the way looked back.
 
     ``tweets``: id, parent. A parent that isn't there starts a thread; a circle's root is the least id
@@ -165,7 +165,7 @@ def thread_roots(tweets: DataFrame, rounds: int = 32) -> DataFrame:
     there = tweets.select(F.col("id").alias("_p")).distinct()
     ways = tweets.select("id", "parent").join(there, F.col("parent") == F.col("_p"), "left")
     ways = checkpointed(ways.select("id", F.col("_p").alias("up"), F.coalesce("_p", "id").alias("root"), F.least("id", "_p").alias("low")))
-    for _ in range(rounds):
+    for _ in range(tweets.count().bit_length()):  # a way of n steps ends after so many doublings; only circles go on
         open_ways = ways.where("up is not null")
         if not open_ways.take(1):
             break
