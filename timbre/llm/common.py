@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from timbre.session import checkpointed  # noqa: F401  (operators take it from here)
 
 #: Rows and text bytes that a Python worker turns into objects at once.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
 
 def release(*caches) -> None:

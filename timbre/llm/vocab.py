@@ -25,7 +25,7 @@ CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
 WORD_PIECES = re.compile(f"[{L}]+|{CONTRACTIONS}|[{N}]|[^ \t-\r{L}{N}]+")
 BYTE_PIECES = re.compile(f" ?[{L}]+|{CONTRACTIONS}| ?[{N}]+| ?[^ \t-\r{L}{N}]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 #: A worker forgets the pieces it has met beyond so many.
-CACHE_LIMIT = 450_000
+CACHE_LIMIT = 400_000
 
 _tokenizers: dict = {}
 
