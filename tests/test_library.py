@@ -240,11 +240,16 @@ def test_run_writes_and_gates(spark, tmp_path):
     result.write(str(tmp_path / "out"))
     data = json.loads((tmp_path / "out" / "voice.json").read_text())
     assert data["rules"] and (tmp_path / "out" / "VOICE.md").exists() and result.sft.count() > 0 and result.dpo.count() > 0
-    secret = spark.createDataFrame([("s", 0, "target_host", "the quick secret phrase of nine plain words here today")], TURNS)
-    odd = extract.Result({"name": "x"}, turns)
-    assert odd.exemplars == []
-    rare = privacy.rare_spans(secret, 8, 3)
-    assert privacy.memorisation(spark.createDataFrame([(0, "x the quick secret phrase of nine plain words here")], "key int, text string"), rare, None, 8).count() > 0
+
+
+def test_memorisation_gate(spark, monkeypatch):
+    """A report that quotes a rare passage of a private corpus stops the run."""
+    secret = "the quick secret phrase of nine plain words here today"
+    rows = [(d, t, s, x) for d, t, s, x, _ in evaluate.planted_rows(24)] + [("s", 1, "target_host", secret)]
+    turns = spark.createDataFrame(rows, TURNS)
+    monkeypatch.setattr(exports, "voice_md", lambda name, data: f"As they said: {secret}.")
+    with pytest.raises(extract.MemorisationError):
+        extract.run(turns, Config(bootstrap=20), targets=["target_host"], pairs=False)
 
 
 def test_fidelity_and_curve(spark):

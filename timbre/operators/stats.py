@@ -82,12 +82,25 @@ def hedges_g(values: DataFrame) -> DataFrame:
     return m.select("feature", F.when((na >= 2) & (nb >= 2), F.when(pooled == 0, flat).otherwise(g)).alias("hedges_g"))
 
 
+def upto(rows: DataFrame, by: str, value: str, weight: str, name: str, classes: int = 4096) -> DataFrame:
+    """``rows`` with the running total of ``weight`` in the order of ``value`` within each ``by``, itself
+    included. Values are first put into classes between their least and greatest; totals are taken over
+    the classes (so many rows a group at most) and then inside each, so no task has a whole group."""
+    ends = rows.groupBy(by).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    share = F.try_divide(F.col(value) - F.col("_least"), F.col("_most") - F.col("_least"))
+    rows = rows.join(F.broadcast(ends), by).withColumn("_class", F.floor(F.coalesce(share, F.lit(0.0)) * classes).cast("int")).drop("_least", "_most")
+    sums = rows.groupBy(by, "_class").agg(F.sum(weight).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(by).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1))
+    known = sums.select(by, "_class", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum(weight).over(Window.partitionBy(by, "_class").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(F.broadcast(known), [by, "_class"]).withColumn(name, F.col("_before") + inside).drop("_class", "_before")
+
+
 def cliffs_delta(values: DataFrame) -> DataFrame:
     """feature, cliffs_delta: exact, from counts by distinct value and their running sums."""
     is_a = F.col("grp") == "target"
     by_value = values.groupBy("feature", "value").agg(F.count(F.when(is_a, 1)).alias("a"), F.count(F.when(F.col("grp") == "reference", 1)).alias("b"))
-    below = F.sum("b").over(Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = by_value.withColumn("upto", below)
+    rows = upto(by_value, "feature", "value", "b", "upto")
     total = rows.groupBy("feature").agg(
         F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum(F.col("a") * (F.col("upto") - F.col("b"))).alias("more"), F.sum(F.col("a") * F.col("upto")).alias("more_or_equal")
     )
@@ -149,7 +162,7 @@ def act_profile(df: DataFrame, prefix: str) -> DataFrame:
 def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """One row: area under the ROC curve, ties at half, from counts by distinct score."""
     by = scored.groupBy(score).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) != 1, 1)).alias("n"))
-    rows = by.withColumn("below", F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
+    rows = upto(by.withColumn("_all", F.lit(0)), "_all", score, "n", "upto").withColumn("below", F.col("upto") - F.col("n"))
     return rows.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
