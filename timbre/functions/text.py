@@ -12,10 +12,6 @@ from timbre.functions import lexicons as L
 U = "(?U)"  # \w, \s and \b over all of Unicode
 
 
-def lit_regex(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from timbre.functions import text as T
-from timbre.operators.corpus import draw
 
 #: A bootstrap draws whole conversations; more than so many are first put into this many random groups.
 MAX_CLUSTERS = 2000

@@ -112,8 +112,6 @@ def features(names: list[str], source: str, keys: str, rounded: bool = True) ->
 TURNS = "SELECT conv_id AS doc_id, turn AS turn_id, role AS speaker, text AS t FROM conversations"
 DOCUMENTS = "SELECT doc_id, coalesce(text, '') AS t FROM documents"
 
-PREVIOUS = """SELECT *, last_value(CASE WHEN lag_speaker <> speaker THEN turn_id - 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY turn_id ROWS UNBOUNDED PRECEDING) AS x FROM (
-  SELECT conv_id AS doc_id, turn AS turn_id, role AS speaker, text AS t, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS lag_speaker FROM conversations)"""
 #: Turns with what they answer, by a correlated look-up: the latest earlier turn by someone else.
 CONTEXT = """SELECT a.conv_id AS doc_id, a.turn AS turn_id, a.role AS speaker, a.text AS t, b.turn AS prev_turn_id, b.role AS prev_speaker, b.text AS p
 FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = (SELECT max(c.turn) FROM conversations c WHERE c.conv_id = a.conv_id AND c.turn < a.turn AND c.role <> a.role)"""

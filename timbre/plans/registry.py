@@ -613,6 +613,48 @@ def thread_rebuild(spark, d):
     return thread_roots(spark.createDataFrame(_TWEETS, "id long, parent long"))
 
 
+_CHAT = "12/03/2025, 10:01 - Sam: hi there\ncontinued\n12/03/2025, 10:02 pm - Ella: hey!\n12/03/2025, 10:03 - Ella: <Media omitted>\n[13/3/25, 9:05:07] Sam: bye"
+
+
+@query(D.values("turn_id, speaker, text, ts", [(0, "Sam", "hi there\ncontinued", "2025-03-12 10:01:00"), (1, "Ella", "hey!", "2025-03-12 22:02:00"), (2, "Sam", "bye", None)]))
+def whatsapp_parse(spark, d):
+    from timbre.sources.readers import whatsapp_turns
+
+    rows = whatsapp_turns(spark.createDataFrame([("chat", _CHAT)], "stem string, value string"))
+    return rows.select("turn_id", "speaker", "text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+_BOOK = "head\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nCHAPTER I.\n\nHe walked home slowly, “Come in,” she said to him.\n\nThe rain fell\nall night long.\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\ntail"
+
+
+@query(D.values("turn_id, speaker, text", [(0, "ann:narration", "He walked home slowly, she said to him"), (1, "ann:dialogue", "Come in,"), (2, "ann:narration", "The rain fell all night long")]))
+def prose_split(spark, d):
+    from timbre.sources.readers import prose_turns
+
+    return prose_turns(spark.createDataFrame([("ann__1", _BOOK)], "stem string, value string")).select("turn_id", "speaker", "text")
+
+
+_PLAIN = [("mail x.y@z.org now", "mail <EMAIL_ADDRESS> now"), ("see https://x.org/a b", "see <URL> b"), ("from 10.0.0.1 on", "from <IP_ADDRESS> on"), ("at SW1A 1AA", "at <UK_POSTCODE>"), ("nothing", "nothing")]
+
+
+@query(D.values("i, masked", [(i, m) for i, (_, m) in enumerate(_PLAIN)]))
+def pii_replace_plain(spark, d):
+    """The replacements that need no numbering, as one column expression."""
+    return _texts(spark, [t for t, _ in _PLAIN]).select("i", privacy.pii_replaced(F.col("text")).alias("masked"))
+
+
+@query(D.values("i, act", [(0, "ask"), (1, "say"), (2, "say")]))
+def top_act_golden(spark, d):
+    rows = spark.createDataFrame([(0, 0.9, 0.1, 0.9), (1, 0.2, 0.7, 0.9), (2, 0.5, 0.5, 0.9)], "i int, act_ask double, act_say double, act_confidence double")
+    return rows.select("i", context.top_act(rows).alias("act"))
+
+
+@query("""WITH s AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round(0.5 / (1 + exp(-a)) + 0.5 / (1 + exp(-20 * b)), 6) AS score FROM s""")
+def combined_score(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
+    return r6(e.select("vec_id", scorer.combined(scorer.sigmoid(F.col("a")), F.col("b")).alias("score")))
+
+
 @query(f"SELECT page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g'))::INT AS chars, {D.rx_count('html', 'https?://[^\\s\"<>]+')}::INT AS links FROM pages")
 def page_cleaning(spark, d):
     p = table(spark, d, "pages")

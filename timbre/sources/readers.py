@@ -90,7 +90,12 @@ def read_csv(spark: SparkSession, path: str, text_col: str = "text", speaker_col
 
 def read_prose(spark: SparkSession, path: str, speaker: str | None = None, split_dialogue: bool = True) -> DataFrame:
     """A book or article: paragraphs are turns, quoted speech apart from narration unless asked otherwise."""
-    rows = _whole(spark, path)
+    return prose_turns(_whole(spark, path), speaker, split_dialogue)
+
+
+def prose_turns(files: DataFrame, speaker: str | None = None, split_dialogue: bool = True) -> DataFrame:
+    """Turns of whole files: stem, value."""
+    rows = files
     body = F.when(F.col("value").rlike(BOOK_START), F.regexp_replace(F.regexp_replace("value", BOOK_START, ""), BOOK_END, "")).otherwise(F.col("value"))
     paragraphs = F.transform(F.split(body, r"\n\s*\n"), lambda p: T.strip(F.regexp_replace(p, r"(?U)\s+", " ")))
     kept = F.filter(paragraphs, lambda p: (F.char_length(p) > 1) & ~p.rlike(HEADING))
@@ -121,7 +126,12 @@ def read_prose_dir(spark: SparkSession, path: str, block: int = 25, narration_on
 
 def read_whatsapp(spark: SparkSession, path: str) -> DataFrame:
     """A chat export; lines that start no message continue the one before. Times with am and pm are read so."""
-    rows = _whole(spark, path).select("stem", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    return whatsapp_turns(_whole(spark, path))
+
+
+def whatsapp_turns(files: DataFrame) -> DataFrame:
+    """Turns of whole exports: stem, value."""
+    rows = files.select("stem", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     line = F.regexp_replace("line", "^‎+|‎+$", "")
     rows = rows.withColumn("head", F.when(line.rlike(CHAT_LINE), line))
     part = lambda i: F.regexp_extract("head", CHAT_LINE, i)
