@@ -277,3 +277,26 @@ def test_backends(spark):
     made = backends.with_model(df, lambda s: pd.DataFrame({"sentiment": s.str.len()}), ["sentiment", "missing"]).first()
     assert made.sentiment == 15 and made.missing is None
     assert backends.without_model(df, ["tree_depth_mean"]).first().tree_depth_mean is None
+
+
+def test_model_outputs(spark):
+    import pandas as pd
+
+    from timbre import backends
+
+    long = "One sentence here. " * 200
+    parts = backends.chunks(long)
+    assert all(len(x) <= backends.CHUNK for x in parts) and " ".join(parts) == long.strip() and backends.chunks("") == [""]
+    assert all(len(x) <= 10 for x in backends.chunks("x" * 35, 10))
+    share = backends.chunked(lambda s: pd.DataFrame({"a": s.str.count("a") / s.str.len().clip(lower=1)}), 8)(pd.Series(["aaaa bbbb cccc", "", None]))
+    assert share["a"].tolist() == pytest.approx([4 / 13, 0, 0], abs=0.05)
+    df = spark.createDataFrame([(0.7, 0.1, 0.3, 1.0, 0.0, 0.2, 0.9)], "social_offer_p double, social_greet_p double, emotion_joy_p double, cue_greet double, cue_offer double, ask_p double, say_p double")
+    row = backends.one_act(backends.flags(backends.social_acts(df, ["offer", "greet"]), "emotion_"), ["ask", "say"]).first()
+    assert (row.social_offer, row.social_greet, row.emotion_joy, row.act_ask, row.act_say, row.act_confidence) == (1, 1, 1, 0, 1, 0.9)
+
+
+def test_attribution(spark):
+    rows = [(d, t, s, x) for d, t, s, x, _ in evaluate.planted_rows(90)]
+    got = evaluate.attribution(spark.createDataFrame(rows, TURNS), n_speakers=3, least=30, most=80, exclude=("guest_0",))
+    assert got["speakers"] == 3 and got["surface"]["per_turn"] > got["chance"] and got["surface"]["chunks"] > 0
+    assert 0 <= got["style"]["per_turn"] <= 1 and got["full"]["per_10_turns"] >= got["chance"]

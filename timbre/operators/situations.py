@@ -59,7 +59,7 @@ def keywords(rows: DataFrame, top: int = 8, by: str = "cluster") -> DataFrame:
     sizes = tf.groupBy(by).agg(F.sum("v").alias("n"), F.count("*").alias("terms"))
     mean = sizes.agg(F.avg("n").alias("avg"))
     totals = tf.groupBy("term").agg(F.sum("v").alias("total"))
-    scored = tf.join(F.broadcast(sizes), by).join(F.broadcast(mean)).join(totals, "term").where((F.col("v") >= 2) | (F.col("terms") < 30))
+    scored = tf.join(sizes, by).join(F.broadcast(mean)).join(totals, "term").where((F.col("v") >= 2) | (F.col("terms") < 30))
     scored = scored.withColumn("score", F.col("v") / F.col("n") * F.log(1 + F.col("avg") / F.col("total")))
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "term"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= top).select(by, "rank", "term", "score")

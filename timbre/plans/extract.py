@@ -116,6 +116,7 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
 
     data = {
         "name": ", ".join(targets), "corpus": {"turns": n_turns, "train_target": n_train, "heldout_target": n_held}, "rules": all_rules, "contrast": _rows(compared) if has_reference else [], "keyness": keyness,
+        "target_profile": _rows(stats.describe(stats.long(train.where("grp = 'target'"), names))),
         "dialogue": summary, "openers": openers, "social_acts": _rows(stats.act_profile(train.where("grp = 'target'"), "social_")), "richness": _rows(stats.style_richness(train.select("text", F.col("grp").alias("speaker")))),
         "situations": _rows(kinds), "scorer": model, "scorer_eval": evaluation, "privacy": vars(report) if report else None,
         "manifest": {"tier": cfg.tier, "targets": targets, "public_corpus": public, "seed": cfg.seed, "judge": judge.label if judge else None, "config": cfg.as_dict()},
