@@ -16,6 +16,8 @@ from timbre.session import checkpointed  # noqa: F401  (operators take it from h
 
 #: Rows and text bytes that a Python worker turns into objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
+#: Rows that travel between Spark and a Python worker at once.
+BATCH_ROWS = 1000
 
 
 def release(*caches) -> None:
@@ -34,6 +36,13 @@ def only(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(df[v].alias(k) for k, v in names.items()))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after setting the session's Arrow batches to :data:`BATCH_ROWS` rows. A batch is held whole, on
+    both sides, on its way to Python and back; Spark's 10,000 rows of long texts would be gigabytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of bounded rows and text bytes (a longer single text stays whole)."""
     for batch in batches:

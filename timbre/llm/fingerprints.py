@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from timbre.llm.common import only, schema, slices
+from timbre.llm.common import bounded, only, schema, slices
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 763_546_847)
@@ -227,4 +227,4 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=out.names)
 
     types = [to_arrow_type(f.dataType) for f in out.fields]
-    return ordered.select("id", "text", "bucket", "tail").mapInArrow(run, out)
+    return bounded(ordered.select("id", "text", "bucket", "tail")).mapInArrow(run, out)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbre.llm.common import checkpointed, release, schema, slices
+from timbre.llm.common import bounded, checkpointed, release, schema, slices
 from timbre.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -145,7 +145,7 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[k].view(np.int64)), pa.array(counts[k])], names=["token", "n"])
         release(_words)
 
-    sums = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = bounded(rows.select("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(COMMON).select("token").toPandas()
     return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
 
@@ -190,7 +190,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
             )
         release(_words)
 
-    return rows.mapInArrow(run, out)
+    return bounded(rows).mapInArrow(run, out)
 
 
 def _distances(parities: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbre.llm.common import checkpointed, only, schema, slices, texts
+from timbre.llm.common import bounded, checkpointed, only, schema, slices, texts
 from timbre.llm.vocab import WORD_PIECES, WordEndCache, le_bytes
 
 CAPACITY, END_ID = 2048, 0
@@ -104,7 +104,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc
                 names=out.names,
             )
 
-    return rows.mapInArrow(pieces, out)
+    return bounded(rows).mapInArrow(pieces, out)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

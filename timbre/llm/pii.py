@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from timbre.llm.common import only, schema, slices, texts
+from timbre.llm.common import bounded, only, schema, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -260,4 +260,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             columns = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types[1:], strict=True))], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return bounded(rows).mapInArrow(run, out)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbre.llm.common import checkpointed, only, schema, slices
+from timbre.llm.common import bounded, checkpointed, only, schema, slices
 from timbre.llm.statistics import counts
 
 #: Most labelled rows that a classifier is fitted on, taken evenly by a hash of their ids.
@@ -115,7 +115,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             held = [_held_out(i) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array([r.tobytes() for r in x], pa.binary())], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return bounded(rows).mapInArrow(run, out)
 
 
 def train(features_of: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", label_col: str = "quality") -> Forest:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from timbre.llm.common import release, schema, slices
+from timbre.llm.common import bounded, release, schema, slices
 
 SYMBOLS = b"#*$%&|<>"
 BLANK = b" \t\n\v\f\r"
@@ -89,4 +89,4 @@ def measured(df: DataFrame, keep: list[str], text_col: str = "text", prefix: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=out.names)
         release()
 
-    return rows.mapInArrow(run, out)
+    return bounded(rows).mapInArrow(run, out)
