@@ -228,6 +228,17 @@ def test_exemplars_and_pairs(spark):
     assert [tuple(r)[:2] for r in near.collect()] == [(1, 4)]
 
 
+def test_nearest_answers_all_queries(spark):
+    rng = np.random.default_rng(5)
+    vectors, others = rng.integers(-9, 10, (3500, 4)).astype(float), rng.integers(-9, 10, (40, 4)).astype(float)
+    made = lambda m: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    products = vectors @ others.T
+    want = [(i, int(p.argmax()), p.max()) for i, p in enumerate(products)]
+    assert sorted(map(tuple, situations.nearest(made(vectors), made(others)).collect())) == want
+    assert sorted(map(tuple, situations.nearest(made(vectors), made(others), limit=10).collect())) == want[:10]
+    assert situations.nearest(made(vectors).limit(0), made(others)).count() == 0
+
+
 def test_planted_traits_are_recovered(spark):
     got = evaluate.planted(spark, draws=100)
     assert got["recall"] == 1 and got["auc"] > 0.9, got

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from timbre.functions import lexicons as L
 from timbre.functions import text as T
+from timbre.session import checkpointed
 
 #: An embedder adds ``vector`` (ml vectors of length 1) to a table with ``text``.
 Embedder = Callable[[DataFrame], DataFrame]
@@ -75,15 +79,44 @@ def find(turns: DataFrame, seed: int = 7, embedder: Embedder | None = None) -> t
     return found.withColumn("text", F.col("_own")).drop("_own"), situations
 
 
-def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int = 3000) -> DataFrame:
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 3000
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int | None = None) -> DataFrame:
     """key, match, product: for each query the row of greatest dot product; ties by the lesser key.
 
-    At most ``limit`` queries (those of least key) are broadcast as one matrix; rows are compared in
-    batches where they lie, and each task sends its best row a query.
+    Queries are taken in blocks of :data:`QUERY_BLOCK`, each broadcast as one matrix; rows are compared in
+    batches where they lie, and each task sends its best row a query. All queries are answered, or with
+    ``limit`` those of least key; beyond one block, results are written block by block.
     """
-    some = queries.select(key, vector).orderBy(key).limit(limit).toPandas()
-    ids = some[key].to_numpy()
-    matrix = np.stack([np.asarray(v, np.float64) for v in some[vector]]) if len(some) else np.zeros((0, 1))
+    some = queries.select(key, vector)
+    if limit is not None:
+        some = some.orderBy(key).limit(limit)
+    rows, blocks = rows.select(key, vector), _blocks(some)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return _best(_compared(block, rows, key, vector)[0], key)
+    rows, parts = checkpointed(rows), []
+    while block:
+        found, shared = _compared(block, rows, key, vector)
+        parts.append(checkpointed(_best(found, key)))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    return _best(reduce(DataFrame.unionByName, parts), key)  # a key may be in two blocks
+
+
+def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
+    """The queries, a block at a time."""
+    found = queries.toLocalIterator()
+    while block := list(islice(found, QUERY_BLOCK)):
+        yield block
+
+
+def _compared(block: list[Row], rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, Broadcast]:
+    """key, match, product by task for one block of queries, and what was broadcast."""
+    ids = np.array([r[0] for r in block], np.int64)
+    matrix = np.stack([np.asarray(r[1], np.float64) for r in block]) if block else np.zeros((0, 1))
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +133,10 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: st
             top, match = np.where(better, value, top), np.where(better, other, match)
         yield pd.DataFrame({key: ids[top > -np.inf], "match": match[top > -np.inf], "product": top[top > -np.inf]})
 
-    found = rows.select(key, vector).mapInPandas(best, f"{key} long, match long, product double")
+    return rows.mapInPandas(best, f"{key} long, match long, product double"), shared
+
+
+def _best(found: DataFrame, key: str) -> DataFrame:
     order = F.struct("product", (-F.col("match")).alias("m"))
     return found.groupBy(key).agg(F.max_by("match", order).alias("match"), F.max("product").alias("product"))
 
