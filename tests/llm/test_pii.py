@@ -59,6 +59,16 @@ def test_disguises_map_back_to_source_characters():
     assert sorted(text[a:b] for _, a, b in every) == sorted([w for _, _, w in DISGUISED] + ["real@mail.org"])
 
 
+def test_partly_plain_identifiers_are_found_whole():
+    for kind, plain in (("email", "john.doe@example.com"), ("phone", "+493012345678"), ("ip", "10.20.30.40"), ("card", "4111111111111111")):
+        for i, c in enumerate(plain):
+            for hidden in (plain[:i] + chr(ord(c) + 0xFEE0) + plain[i + 1 :], *([plain[:i] + "\u200b" + plain[i:]] if i else [])):
+                base, every = pii.all_spans(f"to {hidden}; now")
+                assert (kind, 3, 3 + len(hidden)) in every and set(base) <= set(every), hidden
+    for hidden in ("john.d\u043ee@example.com", "m\u0430ry.smith@mail.org", "jo\u200bhn@example.com", "bob@example.c\u043em", "bob@mail.ex\u0430mple.com"):
+        assert ("email", 0, len(hidden)) in pii.all_spans(hidden)[1]
+
+
 def test_ordinary_words_stay():
     for text in ("we met at noon", "look at the dot", "one two three", "he is at home dot", "sieben acht neun", "version 1.2.3"):
         assert pii.all_spans(text) == ([], [])

@@ -223,7 +223,7 @@ def _spelled(text: str) -> bool:
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans): a disguised identifier is added where no base span of its kind lies."""
+    """(base spans, all spans): a disguised identifier is added unless it lies inside a base span of its kind."""
     base = base_spans(text)
     plain = normalised(text)
     if plain is None:
@@ -231,7 +231,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     added = []
     for kind, a, b in base_spans(plain.text):
         start, end = plain.back(a, b)
-        if not any(k == kind and s < end and start < e for k, s, e in base):
+        if not any(k == kind and s <= start and end <= e for k, s, e in base):
             added.append((kind, start, end))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if added else base
 
