@@ -69,6 +69,28 @@ def test_partly_plain_identifiers_are_found_whole():
         assert ("email", 0, len(hidden)) in pii.all_spans(hidden)[1]
 
 
+SPELLED = [
+    ("go to one nine two dot one six eight dot zero dot one now", "ip", "one nine two dot one six eight dot zero dot one"),
+    ("go to one nine two.one six eight.zero.one", "ip", "one nine two.one six eight.zero.one"),
+    ("10 dot zero dot 0 dot 1", "ip", "10 dot zero dot 0 dot 1"),
+    ("room nine two one nine two dot one six eight dot 0 dot 1", "ip", "one nine two dot one six eight dot 0 dot 1"),
+    ("eins neun zwei Punkt eins sechs acht Punkt null Punkt eins", "ip", "eins neun zwei Punkt eins sechs acht Punkt null Punkt eins"),
+    ("4111 1111 1111 one one one one", "card", "4111 1111 1111 one one one one"),
+    ("card four one 11 1111 - 1111, 1111", "card", "four one 11 1111 - 1111, 1111"),
+    ("+1 415 555 one two three four", "phone", "+1 415 555 one two three four"),
+    ("+1 (four one five) 555 1234", "phone", "+1 (four one five) 555 1234"),
+    ("call plus five 5 one 2 six 6 seven 7 eight", "phone", "plus five 5 one 2 six 6 seven 7 eight"),
+]
+
+
+def test_spelled_digits_in_groups():
+    for text, kind, what in SPELLED:
+        base, every = pii.all_spans(text)
+        assert (kind, what) in [(k, text[a:b]) for k, a, b in every] and set(base) <= set(every), (text, every)
+    for text in ("one two dot three four", "on two 3 dot four dot five", "three hundred dot one dot two dot three", "nine nine nine dot one dot nine nine nine dot one", "4111 1111 1111 one one one two"):
+        assert pii.all_spans(text) == ([], []), text
+
+
 def test_ordinary_words_stay():
     for text in ("we met at noon", "look at the dot", "one two three", "he is at home dot", "sieben acht neun", "version 1.2.3"):
         assert pii.all_spans(text) == ([], [])

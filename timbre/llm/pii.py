@@ -110,11 +110,19 @@ def _same_width() -> dict[int, str]:
 _table: dict[int, str] = {}
 #: Of Latin-1, only the no-break space and the soft hyphen are rewritten.
 _BEYOND = re.compile("[\xa0\xad\u0100-\U0010ffff]")
-_FEW = 7  #: spelled digits in a row that count as a number
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _GAP = r"(?:[ \t]*[-,.][ \t]*|[ \t]+)"
-_NUMBER = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:(?:{_WORD})\b|[0-9]\b)(?:{_GAP}(?:(?:{_WORD})\b|[0-9]\b)){{{_FEW - 1},}}")
-_TOKEN = re.compile(rf"(?i)\b(?:plus|{_WORD}|[0-9])\b")
+_LOOSE = r"[ \t,.()-]{1,4}"
+_DOT = r"(?:[ \t]*\.[ \t]*|[ \t]+(?:dot|punkt|point|punto)[ \t]+)"
+#: Stretches of digits: spelled and single ones, or spelled ones among groups, their gaps to be left out.
+_NUMBER = re.compile(rf"(?i)(?:\bplus{_GAP})?\b(?:(?:{_WORD})\b|[0-9]\b)(?:{_GAP}(?:(?:{_WORD})\b|[0-9]\b))+")
+_GROUPS = re.compile(rf"(?i)(?:\bplus{_LOOSE})?\b(?:(?:{_WORD})|[0-9]+)\b(?:{_LOOSE}(?:(?:{_WORD})|[0-9]+)\b)+")
+#: Long stretches alone, so that shorter ones beside them don't lengthen what they say; then all.
+_STRETCHES = ((_NUMBER, 7, 3), (_NUMBER, 2, 2), (_GROUPS, 2, 2))
+_PART = rf"(?:(?:{_WORD})|[0-9]{{1,3}})\b(?:[ \t-]{{1,2}}(?:(?:{_WORD})|[0-9]{{1,3}})\b){{0,2}}"
+_PARTS = re.compile(rf"(?i)\b{_PART}(?:{_DOT}{_PART}){{3}}")
+_DOTS = re.compile(rf"(?i){_DOT}")
+_TOKEN = re.compile(rf"(?i)\b(?:plus|{_WORD}|[0-9]+)\b")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _REWRITES = [
     ("@", re.compile(rf"(?i)[ \t]*{_OPEN}[ \t]*(?:at|@|arroba|arobase)[ \t]*{_CLOSE}[ \t]*")),
@@ -125,6 +133,7 @@ _ADDRESS = re.compile(r"(?i)\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+|@)[A-Za-z0-
 _NUMBERS_DOT = re.compile(r"(?i)\b[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}\b")
 _SPACED = re.compile(r"(?i)[ \t]+(at|dot)[ \t]+")
 _HINT = re.compile(r"[\[({<][ \t]*(?:[aA]|[dD]|[pP]|@|\.)|[ \t](?:dot|DOT|Dot|at|AT|At)[ \t]")
+_DOT_HINT = re.compile(r"[\[({<][ \t]*(?:[dD]|[pP]|\.)|[ \t](?:dot|DOT|Dot)[ \t]")
 _invisible = re.compile(f"[{_INVISIBLE}]")
 
 
@@ -176,8 +185,9 @@ class Plain:
         return (s[0] + a - self.starts[i] if s[2] else s[0]), (e[0] + b - self.starts[j] if e[2] else e[1])
 
 
-def normalised(text: str) -> Plain | None:
-    """The plain form, or None for a text that has no disguise."""
+def normalised(text: str) -> list[Plain]:
+    """The plain forms, none for a text that has no disguise: without what is spelled, then with spelled
+    digits rewritten, in turn, as parts of an address, next to each other, and among groups of digits."""
     plain, changed = Plain(text), False
     if _BEYOND.search(text):
         if not _table:
@@ -187,52 +197,99 @@ def normalised(text: str) -> Plain | None:
             plain.text, changed = same, True
         if _invisible.search(same):
             plain, changed = plain.rewrite([(*m.span(), "") for m in _invisible.finditer(same)]), True
-    if _HINT.search(plain.text):
+    hint = _HINT.search(plain.text)
+    dotted = hint and _DOT_HINT.search(plain.text)
+    worded = plain
+    if hint:
         for new, pattern in _REWRITES:
             if edits := [(*m.span(), new) for m in pattern.finditer(plain.text)]:
                 plain, changed = plain.rewrite(edits), True
+        worded = plain
         for pattern in (_ADDRESS, _NUMBERS_DOT):
             edits = [(*m.span(), "@" if m[1].lower() == "at" else ".") for whole in pattern.finditer(plain.text) for m in _SPACED.finditer(plain.text, *whole.span())]
             if edits:
                 plain, changed = plain.rewrite(edits), True
-    if _spelled(plain.text):
-        edits = []
-        for whole in _NUMBER.finditer(plain.text):
-            at, words = whole.start(), 0
-            inside = []
-            for m in _TOKEN.finditer(plain.text, *whole.span()):
-                word = m.group().lower()
-                words += not word.isdigit()
-                if m.start() > at:
-                    inside.append((at, m.start(), ""))
-                inside.append((*m.span(), "+" if word == "plus" else _SPELLED.get(word, word)))
-                at = m.end()
-            if words >= 3:
-                edits += inside
-        if edits:
-            plain, changed = plain.rewrite(edits), True
-    return plain if changed else None
-
-
-_PAIR = re.compile(rf"(?i)[ \t,.-](?:{_WORD})[ \t,.-]+(?:{_WORD})[ \t,.-]+(?:{_WORD})\b")
-
-
-def _spelled(text: str) -> bool:
-    """Three spelled digits on end: cheap to look for, and rare."""
-    return bool(_PAIR.search(text))
+    forms = [plain] if changed else []
+    spelled = _PAIR.search(plain.text) or _FIRST.match(plain.text)
+    if (spelled or dotted) and (edits := _addresses(worded.text)):
+        forms.append(worded.rewrite(edits))
+    if spelled:
+        forms += [plain.rewrite(edits) for pattern, least, few in _STRETCHES if (edits := _digits(pattern, plain.text, least, few))]
+    return forms
+
+
+#: A spelled digit before another digit: cheap to look for, and rare.
+_PAIR = re.compile(rf"(?i)[\s,.():;-](?:{_WORD})[ \t,.()-]+(?:(?:{_WORD})\b|[0-9])")
+_FIRST = re.compile(rf"(?i)(?:{_WORD})[ \t,.()-]+(?:(?:{_WORD})\b|[0-9])")
+
+
+def _digits(pattern: re.Pattern, text: str, least: int, few: int) -> list[tuple[int, int, str]]:
+    """Edits that write stretches of at least so many tokens and spelled digits as digits without gaps."""
+    edits = []
+    for whole in pattern.finditer(text):
+        tokens = list(_TOKEN.finditer(text, *whole.span()))
+        if len(tokens) >= least and sum(m.group().lower() in _SPELLED for m in tokens) >= few:
+            edits += _written(tokens)
+    return edits
+
+
+def _written(tokens: list[re.Match]) -> list[tuple[int, int, str]]:
+    """Edits that write tokens as digits and leave out what is between them."""
+    edits, at = [], tokens[0].start()
+    for m in tokens:
+        if m.start() > at:
+            edits.append((at, m.start(), ""))
+        word = m.group().lower()
+        edits.append((*m.span(), "+" if word == "plus" else _SPELLED.get(word, word)))
+        at = m.end()
+    return edits
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write four parts with spelled digits, and dots as such or as words, as an address."""
+    edits = []
+    for whole in _PARTS.finditer(text):
+        dots = list(_DOTS.finditer(text, *whole.span()))
+        cuts = [whole.start(), *(x for d in dots for x in d.span()), whole.end()]
+        parts = [list(_TOKEN.finditer(text, a, b)) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        # what stands around the address may look like more of it
+        while len(parts[0]) > 1 and not _byte(parts[0]):
+            parts[0].pop(0)
+        while len(parts[3]) > 1 and not _byte(parts[3]):
+            parts[3].pop()
+        if any(m.group().lower() in _SPELLED for part in parts for m in part):
+            for part, dot in zip(parts, [*dots, None], strict=True):
+                edits += _written(part) + ([(*dot.span(), ".")] if dot else [])
+    return edits
+
+
+def _byte(part: list[re.Match]) -> bool:
+    digits = "".join(_SPELLED.get(m.group().lower(), m.group()) for m in part)
+    return len(digits) <= 3 and int(digits) <= 255
+
+
+def _reach(spans: list[Span]) -> dict[str, tuple[list[int], list[int]]]:
+    """Of each kind the starts in order, and how far spans reach that start there or before."""
+    out: dict[str, tuple[list[int], list[int]]] = {k: ([], []) for k in KINDS}
+    for kind, start, end in sorted(spans, key=lambda x: x[1]):
+        starts, ends = out[kind]
+        starts.append(start)
+        ends.append(max(end, ends[-1]) if ends else end)
+    return out
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans): a disguised identifier is added unless it lies inside a base span of its kind."""
     base = base_spans(text)
-    plain = normalised(text)
-    if plain is None:
-        return base, base
-    added = []
-    for kind, a, b in base_spans(plain.text):
-        start, end = plain.back(a, b)
-        if not any(k == kind and s <= start and end <= e for k, s, e in base):
-            added.append((kind, start, end))
+    added: list[Span] = []
+    for plain in normalised(text):
+        known = _reach(base + added)
+        for kind, a, b in base_spans(plain.text):
+            start, end = plain.back(a, b)
+            starts, ends = known[kind]
+            i = bisect_right(starts, start)
+            if not i or ends[i - 1] < end:
+                added.append((kind, start, end))
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if added else base
 
 
