@@ -1,5 +1,6 @@
 """Golden cases and whole runs."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -54,6 +55,17 @@ def test_bootstrap_of_many_conversations_is_bounded(spark, monkeypatch):
     assert 0.45 < r.ci_lo < 0.5 < r.ci_hi < 0.55
 
 
+def test_bootstrap_draws_all_of_many_conversations(spark, monkeypatch):
+    n, draws = 2300, 20
+    df = spark.range(n).select(F.format_string("d%05d", "id").alias("doc_id"), F.lit("target").alias("grp"), F.pmod(F.col("id") * F.col("id"), F.lit(97)).cast("double").alias("x"))
+    picks = [[int(hashlib.md5(f"7:{b}:{i}".encode()).hexdigest()[:8], 16) % n for i in range(n)] for b in range(draws)]
+    want = np.percentile([np.mean([d * d % 97 for d in p]) for p in picks], [2.5, 97.5])
+    for rows in (stats.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(stats, "BROADCAST_ROWS", rows)
+        r = stats.bootstrap_ci(stats.long(df.repartition(7), ["x"]), draws).first()
+        assert (r.ci_lo, r.ci_hi) == pytest.approx(tuple(want), abs=1e-9)
+
+
 def test_keyness(spark):
     rows = [("target", "cheers mate that is great")] * 30 + [("reference", "thank you that is great")] * 30
     found = stats.keyness(spark.createDataFrame(rows, "grp string, text string")).collect()

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from timbre.functions import text as T
+from timbre.session import checkpointed
 
-#: A bootstrap draws whole conversations; more than so many are first put into this many random groups.
+#: Up to so many conversations are numbered in one task, more of them by ranges of ids: the same numbers.
 MAX_CLUSTERS = 2000
+#: Rows of sums by conversation that a bootstrap broadcasts, and draws of a task.
+BROADCAST_ROWS, TASK_DRAWS = 500_000, 2_000_000
 NOT_FEATURES = ("doc_id", "turn_id", "speaker", "grp", "held", "reply_to", "prev_turn_id", "label")
 
 
@@ -43,28 +46,40 @@ def bootstrap_ci(values: DataFrame, draws: int = 400, seed: int = 7) -> DataFram
     """feature, ci_lo, ci_hi: 95 % interval of the mean, resampling whole conversations with replacement.
 
     Sums by conversation come first, so a draw costs what conversations cost, not turns; draws are
-    MD5 numbers. Fewer than three values, or no draws, give nulls.
+    MD5 numbers, as many of all conversations as there are. Fewer than three values, or no draws, give nulls.
     """
-    docs = values.select("doc_id").distinct()
+    by_doc = checkpointed(values.groupBy("feature", "doc_id").agg(F.sum("value").alias("s"), F.count("*").alias("c")))
+    docs = by_doc.select("doc_id").distinct()
     n_docs = docs.count()
-    if n_docs <= MAX_CLUSTERS:
-        numbered = docs.withColumn("cluster", F.row_number().over(Window.orderBy("doc_id")) - 1)  # at most MAX_CLUSTERS rows
-    else:
-        numbered, n_docs = docs.withColumn("cluster", F.pmod(F.xxhash64("doc_id"), F.lit(MAX_CLUSTERS)).cast("int")), MAX_CLUSTERS
-    sums = values.join(numbered, "doc_id").groupBy("feature", "cluster").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    sizes = values.groupBy("feature").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    sizes = by_doc.groupBy("feature").agg(F.sum("c").alias("n"))
     spark = values.sparkSession
     if not n_docs or not draws:
         return sizes.select("feature", F.lit(None).cast("double").alias("ci_lo"), F.lit(None).cast("double").alias("ci_hi"))
-    grid = spark.range(draws * n_docs).select(F.floor(F.col("id") / n_docs).alias("b"), F.pmod("id", F.lit(n_docs)).alias("i"))
+    sums = by_doc.join(_numbered(docs, n_docs), "doc_id").select("feature", "cluster", "s", "c")
+    if by_doc.count() <= BROADCAST_ROWS:
+        sums = F.broadcast(sums)
+    total = draws * n_docs
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_DRAWS))
+    grid = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / n_docs).alias("b"), F.pmod("id", F.lit(n_docs)).alias("i"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long")
-    picks = grid.select("b", F.pmod(number, F.lit(n_docs)).cast("int").alias("cluster")).groupBy("b", "cluster").agg(F.count("*").alias("times"))
-    means = picks.join(sums, "cluster").groupBy("feature", "b").agg((F.sum(F.col("times") * F.col("s")) / F.greatest(F.sum(F.col("times") * F.col("c")), F.lit(1))).alias("m"))
+    picks = grid.select("b", F.pmod(number, F.lit(n_docs)).alias("cluster"))
+    means = picks.join(sums, "cluster").groupBy("feature", "b").agg((F.sum("s") / F.greatest(F.sum("c"), F.lit(1))).alias("m"))
     ends = means.groupBy("feature").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     enough = F.col("n") >= 3
     return sizes.join(ends, "feature", "left").select("feature", F.when(enough, F.col("lo")).alias("ci_lo"), F.when(enough, F.col("hi")).alias("ci_hi"))
 
 
+def _numbered(docs: DataFrame, n: int) -> DataFrame:
+    """``docs`` with ``cluster``, their numbers from 0 in the order of ``doc_id``; no task has all of many."""
+    if n <= MAX_CLUSTERS:
+        return docs.withColumn("cluster", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)
+    ranges = checkpointed(docs.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    firsts = ranges.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("doc_id"))
+    return ranges.join(F.broadcast(firsts), "_part").select("doc_id", (F.col("_before") + inside - 1).alias("cluster"))
+
+
 def _sides(values: DataFrame) -> tuple[Column, Column]:
     v = F.col("value")
     return F.when(F.col("grp") == "target", v), F.when(F.col("grp") == "reference", v)
