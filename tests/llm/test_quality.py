@@ -43,22 +43,48 @@ def brute_fences(rows, min_group):
     g = quality_rules.GAMMA
 
     def quantile(values, q):
-        buckets = sorted(-math.inf if v <= 0 else math.ceil(math.log(v) / math.log(g)) for v in values)
-        b = buckets[math.ceil(q * len(buckets)) - 1]
-        return 0.0 if b == -math.inf else 2 * g**b / (g + 1)
+        b = sorted(math.ceil(math.log(v) / math.log(g)) for v in values)[math.ceil(q * len(values)) - 1]
+        return 2 * g**b / (g + 1)
 
     out = {}
     for key in [k for k in groups if len(k) == 2]:
-        use = next(k for k in (key, key[:1], ()) if len(groups[k]) >= min_group or not k)
+        use = groups[next(k for k in (key, key[:1], ()) if len(groups[k]) >= min_group or not k)]
         limits = {}
-        for m, (over, under, above, below) in quality_rules.MEASURES.items():
-            values = [r[over] / max(r[under], 1) for r in groups[use]]
-            lo, mid, hi = (quantile(values, q) for q in (0.1, 0.5, 0.9))
-            limits[m] = (mid - max(below, 4 * (hi - mid)) if below else 0.0, mid + max(above, 4 * (mid - lo)))
+        for m, (over, under, kind) in quality_rules.MEASURES.items():
+            some = [r[over] / max(r[under], 1) for r in use if r[over]]
+            lo, mid, hi = (quantile(some, q) if some else math.inf for q in (0.15, 0.5, 0.85))
+            above = (hi + 5 * (hi - mid)) * g * g if some else math.inf
+            below = (lo - 5 * (mid - lo)) / g / g if some else 0.0
+            if kind == "presence" and some and len(some) <= 0.2 * len(use):
+                above = max(lo / 2, 8 / quantile([r["n_words"] for r in use], 0.5))
+            limits[m] = (below if kind == "range" else 0.0, above)
         out[key] = limits
     return out
 
 
+def test_fences_follow_their_sources(spark):
+    """The same text is kept where its symbols are usual and dropped where they are not."""
+    prose = " ".join(f"word{j}" for j in range(200))
+    code = " ".join(f"name{j}" + " &" * (j % 5 == 0) for j in range(200))
+    rows = [(i, f"{code} {i}", "en", "code") for i in range(300)] + [(1000 + i, f"{prose} {i}", "en", "prose") for i in range(300)]
+    rows += [(2000, code + " x", "en", "code"), (2001, code + " x", "en", "prose")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.verdicts(docs).collect()}
+    assert kept[2000] and not kept[2001] and all(kept[i] for i in (*range(300), *range(1000, 1300)))
+    counted = statistics.measured(docs, ["lang", "source", "text"])
+    limits = {r.source: r for r in quality_rules.fences(quality_rules.sketches(counted)).collect()}
+    assert limits["code"].hi_symbols > limits["prose"].hi_symbols
+    assert limits["code"].hi_word_length != limits["prose"].hi_word_length
+    assert sorted(r.doc_id for r in quality_rules.filtered(docs).select("doc_id").collect()) == sorted(i for i, k in kept.items() if k)
+
+
+def test_fences_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    limits = quality_rules.fences(quality_rules.sketches(statistics.measured(docs, ["lang", "source", "text"]))).toPandas()
+    for m in quality_rules.MEASURES:
+        assert limits[f"hi_{m}"].nunique() > 3, m
+
+
 @pytest.mark.parametrize("min_group", [1, 5, 30])
 def test_verdicts_equal_brute_force(spark, min_group):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -1,10 +1,13 @@
 """Quality rules with adaptive thresholds per language and source.
 
-Fixed limits are replaced by fences around each group's own median, read from quantile sketches. A
-sketch here is a histogram over logarithmic buckets (relative error 1 %): two sketches merge by
-adding their counts, so tasks pre-aggregate, a hot source needs no row to move, and the sketch of a
-language or of everything is the sum of its groups'. Groups with too few rows use their language's
+Fixed limits are replaced by fences read from each group's own quantiles. A sketch here is a
+histogram over logarithmic buckets (relative error 1 %) with a bucket for zero: two sketches merge
+by adding their counts, so tasks pre-aggregate, a hot source needs no row to move, and the sketch of
+a language or of everything is the sum of its groups'. Groups with too few rows use their language's
 fences, and those of a rare language everything's. The fences are then joined to the rows.
+
+Most of these measures are zero in most documents, so quantiles are those of the values above zero
+and the share of zeros counts by itself (:data:`RARE`).
 """
 
 from __future__ import annotations
@@ -18,27 +21,37 @@ from timbre.llm.statistics import COUNTS, measured
 GAMMA = 1.02
 #: Fewest rows of a group with fences of its own.
 MIN_GROUP = 200
-#: Fences lie so many times the distance between median and tenth (ninetieth) percentile from the median,
-SPREAD = 4.0
-#: and at least so far: (numerator, denominator, least distance above, least distance below).
+#: A fence lies so many times the distance between median and outer quantile beyond the outer quantile.
+SPREAD = 5.0
+#: Signs of machine text (``presence``) are out of place in a group where at most this share of the
+#: documents has them: there the fence is half the lower quantile of what those documents have.
+RARE = 0.2
+#: Numerical noise: presence is not judged by less than so many characters in the group's median document.
+NOISE = 8
+#: measure: (numerator, denominator, kind). ``degree`` has a fence above, ``range`` also one below.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 0.3, None),
-    "exclamations": ("n_exclaim", "n_words", 0.3, None),
-    "upper": ("n_upper", "n_letters", 0.3, None),
-    "echo": ("n_echo", "n_words", 0.25, None),
-    "repeats": ("n_repeat_words", "n_words", 0.35, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.5, None),
-    "word_length": ("word_chars", "n_words", 3.5, 2.5),
+    "symbols": ("n_symbols", "n_words", "presence"),
+    "exclamations": ("n_exclaim", "n_words", "presence"),
+    "upper": ("n_upper", "n_letters", "degree"),
+    "echo": ("n_echo", "n_words", "degree"),
+    "dup_lines": ("n_dup_lines", "n_lines", "degree"),
+    "word_length": ("word_chars", "n_words", "range"),
 }
-QUANTILES = {"lo": 0.1, "mid": 0.5, "hi": 0.9}
+#: Sketched for its median alone.
+LENGTH = "length"
+QUANTILES = {"lo": 0.15, "mid": 0.5, "hi": 0.85}
 #: Groups (language and source) whose fences are broadcast; more are joined by a shuffle, where
 #: Spark splits skewed keys.
 BROADCAST_GROUPS = 50_000
+#: Rejected texts (some 30 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_REJECTED = 500_000
 MARK = "__timbre_q_"
 
 
 def _measure(name: str, prefix: str) -> Column:
-    over, under, *_ = MEASURES[name]
+    if name == LENGTH:
+        return F.col(prefix + "n_words").cast("double")
+    over, under, _ = MEASURES[name]
     return F.col(prefix + over) / F.greatest(F.col(prefix + under), F.lit(1))
 
 
@@ -55,7 +68,7 @@ def base_failed(prefix: str = "") -> Column:
 
 def sketches(counted: DataFrame, prefix: str = "", lang: str = "lang", source: str = "source") -> DataFrame:
     """Mergeable sketches: lang, source, measure, bucket, n, of all rows with a word."""
-    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _bucket(_measure(m, prefix)).alias("bucket")) for m in MEASURES)))
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _bucket(_measure(m, prefix)).alias("bucket")) for m in (*MEASURES, LENGTH))))
     rows = counted.where(F.col(f"{prefix}n_words") > 0).select(F.col(lang).alias("lang"), F.col(source).alias("source"), values.alias("v"))
     return rows.groupBy("lang", "source", "v.measure", "v.bucket").agg(F.count("*").alias("n"))
 
@@ -69,19 +82,32 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         part = sketch.select(F.lit(depth).alias("depth"), lang.cast("string").alias("lang"), source.cast("string").alias("source"), "measure", "bucket", "n")
         merged = part if merged is None else merged.unionByName(part)
     merged = merged.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    # quantiles of what is above zero; the zero bucket's count is its own column
     group = Window.partitionBy(*keys, "measure")
-    below = F.sum("n").over(group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = merged.withColumns({"upto": below, "total": F.sum("n").over(group)})
-    value = F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1), F.lit(0.0))
+    above = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(above).over(group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = merged.withColumns({"upto": upto, "some": F.sum(above).over(group)})
+    value = 2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1)
     quantiles = ranked.groupBy(*keys, "measure").agg(
-        F.max("total").alias("rows"), *(F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), value)).alias(name) for name, q in QUANTILES.items())
+        F.sum("n").alias("rows"), F.max("some").alias("some"), *(F.min(F.when(F.col("bucket").isNotNull() & (F.col("upto") >= F.ceil(F.col("some") * q)), value)).alias(name) for name, q in QUANTILES.items())
     )
+    length = quantiles.where(F.col("measure") == LENGTH).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("mid").alias("length"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    quantiles = quantiles.where(F.col("measure") != LENGTH).join(length, same).drop(*(f"_{k}" for k in keys))
+    # a sketch's value is off by 1 %: fences are set wider by its two buckets
+    outer = (F.col("hi") + SPREAD * (F.col("hi") - F.col("mid"))) * GAMMA**2
+    inner = (F.col("lo") - SPREAD * (F.col("mid") - F.col("lo"))) / GAMMA**2
+    rare = F.col("some") <= RARE * F.col("rows")
+    seldom = F.greatest(F.col("lo") / 2, NOISE / F.col("length"))
+    nothing = F.lit(float("inf"))  # no document has any
     limits = []
-    for m, (_, _, above, below_by) in MEASURES.items():
+    for m, (_, _, kind) in MEASURES.items():
         here = F.col("measure") == m
-        limits.append(F.max(F.when(here, F.col("mid") + F.greatest(F.lit(above), SPREAD * (F.col("mid") - F.col("lo"))))).alias(f"hi_{m}"))
-        low = F.col("mid") - F.greatest(F.lit(below_by or 0.0), SPREAD * (F.col("hi") - F.col("mid"))) if below_by else F.lit(0.0)
-        limits.append(F.max(F.when(here, low)).alias(f"lo_{m}"))
+        high = F.when(rare, seldom).otherwise(outer) if kind == "presence" else outer
+        limits.append(F.max(F.when(here, F.coalesce(high, nothing))).alias(f"hi_{m}"))
+        limits.append(F.max(F.when(here, F.coalesce(inner, F.lit(0.0)) if kind == "range" else F.lit(0.0))).alias(f"lo_{m}"))
     wide = quantiles.groupBy(*keys).agg(F.max("rows").alias("rows"), *limits)
     names = [x for m in MEASURES for x in (f"hi_{m}", f"lo_{m}")]
     enough = wide.where((F.col("rows") >= min_group) | (F.col("depth") == 0))
@@ -122,8 +148,85 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, id_col: str = "doc_id"
 
 
 def filtered(docs: DataFrame, min_group: int = MIN_GROUP, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, all columns as they are. Texts are read twice and never shuffled."""
-    counted = measured(docs.select(lang, source, text_col), [lang, source], text_col, MARK)
-    limits = checkpointed(fences(sketches(counted, MARK, lang, source), min_group))
-    done = judged(measured(docs, docs.columns, text_col, MARK), limits, MARK, lang, source)
-    return done.where(F.col(f"{MARK}kept")).select(*docs.columns)
+    """The rows of ``docs`` that pass, all columns as they are.
+
+    Texts are read once for their counts and once to be returned; rows stay in the JVM. Language,
+    source and text decide, so the rejected rows are known by these and two hashes of the text. Null
+    texts and those without words go; null languages and sources are groups of their own; repeated rows
+    count and stay or go together; an empty table stays empty.
+    """
+    hashes = {f"{MARK}h{k}": h(docs[text_col]) for k, h in enumerate((F.xxhash64, F.hash))}
+    keys = ["lang", "source", *hashes]
+    rows = docs.select(docs[lang].cast("string").alias("lang"), docs[source].cast("string").alias("source"), *(h.alias(k) for k, h in hashes.items()), docs[text_col].alias("text"))
+    counted = checkpointed(measured(rows, keys))
+    done = judged(counted, checkpointed(fences(sketches(counted), min_group)))
+    gone = checkpointed(done.where(~F.col("kept")).select(*(F.col(k).alias(f"{MARK}{i}") for i, k in enumerate(keys))).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_REJECTED else gone
+    same = F.col(lang).cast("string").eqNullSafe(F.col(f"{MARK}0")) & F.col(source).cast("string").eqNullSafe(F.col(f"{MARK}1"))
+    for i, k in enumerate(hashes, 2):
+        same &= F.col(k) == F.col(f"{MARK}{i}")
+    return docs.withColumns(hashes).join(gone, same, "left_anti").select(*docs.columns)
+
+
+_VALUES = {m: f"{over} / greatest({under}, 1)" for m, (over, under, _) in MEASURES.items()}
+_STRUCTS = ", ".join(f"{{'measure': '{m}', 'v': ({v})::DOUBLE}}" for m, v in (_VALUES | {LENGTH: "n_words"}).items())
+
+
+def _limit_sql(m: str, kind: str) -> str:
+    outer = f"(hi + {SPREAD} * (hi - mid)) * {GAMMA} * {GAMMA}"
+    high = f"CASE WHEN n_some <= {RARE} * n_rows THEN greatest(lo / 2, {NOISE} / length) ELSE {outer} END" if kind == "presence" else outer
+    low = f"(lo - {SPREAD} * (mid - lo)) / ({GAMMA} * {GAMMA})" if kind == "range" else "0.0"
+    return f"max(coalesce({high}, 'infinity'::DOUBLE)) FILTER (WHERE measure = '{m}') AS hi_{m}, max(coalesce({low}, 0.0)) FILTER (WHERE measure = '{m}') AS lo_{m}"
+
+
+_NAMES = [f"{end}_{m}" for m in MEASURES for end in ("hi", "lo")]
+#: The same for DuckDB over ``documents``: the digest of op4.
+ORACLE = rf"""
+WITH texts AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM texts WHERE len(w) >= 8)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(8) r(k) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         CASE WHEN len(all_lines) = 1 THEN 1 ELSE len(list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) END AS n_lines,
+         CASE WHEN len(all_lines) = 1 THEN 0 ELSE len(list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+           - len(list_distinct(list_filter(all_lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) END::BIGINT AS n_dup_lines,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_echo, len(regexp_extract_all(t, '[A-Z]')) AS n_upper,
+         len(regexp_extract_all(t, '[A-Za-z]|[^\x00-\x7F]')) AS n_letters, len(regexp_extract_all(t, '!')) AS n_exclaim
+  FROM texts LEFT JOIN covered c USING (doc_id)
+), levels AS (
+  SELECT unnest([{{'depth': 0, 'l': NULL, 's': NULL}}, {{'depth': 1, 'l': lang, 's': NULL}}, {{'depth': 2, 'l': lang, 's': source}}]) AS g, m
+  FROM (SELECT lang, source, unnest([{_STRUCTS}]) AS m FROM counted WHERE n_words > 0)
+), buckets AS (
+  SELECT g.depth AS depth, g.l AS lang, g.s AS source, m.measure AS measure, CASE WHEN m.v > 0 THEN ceil(ln(m.v) / ln({GAMMA})) END AS bucket, count(*) AS n
+  FROM levels GROUP BY ALL
+), ranked AS (
+  SELECT *, sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY depth, lang, source, measure ORDER BY bucket NULLS FIRST) AS upto,
+         coalesce(sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY depth, lang, source, measure), 0) AS n_some,
+         sum(n) OVER (PARTITION BY depth, lang, source, measure) AS n_rows FROM buckets
+), quantiles AS (
+  SELECT depth, lang, source, measure, any_value(n_rows) AS n_rows, any_value(n_some) AS n_some,
+         {", ".join(f"min(2 * pow({GAMMA}, bucket) / ({GAMMA} + 1)) FILTER (WHERE upto >= ceil(n_some * {q})) AS {name}" for name, q in QUANTILES.items())}
+  FROM ranked GROUP BY ALL
+), lengths AS (
+  SELECT q.*, l.mid AS length FROM quantiles q JOIN quantiles l
+  ON l.measure = '{LENGTH}' AND l.depth = q.depth AND l.lang IS NOT DISTINCT FROM q.lang AND l.source IS NOT DISTINCT FROM q.source
+), wide AS (
+  SELECT depth, lang, source, max(n_rows) AS n_rows, {", ".join(_limit_sql(m, kind) for m, (_, _, kind) in MEASURES.items())}
+  FROM lengths GROUP BY depth, lang, source
+), fences AS (
+  SELECT o.lang, o.source, {", ".join(f"CASE WHEN o.n_rows >= {MIN_GROUP} THEN o.{c} WHEN l.n_rows >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in _NAMES)}
+  FROM wide o JOIN wide l ON o.depth = 2 AND l.depth = 1 AND l.lang IS NOT DISTINCT FROM o.lang JOIN wide a ON a.depth = 0
+), failing AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND coalesce({" AND ".join(f"({v})::DOUBLE BETWEEN lo_{m} AND hi_{m}" for m, v in _VALUES.items())}, false) AS kept
+FROM failing c LEFT JOIN fences f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
+"""

@@ -76,4 +76,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-ORACLES = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
