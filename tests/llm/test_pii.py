@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -92,10 +93,29 @@ def test_spelled_digits_in_groups():
 
 
 def test_ordinary_words_stay():
-    for text in ("we met at noon", "look at the dot", "one two three", "he is at home dot", "sieben acht neun", "version 1.2.3"):
+    for text in ("we met at noon", "look at the dot", "one two three", "he is at home dot", "sieben acht neun", "version 1.2.3", "look at bbc.co.uk", "we met at amazon.com", "meet at noon dot com", "ask me at example.com", "see it at news dot example dot com"):
         assert pii.all_spans(text) == ([], [])
 
 
+def test_spoken_addresses():
+    for text, what in (
+        ("reach j.doe at example.com", "j.doe at example.com"), ("mail: jane at example.org", "jane at example.org"), ("jane at example dot com", "jane at example dot com"),
+        ("a line\tbob7   at \t mail.example dot net.", "bob7   at \t mail.example dot net"), ("x@mail dot example dot de", "x@mail dot example dot de"),
+        ("a.b  ( at )  example.org", "a.b  ( at )  example.org"),
+    ):
+        assert ("email", what) in [(k, text[a:b]) for k, a, b in pii.all_spans(text)[1]], text
+
+
+def test_long_texts_take_linear_time():
+    n = 250_000
+    units = ["a.", " ", "\t", "a at ", "a dot ", "( ", "( at", "one ", "one  ", "1 ", "+1 ", "1.", "a@", "@", "-", "x at y dot ", "one two dot ", "а", "\u200b", "1 dot ", "+1(", "at ", "."]
+    for unit in units:
+        text = unit * (n // len(unit)) + " at x dot one two"
+        began = time.time()
+        pii.all_spans(text)
+        assert time.time() - began < 12, unit  # in quadratic time hours
+
+
 def test_query(spark):
     rows = [None, "", "a@b.co +1 (555) 123-4567 1.2.3.4", "tie@x.org", "tie@x.org", "1" * 30_000, "a" * 50_000 + "@", DISGUISED[0][0]]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, spans string")

@@ -123,15 +123,21 @@ _PART = rf"(?:(?:{_WORD})|[0-9]{{1,3}})\b(?:[ \t-]{{1,2}}(?:(?:{_WORD})|[0-9]{{1
 _PARTS = re.compile(rf"(?i)\b{_PART}(?:{_DOT}{_PART}){{3}}")
 _DOTS = re.compile(rf"(?i){_DOT}")
 _TOKEN = re.compile(rf"(?i)\b(?:plus|{_WORD}|[0-9]+)\b")
-_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_REWRITES = [
-    ("@", re.compile(rf"(?i)[ \t]*{_OPEN}[ \t]*(?:at|@|arroba|arobase)[ \t]*{_CLOSE}[ \t]*")),
-    (".", re.compile(rf"(?i)[ \t]*{_OPEN}[ \t]*(?:dot|\.|punkt|point|punto)[ \t]*{_CLOSE}[ \t]*")),
-]
-#: Words for at and dot without brackets count only in a whole address.
-_ADDRESS = re.compile(r"(?i)\b[A-Za-z0-9._%+-]+(?P<at>[ \t]+at[ \t]+|@)[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)*[ \t]+dot[ \t]+[A-Za-z]{2,}\b|\b[A-Za-z0-9._%+-]+[ \t]+at[ \t]+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)\b")
-_NUMBERS_DOT = re.compile(r"(?i)\b[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}\b")
-_SPACED = re.compile(r"(?i)[ \t]+(at|dot)[ \t]+")
+#: Brackets are entered at the opening one; blanks around them are taken by hand, each run once.
+_BRACKETED = re.compile(r"(?i)[\[({<][ \t]*(?:(at|@|arroba|arobase)|dot|\.|punkt|point|punto)[ \t]*[\])}>]")
+#: A spoken at is entered at the start of the blanks before it, and what follows is read from there.
+_AT = re.compile(r"(?i)(?<![ \t])[ \t]+at[ \t]+|@")
+_HOST = re.compile(r"(?i)[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+")
+_SPOKEN_DOT = re.compile(r"(?i)(?<![ \t])[ \t]+dot[ \t]+")
+_NUMBERS_DOT = re.compile(r"(?i)(?<![0-9])[0-9]{1,3}(?:[ \t]+dot[ \t]+[0-9]{1,3}){3}(?![0-9])")
+# Words before a name that say that an address follows.
+_CUES = frozenset("mail email e-mail mailto contact write address addresse adresse correo courriel reach".split())
+# Words that stand before an ordinary at.
+_ORDINARY = frozenset(
+    "a about all also am and anyone are arrive arrived available based be been book buy call chat check click come data day download eat everyone find found get go going good guess here him her hosted i in information is it join jump just later left live lives located look looked looking looks me meet meeting met more new news not now off on once one online only order out page people point pointed read registered run see sell shop shown sign site sold someone speak start started stay stayed stop store talk team that them there these this those time today tomorrow up us visit was we web were what work worked working works you yours".split()
+)
+#: Ends of hosts that count after a spoken at: two letters or one of these.
+_ENDS = frozenset("com org net edu gov info biz".split())
 _HINT = re.compile(r"[\[({<][ \t]*(?:[aA]|[dD]|[pP]|@|\.)|[ \t](?:dot|DOT|Dot|at|AT|At)[ \t]")
 _DOT_HINT = re.compile(r"[\[({<][ \t]*(?:[dD]|[pP]|\.)|[ \t](?:dot|DOT|Dot)[ \t]")
 _invisible = re.compile(f"[{_INVISIBLE}]")
@@ -201,13 +207,11 @@ def normalised(text: str) -> list[Plain]:
     dotted = hint and _DOT_HINT.search(plain.text)
     worded = plain
     if hint:
-        for new, pattern in _REWRITES:
-            if edits := [(*m.span(), new) for m in pattern.finditer(plain.text)]:
-                plain, changed = plain.rewrite(edits), True
+        if edits := _bracketed(plain.text):
+            plain, changed = plain.rewrite(edits), True
         worded = plain
-        for pattern in (_ADDRESS, _NUMBERS_DOT):
-            edits = [(*m.span(), "@" if m[1].lower() == "at" else ".") for whole in pattern.finditer(plain.text) for m in _SPACED.finditer(plain.text, *whole.span())]
-            if edits:
+        for found in (_spoken, _dotted):
+            if edits := found(plain.text):
                 plain, changed = plain.rewrite(edits), True
     forms = [plain] if changed else []
     spelled = _PAIR.search(plain.text) or _FIRST.match(plain.text)
@@ -218,6 +222,60 @@ def normalised(text: str) -> list[Plain]:
     return forms
 
 
+def _bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write an at or dot in brackets, with the blanks around, as such."""
+    edits, done = [], 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > done and text[a - 1] in " \t":
+            a -= 1
+        while b < len(text) and text[b] in " \t":
+            b += 1
+        edits.append((a, b, "@" if m[1] else "."))
+        done = b
+    return edits
+
+
+def _spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write an address with a spoken at or dot plainly.
+
+    A spoken at stands in many ordinary sentences, so more must speak for an address: a cue before the name
+    or a name with a digit or mark in it; or else a host with a spoken dot and a name that is no ordinary
+    word before an at.
+    """
+    edits, done = [], 0
+    for m in _AT.finditer(text):
+        if m.start() < done or not (host := _HOST.match(text, m.end())):
+            continue
+        start = m.start()
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        name, dots = text[start : m.start()], [d.span() for d in _SPOKEN_DOT.finditer(text, *host.span())]
+        spoken = m.group() != "@"
+        end = host.group().rsplit(None, 1)[-1].rsplit(".", 1)[-1].lower()
+        if not name or not (dots or spoken) or not (end in _ENDS or len(end) == 2) or not end.isalpha():
+            continue
+        if spoken:
+            plain_word = name.isalpha()
+            if plain_word and name.lower() in _ORDINARY or not (dots or not plain_word or _cue(text, start)):
+                continue
+            edits.append((*m.span(), "@"))
+        edits += [(*d, ".") for d in dots]
+        done = host.end()
+    return edits
+
+
+def _cue(text: str, start: int) -> bool:
+    """Whether the word before ``start`` says that an address follows."""
+    before = text[max(0, start - 16) : start].rstrip(" \t:=,").lower()
+    return before.rsplit(None, 1)[-1].strip("(\"'") in _CUES if before else False
+
+
+def _dotted(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write the spoken dots of four numbers as such."""
+    return [(*d.span(), ".") for whole in _NUMBERS_DOT.finditer(text) for d in _SPOKEN_DOT.finditer(text, *whole.span())]
+
+
 #: A spelled digit before another digit: cheap to look for, and rare.
 _PAIR = re.compile(rf"(?i)[\s,.():;-](?:{_WORD})[ \t,.()-]+(?:(?:{_WORD})\b|[0-9])")
 _FIRST = re.compile(rf"(?i)(?:{_WORD})[ \t,.()-]+(?:(?:{_WORD})\b|[0-9])")
