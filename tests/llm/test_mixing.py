@@ -3,8 +3,46 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from timbre.llm import mixing
+from timbre.llm import mixing, registry
+
+
+def weights(sizes, exponent):
+    raised = [(x / sum(sizes)) ** exponent if x else 0.0 for x in sizes]
+    return [x / sum(raised) for x in raised]
+
+
+def entropy(w):
+    n = sum(x > 0 for x in w)
+    return -sum(x * math.log(x) for x in w if x) / math.log(n) if n > 1 else 1.0
+
+
+def least_budget(sizes, w):
+    return max((s / x for s, x in zip(sizes, w, strict=True) if x), default=0.0)
+
+
+def temperature(sizes, max_repeats=2.0, target=None, budget=None):
+    """One exponent at a time, over lists."""
+
+    def repeats(a):
+        w = weights(sizes, a)
+        tokens = least_budget(sizes, w) if budget is None else budget
+        return max(tokens * x / s for s, x in zip(sizes, w, strict=True) if s)
+
+    def bisected(high_side):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (low, mid) if high_side(mid) else (mid, high)
+        return low, high
+
+    found = []
+    if max_repeats is not None:
+        found.append(0.0 if repeats(0.0) <= max_repeats else bisected(lambda a: repeats(a) <= max_repeats)[1])
+    if target is not None:
+        found.append(1.0 if entropy(weights(sizes, 1.0)) >= target else bisected(lambda a: entropy(weights(sizes, a)) < target)[0])
+    return round(max(found), 9) if found and any(sizes) else 1.0
 
 
 def signed(h):
@@ -36,8 +74,8 @@ def brute(rows, blocks, max_repeats=2.0, target=None, budget=None, seed=0):
     for _, t, s, b in placed:
         sums[s][b] += words(t)
     totals = [float(sum(sums[s].values())) for s in names]
-    w = mixing.weights(totals, mixing.temperature(totals, max_repeats, target, budget))
-    tokens = mixing.least_budget(totals, w) if budget is None else budget
+    w = weights(totals, temperature(totals, max_repeats, target, budget))
+    tokens = least_budget(totals, w) if budget is None else budget
     copies = {}
     for s, total, x in zip(names, totals, w, strict=True):
         passes = math.floor(tokens * x / total + 1e-9) if total else 1
@@ -51,7 +89,7 @@ def brute(rows, blocks, max_repeats=2.0, target=None, budget=None, seed=0):
 ROWS = [(i, "word " * (i % 90), f"s{min(i % 17, 4)}") for i in range(800)] + [(None, None, None), (1, "", None), (2, "a b", None), (3, "", "void"), (4, "tie", "s0"), (4, "tie", "s0")]
 
 
-@pytest.mark.parametrize("how", [{}, {"max_repeats": 1.25}, {"max_repeats": None, "target": 0.95}, {"max_repeats": 3.0, "budget": 9000.0}, {"max_repeats": None}])
+@pytest.mark.parametrize("how", [{}, {"max_repeats": 1.25}, {"max_repeats": None, "target": 0.95}, {"max_repeats": 3.0, "budget": 9000.0}, {"max_repeats": 2.0, "target": 0.9}, {"max_repeats": None}])
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_equals_brute_force(spark, monkeypatch, how, limit):
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
@@ -67,16 +105,25 @@ def test_equals_brute_force(spark, monkeypatch, how, limit):
         assert set(want) == {(i, t, s) for i, t, s in ROWS}
 
 
-def test_temperature():
+def test_exponents(spark):
     sizes = [1000.0, 100.0, 10.0]
-    a = mixing.temperature(sizes, 2.0)
-    w = mixing.weights(sizes, a)
-    tokens = mixing.least_budget(sizes, w)
-    assert abs(max(tokens * x / s for s, x in zip(sizes, w, strict=True)) - 2) < 1e-9 and tokens >= sum(sizes)
-    assert mixing.temperature(sizes, 1000.0) == 0 and mixing.temperature([0.0], 2.0) == 1
-    b = mixing.temperature(sizes, None, 0.8)
-    assert abs(mixing.entropy(mixing.weights(sizes, b)) - 0.8) < 1e-9
-    assert mixing.temperature(sizes, 2.0, 0.8) == max(a, b)
+    table = spark.createDataFrame([(int(x),) for x in (*sizes, 0)], "total long")
+    a = mixing.solved(table, 2.0)
+    w = weights(sizes, a.exponent)
+    assert abs(max(a.tokens * x / s for s, x in zip(sizes, w, strict=True)) - 2) < 1e-6 and a.tokens >= sum(sizes)
+    assert mixing.solved(table, 1000.0).exponent == 0 and mixing.solved(table.where("total = 0"), 2.0).exponent == 1
+    b = mixing.solved(table, None, 0.8).exponent
+    assert abs(entropy(weights(sizes, b)) - 0.8) < 1e-6 and mixing.solved(table, 2.0, 0.8).exponent == max(a.exponent, b)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "check_s"])
+def test_the_query_has_a_temperature(spark, sf):
+    """The query's limit binds: sources are neither as they are nor all equal."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("total"))
+    mix = mixing.solved(rows.cache(), registry.MOST_PASSES, budget_passes=registry.BUDGET_PASSES)
+    assert 0 < mix.exponent < 1
+    least = rows.select(F.min(F.pow(F.col("total") / mix.words, F.lit(mix.exponent - 1)))).first()[0] / mix.norm * registry.BUDGET_PASSES
+    assert least >= 1  # no document is left out
 
 
 def test_places_and_empty(spark):

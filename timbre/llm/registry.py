@@ -9,6 +9,8 @@ from timbre.llm import fingerprints, jaccard, line_dedup, mixing, packing, pii,
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
+#: The mixture has so many times the words of the corpus, and passes over no source more often than that.
+BUDGET_PASSES, MOST_PASSES = 1.2, 1.26
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,7 +45,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    return mixing.mixed(docs, places=True).select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("n_tokens"), "epoch", "block", "place")
+    done = mixing.mixed(docs, places=True, budget_passes=BUDGET_PASSES, max_repeats=MOST_PASSES)
+    return done.select("doc_id", "source", mixing.n_words(F.col("text")).alias("n_words"), "epoch", "block", "place")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
