@@ -43,6 +43,20 @@ def test_counts(spark, libraries):
     assert token_counts.count_tokens(rows(spark, []), BYTES).count() == 0
 
 
+def test_the_table_holds_what_is_frequent(spark):
+    """Lengths above 1 are in the table, it is bounded, and it answers nearly all look-ups."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = token_counts.frequent_pieces(docs, BYTES)
+    table = token_counts.frequent_lengths(pieces, BYTES)
+    lengths = np.frombuffer(table[1], "<u2")
+    assert len(lengths) <= token_counts.TABLE_ENTRIES and (lengths > 1).mean() > 0.3
+    known, met = set(pieces), [p for r in docs.select("text").collect() for p in vocab.BYTE_PIECES.findall(r.text)]
+    assert sum(p in known for p in met) / len(met) > 0.8
+    few = set(token_counts.frequent_pieces(docs, BYTES, sample=100, entries=50))
+    assert len(few) == 50 and few < known
+    assert token_counts.frequent_lengths(["a" * 5_000_000, "ab"], BYTES)[1] == b"\1\0"
+
+
 def test_packing_round_trip(spark, libraries):
     texts = [*ODD, None, "one two, " * 100, "tie", "tie", *("word " * n for n in range(60))]
     got = packing.pack(rows(spark, texts).repartition(3), WORDS, CAPACITY).collect()
