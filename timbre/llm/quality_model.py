@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from timbre.llm.common import bounded, checkpointed, only, schema, slices
 from timbre.llm.statistics import counts
 
-#: Most labelled rows that a classifier is fitted on, taken evenly by a hash of their ids.
+#: Most labelled rows that a classifier is fitted on, taken evenly by a hash.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.3
 FOLDS = 5
@@ -119,18 +119,16 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def train(features_of: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, id_col: str = "doc_id", label_col: str = "quality") -> Forest:
-    """A forest from at most about ``limit`` labelled rows outside the held-out fold.
+    """A forest from at most ``limit`` labelled rows outside the held-out fold.
 
-    The sample takes rows whose hash lies under a bound set by their number, so it is even over all
-    labelled rows; rows without a label or id are no use and left out.
+    The rows are those of least hash of id and features, so the sample is even over all labelled rows and
+    the same on any partitioning. Of several labels of an id the least counts; rows without a label or id
+    are no use and left out.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null")
-    known = known.where(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(FOLDS)) != 0)
-    there = known.count()
-    share = min(1.0, limit / max(there, 1))
-    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = features_of.where(~F.col("held_out")).join(known, F.col(id_col) == F.col("_id")).select("_id", "_y", "features").toPandas()
-    rows = rows.sort_values(["_id", "_y", "features"]).iloc[: 2 * limit]  # repeated ids could exceed the share
+    known = known.where(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(FOLDS)) != 0).groupBy("_id").agg(F.min("_y").alias("_y"))
+    rows = features_of.where(~F.col("held_out")).join(known, F.col(id_col) == F.col("_id")).select("_id", "_y", "features")
+    rows = rows.orderBy(F.xxhash64("_id", "features"), "_id", "features").limit(limit).toPandas()
     x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, len(FEATURES))
     return fit(x, rows["_y"].to_numpy())
 
