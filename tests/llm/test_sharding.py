@@ -15,7 +15,7 @@ def docs(spark, rows=ROWS):
 
 
 def draw(doc_id, path, weight):
-    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
+    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(str(doc_id).encode(), 42)
     return -math.log(((xxhash.xxh64_intdigest(path.encode(), seed) >> 11) + 0.5) / 2**53) / weight
 
 
@@ -49,3 +49,10 @@ def test_shares_follow_weights_and_moves_stay_in_changed_subtrees(spark):
     assert n[4] == 0 and all(abs(n[k] - 2000 * w) < 300 for k, w in {0: 1, 1: 3, 2: 2, 3: 2, 5: 2}.items())
     moved = Counter((a, b) for a, b in rows if a != b)
     assert moved and all(b in (0, 1, 2) for _, b in moved) and not any({a, b} == {3, 5} for a, b in moved)
+
+
+def test_ids_of_any_width_agree(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, text string")
+    tree = sharding.even_tree(8)
+    wide, narrow = ({r.doc_id: r.shard for r in sharding.shard(d, tree, tree).collect()} for d in (docs, docs.selectExpr("cast(doc_id as int) as doc_id", "text")))
+    assert wide == narrow and len(set(wide.values())) == 8

@@ -42,13 +42,13 @@ def _weight(node) -> float:
 
 
 def descend(key: Column, tree, path: str = "") -> Column:
-    """Number of the shard that a key belongs to."""
+    """Number of the shard that a key belongs to. Its text decides, so whole numbers of any width agree."""
     children = {str(name): (name, node, w) for name, node in sorted(tree.items(), key=lambda x: str(x[0])) if (w := _weight(node)) > 0}
     if not children:
         raise ValueError(f"no shard with a weight under {path or 'the root'}")
     draws = []
     for name, (_, _, w) in children.items():
-        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{path}/{name}")), 11)
+        bits = F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(f"{path}/{name}")), 11)
         draws.append(F.struct((-F.log((bits + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(w)).alias("draw"), F.lit(name).alias("child")))
     chosen = F.array_min(F.array(*draws))["child"] if len(draws) > 1 else F.lit(next(iter(children)))
     out = None
