@@ -1,18 +1,23 @@
 """Exact n-gram Jaccard join of whole texts by multiple-global-order filtering.
 
 A text's set holds its distinct 5-word shingles. Two sets of Jaccard similarity t or more share a
-token among the first |x| - ceil(t |x|) + 1 of each, under any order of all tokens. Candidates
-share such a token under a first order, which puts tokens known to be common last and the rest in
-the order of their hash; they must also share one under two further orders before they are verified.
+token among the first |x| - ceil(t |x|) + 1 of each, under any order of all tokens. All prefixes are
+written when a text is read. Candidates share a token under the first order, which puts tokens known
+to be common last and the rest in the order of their hash; they stay candidates only if they also
+share one under each of two further orders, whose prefixes are small columns, and if their sketches
+don't tell them apart. Only then are texts fetched and compared.
 
 * Equal sets are one node; only its number travels.
 * Common tokens are told from sums of each task's most repeated tokens. The list is bounded, and
-  any list gives a valid order: it decides how much is compared, not what is found.
-* Groups of up to four sets with a common prefix token give their pairs. In larger groups, which
-  are cut into blocks, parity sketches bound the similarity of two sets from above. First
-  only the likeliest links that would join a block are verified; then, of all pairs that the bound
-  lets through, those between sets that are still apart. So no group's links are all listed, and no
-  link between components is missed.
+  any list gives a valid order: it decides how much is compared, not what is found. The sets of a very
+  common token are dealt to several tasks.
+* Groups of up to four sets with a common prefix token give their pairs. In larger ones each set is
+  compared with the group's least, its pivot, which joins nearly all of a cluster of near copies in a
+  number of comparisons that grows with its size. What is still apart is compared in blocks, once for
+  all tokens that link the same sets: the sets outside the largest part with each other and with that
+  part. Parity sketches bound the similarity of two sets from above; first only the likeliest
+  links that would join a block's parts are verified, then what the bound lets through between sets that
+  are still apart. So no group's links are all listed, and no link between components is missed.
 * Shingles are 64-bit hashes throughout. That two of some thousand in a pair collide has a chance
   under one in 10^12.
 """
@@ -35,6 +40,8 @@ WORDS, PERCENT = 5, 80
 #: Most common tokens that the first order puts last, and most that a task reports.
 COMMON, COMMON_A_TASK, LEAST_COUNT = 200_000, 20_000, 8
 SMALL_GROUP, BLOCK = 4, 1000
+#: Sets of one token in a task, about, where the token is known to be common.
+DEAL = 1000
 LEAST_BITS, MOST_BITS = 512, 8192
 #: Rows of an id table that is broadcast (16 bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -108,8 +115,8 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def common_tokens(rows: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Tokens of many different sets, sorted; at most :data:`COMMON`. A task forgets a set it has seen,
+def common_tokens(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many different sets, sorted, and about how many; at most :data:`COMMON`. A task forgets a set it has seen,
     and of its tokens the least repeated ones, beyond a bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +153,23 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> np.ndarray:
         release(_words)
 
     sums = bounded(rows.select("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(COMMON).select("token").toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
+    top = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def further(hashes: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The prefixes under the further orders, 16 bits a token, one after the other: sets that share a token
+    share its bits."""
+    n = prefix_length(len(hashes), percent)
+    return b"".join((np.partition(m, n - 1)[:n] if n < len(m) else m).astype(np.uint16).tobytes() for m in (_mixed(hashes * np.uint64(order)) for order in ORDERS))
 
 
 def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: id, hash, ``n_shingles``, ``node`` (the set's number; null for an empty set) and, where a task
-    meets a set first, its ``parity`` and its ``prefix`` under the first order."""
-    out = schema(rows, ["id", "hash"], "n_shingles long, node long, parity binary, prefix array<long>")
+    meets a set first, its ``parity``, its ``prefix`` under the first order and its prefixes ``further``."""
+    out = schema(rows, ["id", "hash"], "n_shingles long, node long, parity binary, prefix array<long>, further binary")
     shared = rows.sparkSession.sparkContext.broadcast(common)  # at most COMMON numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +178,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
         maybe = np.zeros(1 << 22, bool)
         maybe[(late >> np.uint64(42)).astype(np.int64)] = True
         for batch in slices(batches, 2):
-            n, nodes, sketches, prefixes = [], [], [], []
+            n, nodes, sketches, prefixes, others = [], [], [], [], []
             for text in _binary(batch.column(2)):
                 hashes = shingle_hashes(text, words)
                 n.append(len(hashes))
@@ -171,6 +187,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
                 if node is None or node in seen:
                     sketches.append(None)
                     prefixes.append(None)
+                    others.append(None)
                     continue
                 if len(seen) > _CACHE:
                     seen.clear()
@@ -185,8 +202,9 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
                 prefix = np.concatenate([first, hashes[is_late][: length - len(first)]])
                 sketches.append(parity(hashes))
                 prefixes.append(prefix.view(np.int64))
+                others.append(further(hashes, percent))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=out.names
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.binary())], names=out.names
             )
         release(_words)
 
@@ -238,10 +256,17 @@ def _likeliest(distance: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int,
 
 
 def _units(groups: DataFrame) -> DataFrame:
-    """Rows of large groups by unit: two blocks (or one) of a group. A block has about BLOCK sets."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node", "token"), blocks).cast("int")
-    rows = groups.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    """Rows of groups (``token``) by unit: two blocks (or one). Blocks have about BLOCK sets; those of a
+    group's largest part meet the others' blocks alone."""
+    parts = groups.groupBy("token", "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy("token").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
+    most = checkpointed(most.select(F.col("token").alias("_token"), F.col("most.root").alias("_root"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("many")).where("few > 0"))
+    rows = groups.join(F.broadcast(most) if most.count() <= BROADCAST_ROWS else most, F.col("token") == F.col("_token"))
+    main = F.col("root") == F.col("_root")
+    place = F.xxhash64("node", "token")
+    own = F.when(main, F.col("few") + F.pmod(place, "many")).otherwise(F.pmod(place, "few")).cast("int")
+    meets = F.sequence(F.lit(0), F.when(main, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
+    rows = rows.withColumns({"own": own, "other": F.explode(meets)})
     return rows.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "n_shingles", "root", "parity")
 
 
@@ -283,25 +308,20 @@ def block_pairs(groups: DataFrame, percent: int, every: bool) -> DataFrame:
 
 
 class Verifier:
-    """Whether two texts link. A text's hashes under each order are kept while a batch lasts."""
+    """Whether two texts link. A text's hashes are kept while a batch lasts."""
 
     def __init__(self, words: int = WORDS, percent: int = PERCENT):
         self.words, self.percent, self.known = words, percent, {}
 
-    def _views(self, key, text: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _set(self, key, text: bytes) -> np.ndarray:
         if key not in self.known:
-            h = shingle_hashes(text, self.words)
-            n = prefix_length(len(h), self.percent)
-            self.known[key] = h, [np.sort(_mixed(h * np.uint64(order)))[:n] for order in ORDERS]
+            self.known[key] = shingle_hashes(text, self.words)
         return self.known[key]
 
     def linked(self, a, x: bytes, b, y: bytes) -> bool:
-        """Prefix tokens shared under each further order, then the shingles."""
-        (s, firsts), (t, others) = self._views(a, x), self._views(b, y)
-        if any(not np.intersect1d(p, q, assume_unique=True).size for p, q in zip(firsts, others, strict=True)):
-            return False
+        s, t = self._set(a, x), self._set(b, y)
         both = np.intersect1d(s, t, assume_unique=True).size
-        return 100 * both >= self.percent * (len(s) + len(t) - both)
+        return both > 0 and 100 * both >= self.percent * (len(s) + len(t) - both)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
@@ -345,39 +365,35 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     a component. Other columns play no part; an empty table gives an empty result.
     """
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("hash"), docs[text_col].alias("text"))
-    known = checkpointed(described(rows, common_tokens(rows, words), words, percent))
+    common, often = common_tokens(rows, words)
+    known = checkpointed(described(rows, common, words, percent))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     nodes = checkpointed(known.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles")))
-    postings = known.where("prefix is not null").select("node", "n_shingles", F.explode("prefix").alias("token"))
-    postings = postings.repartition("token").dropDuplicates(["token", "node"])
-    by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("node")
-    nexts = F.array(*(F.lead("node", k).over(ordered) for k in range(1, SMALL_GROUP)))
-    sized = postings.withColumns({"size": F.count("*").over(by_token), "next": nexts}).where("size > 1")
-    # a row for each pair of a small group (node, other), and for each member of a large one (token, node)
-    others = F.when(F.col("size") <= SMALL_GROUP, F.filter("next", lambda x: x.isNotNull())).otherwise(F.array(F.lit(None).cast("long")))
-    groups = sized.select("token", "node", "n_shingles", "size", F.explode(others).alias("other"))
-    groups = checkpointed(groups.select("node", F.coalesce("other", "token").alias("with"), F.col("other").isNull().alias("large"), "size", "n_shingles"))
-    sketches = known.where("parity is not null").select("node", "n_shingles", "parity").dropDuplicates(["node"])
-
-    small = groups.where("not large").select(F.col("node").alias("a"), F.col("with").alias("b")).distinct()
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
-    small = _near(small.join(side("a"), "a").join(side("b"), "b"), percent)
-    large = groups.where("large").select(F.col("with").alias("token"), "node", "n_shingles", "size")
-    large = checkpointed(large.join(sketches.select("node", "parity"), "node"))
-
-    first = checkpointed(block_pairs(large.withColumn("root", F.col("node")), percent, every=False))
-    tested = checkpointed(small.unionByName(first.where("a is not null").select("a", "b")).distinct())
+    sketches = checkpointed(known.where("parity is not null").select("node", "n_shingles", "parity", "further").dropDuplicates(["node"]))
+    groups = checkpointed(grouped(known.where("prefix is not null").select("node", F.explode("prefix").alias("token")), common, often))
+
+    # every set of a group with its pivot, and all pairs of small groups
+    pairs = groups.where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    tested = checkpointed(screened(pairs, sketches, percent))
     links = checkpointed(verified(tested, nodes, rows, words, percent))
     roots = checkpointed(components(links))
-    apart = large.join(first.where("open is not null").select(F.col("open").alias("token")).distinct(), "token", "left_semi")
-    apart = apart.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = block_pairs(apart, percent, every=True).select("a", "b")
-    rest = checkpointed(rest.join(tested, ["a", "b"], "left_anti"))
-    more = verified(rest, nodes, rows, words, percent) if rest.take(1) else None
-    if more is not None:
-        more = checkpointed(more)
-        roots = checkpointed(components(links.unionByName(more))) if more.take(1) else roots
+    apart = _apart(groups.where("token is not null"), roots)
+    if apart is not None:
+        apart = apart.join(sketches.select("node", "n_shingles", "parity"), "node")
+        apart = checkpointed(apart)
+        first = checkpointed(block_pairs(apart, percent, every=False))
+        found = screened(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), sketches, percent)
+        found = checkpointed(found)
+        links = checkpointed(links.unionByName(verified(found, nodes, rows, words, percent)))
+        roots = checkpointed(components(links))
+        tested = checkpointed(tested.unionByName(found))
+        still = apart.drop("root").join(first.where("open is not null").select(F.col("open").alias("token")).distinct(), "token", "left_semi")
+        still = still.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = block_pairs(still, percent, every=True).where("a is not null").select("a", "b")
+        rest = checkpointed(screened(rest.join(tested, ["a", "b"], "left_anti"), sketches, percent))
+        if rest.take(1):
+            links = checkpointed(links.unionByName(verified(rest, nodes, rows, words, percent)))
+            roots = checkpointed(components(links))
 
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
@@ -386,17 +402,83 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     return done.select("id", "hash", "n_shingles", "node", F.when(F.col("node").isNull(), place).otherwise(F.col("_first")).alias("first"))
 
 
-def _near(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b whose sizes and parities (pa, na, pb, nb) let them link."""
+def grouped(postings: DataFrame, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """Rows ``node``, ``other``, ``token``: with a null token the pairs of small groups; else each member of a
+    large one with its pivot. Pivots of one token in several tasks also come with the least of them.
+
+    A very common token's sets are dealt out by their number; a token that no one knew to be common is whole in
+    a task, where its rows are streamed in order.
+    """
+    many = often > DEAL
+    hot = [(int(t), int(-(-n // DEAL))) for t, n in zip(common[many].view(np.int64), often[many], strict=True)]
+    deals = postings.sparkSession.createDataFrame(hot, "_token long, deals int")  # at most COMMON rows
+    dealt = postings.join(F.broadcast(deals), F.col("token") == F.col("_token"), "left").select("node", "token", F.coalesce(F.pmod(F.xxhash64("node"), "deals"), F.lit(0)).cast("int").alias("deal"), (F.col("deals") > 1).alias("dealt"))
+    dealt = dealt.repartition("token", "deal").dropDuplicates(["token", "deal", "node"])
+    here = Window.partitionBy("token", "deal")
+    ordered = here.orderBy("node")
+    nexts = F.array(*(F.lead("node", k).over(ordered) for k in range(1, SMALL_GROUP)))
+    split = F.coalesce("dealt", F.lit(False))
+    sized = dealt.withColumns({"size": F.count("*").over(here), "pivot": F.first("node").over(ordered), "next": nexts}).where((F.col("size") > 1) | split)
+    small = (F.col("size") <= SMALL_GROUP) & ~split
+    others = F.when(small, F.filter("next", lambda x: x.isNotNull())).otherwise(F.array("pivot"))
+    rows = checkpointed(sized.select("node", F.explode(others).alias("other"), F.when(~small, F.col("token")).alias("token"), split.alias("dealt")))
+    pivots = rows.where("dealt and node = other").select("node", "token")
+    least = pivots.groupBy("token").agg(F.min("node").alias("other"))
+    return rows.drop("dealt").unionByName(pivots.join(least, "token").where("node <> other").select("node", "other", "token"))
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Rows ``token`` (number of a group), ``node`` and ``root`` of the groups with sets that are still apart;
+    none if there are none.
+
+    Groups that share sets are one group where comparing it whole is less work than comparing each.
+    """
+    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    opened = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.countDistinct("node").alias("n")).where("x <> y").select("token", "n")
+    opened = checkpointed(opened)
+    if not opened.take(1):
+        return None
+    rows = checkpointed(rows.join(opened, "token"))
+    linked = rows.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    bundles = components(linked)
+    placed = rows.select("token", "node", "root", "n").distinct().join(bundles.select("node", F.col("root").alias("bundle")), "node")
+    placed = checkpointed(placed)
+    whole = placed.select("bundle", "node").distinct().groupBy("bundle").agg(F.count("*").cast("double").alias("size"))
+    each = placed.select("bundle", "token", "n").distinct().groupBy("bundle").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    better = whole.join(each, "bundle").where("size * size <= work").select("bundle", F.lit(True).alias("better"))
+    named = placed.join(better, "bundle", "left")
+    return named.select(F.when(F.col("better"), F.col("bundle")).otherwise(F.col("token")).alias("token"), "node", "root").distinct()
+
+
+def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of the pairs a, b those that may link: that share a token under each further order, and whose sizes and
+    parities let them."""
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    some = sketches.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y, n, m = (c.to_pylist() for c in batch.columns)
-            keep = [i for i in range(len(a)) if difference(x[i], y[i]) * (100 + percent) <= (n[i] + m[i]) * (100 - percent)]
+            a, b, x, y, n, m, f, g = (c.to_pylist() for c in batch.columns)
+            known: dict = {}
+
+            def prefixes(node: int, data: bytes) -> list[frozenset]:
+                if node not in known:  # noqa: B023
+                    half = memoryview(data).cast("H")
+                    k = len(half) // len(ORDERS)
+                    known[node] = [frozenset(half[i * k : (i + 1) * k]) for i in range(len(ORDERS))]  # noqa: B023
+                return known[node]  # noqa: B023
+
+            keep = [
+                i
+                for i in range(len(a))
+                if not any(p.isdisjoint(q) for p, q in zip(prefixes(a[i], f[i]), prefixes(b[i], g[i]), strict=True))
+                and difference(x[i], y[i]) * (100 + percent) <= (n[i] + m[i]) * (100 - percent)
+            ]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return fit.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(run, "a long, b long")
+    side = lambda c: some.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("further").alias(f"f{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return bounded(both.select("a", "b", "pa", "pb", "na", "nb", "fa", "fb")).mapInArrow(run, "a long, b long")
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
