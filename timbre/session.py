@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -24,12 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session, else one set on
+    its context. Only a local session without either gets a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not known and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (known or os.path.join(tempfile.gettempdir(), "timbre-checkpoints")).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder (``spark.checkpoint.dir`` of the session;
-    only a session without one gets its own)."""
+    """``df`` written to the cluster's shared folder. Spark removes what is no longer referred to where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, as local sessions have it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "timbre-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -42,6 +53,7 @@ def local_session(name: str = "timbre", cpus: int | str = 8, partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
