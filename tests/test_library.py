@@ -83,7 +83,8 @@ def test_rules(spark):
     assert set(found) == {"has_emoji", "social_greet"}
     assert (found["has_emoji"]["statement"], found["has_emoji"]["strength"]) == ("Include an emoji", "usually")
     assert (found["social_greet"]["statement"], found["social_greet"]["strength"]) == ("Skip greetings", "usually")
-    assert rules.phrase("emotion_joy", False) == ("affect", "Rarely express joy") and rules.phrase("act_hold", True)[1].startswith("Buy time")
+    said = {r.feature: (r.category, r.statement) for r in rules.phrased(spark.createDataFrame([("emotion_joy", False), ("act_hold", True), ("emotion_neutral", True), ("unknown", True)], "feature string, more boolean")).collect()}
+    assert said["emotion_joy"] == ("affect", "Rarely express joy") and said["act_hold"][1].startswith("Buy time") and set(said) == {"emotion_joy", "act_hold", "emotion_neutral"}
 
 
 def test_redundancy_within_groups(spark):
@@ -124,7 +125,7 @@ def test_rare_spans(spark):
 def test_privacy_report(spark):
     turns = spark.createDataFrame([("d", 0, "a", "mail x@y.org to @sam"), ("d", 1, "b", "ref 1234567890123456789012"), ("e", 0, "a", None)], TURNS)
     masked = privacy.anonymise(turns)
-    assert privacy.report(masked).replaced["EMAIL_ADDRESS"] == 1
+    assert privacy.report(masked)["replacements"]["EMAIL_ADDRESS"] == 1
     assert masked.where("turn_id = 0 and doc_id = 'd'").first().text == "mail <EMAIL_ADDRESS> to <PERSON_1>"
 
 

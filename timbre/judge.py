@@ -32,9 +32,9 @@ class Judge(Protocol):
 
 
 class RuleWriter(Protocol):
-    def induce(self, brief: str, pairs: list[tuple[str | None, str]]) -> list[dict]: ...
+    def induce(self, summary: str, pairs: list[tuple[str | None, str]]) -> list[dict]: ...
 
-    def merge(self, brief: str, drafts: list[dict]) -> list[dict]: ...
+    def merge(self, summary: str, drafts: list[dict]) -> list[dict]: ...
 
 
 class Cache:

@@ -93,7 +93,7 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
                 r["verification"] |= {"heldout_target_mean": round(c.heldout_target_mean or 0, 4), "heldout_reference_mean": round(c.heldout_reference_mean or 0, 4)}
     written: list[dict] = []
     if writer is not None and judge is not None and has_reference:
-        told = exports.brief(", ".join(targets), _rows(compared), keyness, summary, _rows(kinds))
+        told = exports.voice_summary({"name": ", ".join(targets), "contrast": _rows(compared), "keyness": keyness, "dialogue": summary, "situations": _rows(kinds)})
         drawn = train.where("grp = 'target'").orderBy(corpus.draw(cfg.seed, F.col("key"))).limit(cfg.sample_for_rules).select("prev_text", "text").collect()
         some = [(r.prev_text, r.text) for r in drawn]
         drafts = [d for at in range(0, len(some), 60) for d in writer.induce(told, some[at : at + 60])]
@@ -118,7 +118,7 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
         "name": ", ".join(targets), "corpus": {"turns": n_turns, "train_target": n_train, "heldout_target": n_held}, "rules": all_rules, "contrast": _rows(compared) if has_reference else [], "keyness": keyness,
         "target_profile": _rows(stats.describe(stats.long(train.where("grp = 'target'"), names))),
         "dialogue": summary, "openers": openers, "social_acts": _rows(stats.act_profile(train.where("grp = 'target'"), "social_")), "richness": _rows(stats.style_richness(train.select("text", F.col("grp").alias("speaker")))),
-        "situations": _rows(kinds), "scorer": model, "scorer_eval": evaluation, "privacy": vars(report) if report else None,
+        "situations": _rows(kinds), "scorer": model, "scorer_eval": evaluation, "privacy": report,
         "manifest": {"tier": cfg.tier, "targets": targets, "public_corpus": public, "seed": cfg.seed, "judge": judge.label if judge else None, "config": cfg.as_dict()},
     }
     texts = [*exports.prompt_pack(data["name"], all_rules, openers, shots).values(), exports.voice_md(data["name"], data)]
