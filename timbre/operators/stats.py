@@ -6,6 +6,8 @@ A feature table is wide (one double column a feature). Statistics work on its lo
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -31,10 +33,11 @@ def long(df: DataFrame, features: list[str] | None = None, keep: tuple[str, ...]
     return rows.where("value is not null and not isnan(value)")
 
 
-def describe(values: DataFrame, by: tuple[str, ...] = ("feature",), exact: bool = True) -> DataFrame:
-    """mean, median, p10, p90 (linear interpolation), present (share not 0) and n of each feature.
+def describe(values: DataFrame, by: tuple[str, ...] = ("feature",), exact: bool = False) -> DataFrame:
+    """mean, median, p10, p90, present (share not 0) and n of each feature.
 
-    ``exact=False`` takes percentiles from a sketch of bounded size, for features of very many values.
+    Percentiles come from a sketch of bounded size; ``exact=True`` interpolates between the values themselves,
+    which holds all distinct ones of a feature in one task.
     """
     at = (lambda q: F.percentile("value", F.lit(q))) if exact else (lambda q: F.percentile_approx("value", q, 10_000).cast("double"))
     return values.groupBy(*by).agg(
@@ -180,15 +183,41 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFr
     return rows.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
+# Lanczos's approximation of the gamma function, g = 7.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_factorial(n: Column) -> Column:
+    """ln n! in constant time, to about 14 digits."""
+    x = n.cast("double")
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        series = series + F.lit(c) / (x + F.lit(float(i)))
+    t = x + F.lit(7.5)
+    return F.when(x < 2, F.lit(0.0)).otherwise(F.lit(0.9189385332046727) + (x + F.lit(0.5)) * F.log(t) - t + F.log(series))
+
+
 def fisher_p(t_hits: Column, t_n: Column, r_hits: Column, r_n: Column, greater: bool = True) -> Column:
-    """One-sided Fisher exact test that the target hits more (less) often than the reference."""
-    fact = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int"), F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    choose = lambda n, k: fact(n) - fact(k) - fact(n - k)
+    """One-sided Fisher exact test that the target hits more (less) often than the reference.
+
+    The first table's chance comes from factorials, each further one's from the one before.
+    """
+    choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
     hits = t_hits + r_hits
-    low, high = F.greatest(F.lit(0), hits - r_n), F.least(hits, t_n)
-    ks = F.sequence(t_hits.cast("int"), high.cast("int")) if greater else F.sequence(low.cast("int"), t_hits.cast("int"))
-    p = F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.exp(choose(t_n, k) + choose(r_n, hits - k) - choose(t_n + r_n, hits)))
-    return F.least(p, F.lit(1.0))
+    last = F.least(hits, t_n) if greater else F.greatest(F.lit(0), hits - r_n)
+    first = F.exp(choose(t_n, t_hits) + choose(r_n, r_hits) - choose(t_n + r_n, hits))
+    steps = F.abs(last - t_hits).cast("int")
+    d = lambda c: c.cast("double")
+
+    def step(a: Column, i: Column) -> Column:
+        k = d(t_hits) + d(i - 1) * (1 if greater else -1)
+        up = (d(t_n) - k) * (d(hits) - k) / ((k + 1) * (d(r_n) - d(hits) + k + 1))
+        down = k * (d(r_n) - d(hits) + k) / ((d(t_n) - k + 1) * (d(hits) - k + 1))
+        now = a["now"] * (up if greater else down)
+        return F.struct(now.alias("now"), (a["all"] + now).alias("all"))
+
+    whole = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), F.struct(first.alias("now"), first.alias("all")), step, lambda a: a["all"])
+    return F.least(whole, F.lit(1.0))
 
 
 def spearman(a: list[float], b: list[float]) -> float | None:
@@ -219,14 +248,12 @@ def within_correlation(df: DataFrame, features: list[str]) -> DataFrame:
     filled = df.select("grp", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in features))
     means = filled.groupBy("grp").agg(*(F.avg(c).alias(f"_m_{c}") for c in features))  # two rows: no window over all turns
     centred = filled.join(F.broadcast(means), "grp").select(*((F.col(c) - F.col(f"_m_{c}")).alias(c) for c in features))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    flat = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
-    wide = centred.select(*(F.when(flat(a, b) > 0, F.try_divide(F.covar_pop(a, b), flat(a, b))).otherwise(0.0).alias(f"{a}|{b}") for a, b in pairs)) if pairs else None
-    if wide is None:
+    if len(features) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    long_ = wide.unpivot([], wide.columns, "pair", "r")
-    parts = F.split("pair", r"\|")
-    return long_.select(parts[0].alias("a"), parts[1].alias("b"), "r")
+    vectors = VectorAssembler(inputCols=features, outputCol="_v").transform(centred).select("_v")
+    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()  # one pass of sums of products; features x features
+    rows = [(a, b, 0.0 if matrix[i, j] != matrix[i, j] else float(matrix[i, j])) for i, a in enumerate(features) for j, b in enumerate(features) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def style_richness(turns: DataFrame, by: str = "speaker", sample: int = 42) -> DataFrame:

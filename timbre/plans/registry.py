@@ -6,6 +6,7 @@ Golden cases (``*_golden``) run on constants, for traits that the tables don't s
 
 from __future__ import annotations
 
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,10 @@ def query(oracle: str | None = None):
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
+    return turns_of(table(spark, d, "conversations"))
+
+
+def turns_of(c: DataFrame) -> DataFrame:
     return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("turn_id"), F.col("role").alias("speaker"), "text")
 
 
@@ -300,7 +304,7 @@ def lexical_shares(spark, d):
 
 @query(f"{D.WITH_LONG} SELECT feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.9), 6) AS p90, round(avg((value <> 0)::INT), 6) AS present, count(*)::BIGINT AS n FROM vals GROUP BY feature")
 def describe(spark, d):
-    return r6(stats.describe(sided_values(spark, d)))
+    return r6(stats.describe(sided_values(spark, d), exact=True))
 
 
 @query(f"{D.WITH_LONG}{D.bootstrap(DRAWS, SEED)} SELECT feature, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM ci")
@@ -366,7 +370,7 @@ def prune_redundant(spark, d):
     return spark.createDataFrame(list(kept.items()), "folded string, kept string")
 
 
-_PHRASES = [(f, m, *p) for f in D.STAT_FEATURES for m in (True, False) if (p := rules.phrase(f, m))]
+_PHRASES = [r for r in rules.PHRASES if r[0] in D.STAT_FEATURES]
 
 
 @query(f"""WITH c AS ({D.contrast(D.WITH_LONG, DRAWS, SEED)}), ph AS ({D.values("feature, more, category, statement", _PHRASES)})
@@ -444,14 +448,6 @@ def memorisation(spark, d):
     return privacy.memorisation(table(spark, d, "benchmark"), rare, None, 8, "item_id")
 
 
-_PII = {"email": r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", "long_number": r"[0-9]{10,}"}
-
-
-@query("SELECT doc_id, " + ", ".join(f"{D.rx_count('t', p)}::INT AS n_{k}" for k, p in _PII.items()) + f" FROM ({D.DOCUMENTS})")
-def pii_scan(spark, d):
-    return documents(spark, d).select("doc_id", *(T.count(F.col("text"), p).alias(f"n_{k}") for k, p in _PII.items()))
-
-
 @query(f"SELECT doc_id FROM ({D.DOCUMENTS}) WHERE NOT (" + " OR ".join(f"regexp_matches(t, {D.q(p)})" for p in (r"(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", r"(?:^|[^\p{L}\p{N}_])[0-9]{10,}(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])[0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}(?:$|[^\p{L}\p{N}_])")) + ")")
 def quarantine(spark, d):
     return privacy.quarantined(documents(spark, d))[0].select("doc_id")
@@ -565,15 +561,6 @@ def spearman_curve(spark, d):
     return spark.createDataFrame([(None if rho is None else round(rho, 6),)], "rho double")
 
 
-@query("""WITH a AS (SELECT DISTINCT source AS x FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT source AS x FROM documents WHERE lang = 'de')
-SELECT round((SELECT count(*) FROM a WHERE x IN (SELECT x FROM b)) / greatest((SELECT count(*) FROM (SELECT x FROM a UNION SELECT x FROM b)), 1), 6) AS jaccard""")
-def rule_jaccard(spark, d):
-    docs = table(spark, d, "documents")
-    of = lambda lang: docs.where(F.col("lang") == lang).agg(F.collect_set("source").alias(lang))  # noqa: E731  (a name a source)
-    both = of("en").crossJoin(of("de"))
-    return both.select(F.round(F.size(F.array_intersect("en", "de")) / F.greatest(F.size(F.array_union("en", "de")), F.lit(1)), 6).alias("jaccard"))
-
-
 # ── exports and sources ──
 
 
@@ -655,12 +642,6 @@ def combined_score(spark, d):
     return r6(e.select("vec_id", scorer.combined(scorer.sigmoid(F.col("a")), F.col("b")).alias("score")))
 
 
-@query(f"SELECT page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g'))::INT AS chars, {D.rx_count('html', 'https?://[^\\s\"<>]+')}::INT AS links FROM pages")
-def page_cleaning(spark, d):
-    p = table(spark, d, "pages")
-    return p.select("page_id", F.char_length(F.regexp_replace("html", "<[^>]*>", " ")).alias("chars"), T.count(F.col("html"), r'https?://[^\s"<>]+').alias("links"))
-
-
 @query()
 def planted_traits(spark, d):
     """Presence of each planted trait's first feature, in the target host's turns and the other hosts'."""
@@ -669,17 +650,15 @@ def planted_traits(spark, d):
     return r6(stats.contrast(S.surface(rows, names), names, DRAWS, SEED))
 
 
-@query()
+@query(ORACLES["scorer_apply"])
 def stream_score(spark, d):
-    """The scorer over a stream of conversations, read to its end into a table."""
+    """The scorer over a stream of conversations, written as files to its end and read again."""
+    from timbre.session import shared_folder
     from timbre.streaming.scoring import scored
 
-    path = f"{d.rstrip('/')}/conversations.parquet"
     batch = table(spark, d, "conversations")
-    stream = spark.readStream.schema(batch.schema).parquet(path if not path.endswith(".parquet") else f"{d.rstrip('/')}/conversations.parque[t]")
-    rows = scored(stream.select("conv_id", "turn", "text"), _FIXED)
-    run = rows.writeStream.format("memory").queryName("timbre_stream_score").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return r6(spark.table("timbre_stream_score"))
-
-
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d.rstrip('/')}/conversations.parque[t]")
+    rows = scored(turns_of(stream), _FIXED).select("doc_id", "turn_id", "score")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
+    return r6(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
