@@ -374,6 +374,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
 
     # every set of a group with its pivot, and all pairs of small groups
     pairs = groups.where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    pairs = checkpointed(pairs)
     tested = checkpointed(screened(pairs, sketches, percent))
     links = checkpointed(verified(tested, nodes, rows, words, percent))
     roots = checkpointed(components(links))
@@ -382,7 +383,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
         apart = apart.join(sketches.select("node", "n_shingles", "parity"), "node")
         apart = checkpointed(apart)
         first = checkpointed(block_pairs(apart, percent, every=False))
-        found = screened(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti"), sketches, percent)
+        found = screened(checkpointed(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")), sketches, percent)
         found = checkpointed(found)
         links = checkpointed(links.unionByName(verified(found, nodes, rows, words, percent)))
         roots = checkpointed(components(links))
@@ -390,7 +391,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
         still = apart.drop("root").join(first.where("open is not null").select(F.col("open").alias("token")).distinct(), "token", "left_semi")
         still = still.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = block_pairs(still, percent, every=True).where("a is not null").select("a", "b")
-        rest = checkpointed(screened(rest.join(tested, ["a", "b"], "left_anti"), sketches, percent))
+        rest = checkpointed(screened(checkpointed(rest.join(tested, ["a", "b"], "left_anti")), sketches, percent))
         if rest.take(1):
             links = checkpointed(links.unionByName(verified(rest, nodes, rows, words, percent)))
             roots = checkpointed(components(links))
@@ -431,54 +432,61 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame | None:
     """Rows ``token`` (number of a group), ``node`` and ``root`` of the groups with sets that are still apart;
     none if there are none.
 
-    Groups that share sets are one group where comparing it whole is less work than comparing each.
+    Groups of one pivot, as near copies have for nearly all of their tokens, are one group where comparing that
+    whole is less work than comparing each.
     """
     rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    opened = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.countDistinct("node").alias("n")).where("x <> y").select("token", "n")
-    opened = checkpointed(opened)
+    opened = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("other").alias("pivot"), F.countDistinct("node").alias("n")).where("x <> y")
+    opened = checkpointed(opened.select("token", "pivot", "n"))
     if not opened.take(1):
         return None
-    rows = checkpointed(rows.join(opened, "token"))
-    linked = rows.where("other <> node").select(F.col("node").alias("a"), F.col("other").alias("b"))
-    bundles = components(linked)
-    placed = rows.select("token", "node", "root", "n").distinct().join(bundles.select("node", F.col("root").alias("bundle")), "node")
-    placed = checkpointed(placed)
-    whole = placed.select("bundle", "node").distinct().groupBy("bundle").agg(F.count("*").cast("double").alias("size"))
-    each = placed.select("bundle", "token", "n").distinct().groupBy("bundle").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
-    better = whole.join(each, "bundle").where("size * size <= work").select("bundle", F.lit(True).alias("better"))
-    named = placed.join(better, "bundle", "left")
-    return named.select(F.when(F.col("better"), F.col("bundle")).otherwise(F.col("token")).alias("token"), "node", "root").distinct()
+    placed = checkpointed(rows.join(_small(opened), "token").select("token", "pivot", "node", "root").distinct())
+    whole = placed.select("pivot", "node").distinct().groupBy("pivot").agg(F.count("*").cast("double").alias("size"))
+    each = opened.groupBy("pivot").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    better = checkpointed(whole.join(each, "pivot").where("size * size <= work").select("pivot", F.lit(True).alias("better")))
+    named = placed.join(_small(better), "pivot", "left")
+    return named.select(F.when(F.col("better"), F.col("pivot")).otherwise(F.col("token")).alias("token"), "node", "root").distinct()
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A checkpointed table of some numbers a row, to be broadcast if it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs a, b those that may link: that share a token under each further order, and whose sizes and
-    parities let them."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    some = sketches.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node", "left_semi")
+    """Of the pairs a, b those that may link: whose sizes and parities let them, and that share a token under
+    each further order. The longer columns travel for the pairs that the shorter ones leave."""
+    near = checkpointed(_filtered(pairs, sketches.select("node", "n_shingles", "parity"), _similar(percent)))
+    return _filtered(near, sketches.select("node", "n_shingles", F.col("further").alias("parity")), _sharing())
+
+
+def _similar(percent: int):
+    return lambda x, y, n, m: 100 * min(n, m) >= percent * max(n, m) and difference(x, y) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _sharing():
+    def halves(data: bytes) -> list[frozenset]:
+        tokens = memoryview(data).cast("H")
+        k = len(tokens) // len(ORDERS)
+        return [frozenset(tokens[i * k : (i + 1) * k]) for i in range(len(ORDERS))]
+
+    return lambda x, y, n, m: not any(p.isdisjoint(q) for p, q in zip(halves(x), halves(y), strict=True))
+
+
+def _filtered(pairs: DataFrame, column: DataFrame, test) -> DataFrame:
+    """Pairs a, b of which ``test`` of both sides' ``parity`` and ``n_shingles`` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y, n, m, f, g = (c.to_pylist() for c in batch.columns)
-            known: dict = {}
-
-            def prefixes(node: int, data: bytes) -> list[frozenset]:
-                if node not in known:  # noqa: B023
-                    half = memoryview(data).cast("H")
-                    k = len(half) // len(ORDERS)
-                    known[node] = [frozenset(half[i * k : (i + 1) * k]) for i in range(len(ORDERS))]  # noqa: B023
-                return known[node]  # noqa: B023
-
-            keep = [
-                i
-                for i in range(len(a))
-                if not any(p.isdisjoint(q) for p, q in zip(prefixes(a[i], f[i]), prefixes(b[i], g[i]), strict=True))
-                and difference(x[i], y[i]) * (100 + percent) <= (n[i] + m[i]) * (100 - percent)
-            ]
+            a, b, x, y, n, m = (c.to_pylist() for c in batch.columns)
+            keep = [i for i in range(len(a)) if test(x[i], y[i], n[i], m[i])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    side = lambda c: some.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"), F.col("further").alias(f"f{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return bounded(both.select("a", "b", "pa", "pb", "na", "nb", "fa", "fb")).mapInArrow(run, "a long, b long")
+    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    some = column.join(_small(wanted), "node", "left_semi")
+    side = lambda c: some.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
+    return bounded(both).mapInArrow(run, "a long, b long")
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
