@@ -369,7 +369,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     known = checkpointed(described(rows, common, words, percent))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     nodes = checkpointed(known.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles")))
-    sketches = checkpointed(known.where("parity is not null").select("node", "n_shingles", "parity", "further").dropDuplicates(["node"]))
+    sketches = checkpointed(known.where("parity is not null").select("node", "n_shingles", "parity", "further"))  # a row from each task that met the set
     groups = checkpointed(grouped(known.where("prefix is not null").select("node", F.explode("prefix").alias("token")), common, often))
 
     # every set of a group with its pivot, and all pairs of small groups
@@ -380,8 +380,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     roots = checkpointed(components(links))
     apart = _apart(groups.where("token is not null"), roots)
     if apart is not None:
-        apart = apart.join(sketches.select("node", "n_shingles", "parity"), "node")
         apart = checkpointed(apart)
+        apart = checkpointed(apart.join(_of(apart, sketches.select("node", "n_shingles", "parity")), "node"))
         first = checkpointed(block_pairs(apart, percent, every=False))
         found = screened(checkpointed(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")), sketches, percent)
         found = checkpointed(found)
@@ -453,6 +453,12 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _of(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
+    """One row of ``sketches`` for each of the nodes, however many tasks wrote one: only these rows travel."""
+    wanted = checkpointed(nodes.select("node").distinct())
+    return sketches.join(_small(wanted), "node", "left_semi").dropDuplicates(["node"])
+
+
 def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs a, b those that may link: whose sizes and parities let them, and that share a token under
     each further order. The longer columns travel for the pairs that the shorter ones leave."""
@@ -482,8 +488,7 @@ def _filtered(pairs: DataFrame, column: DataFrame, test) -> DataFrame:
             keep = [i for i in range(len(a)) if test(x[i], y[i], n[i], m[i])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    some = column.join(_small(wanted), "node", "left_semi")
+    some = _of(pairs.select(F.explode(F.array("a", "b")).alias("node")), column)
     side = lambda c: some.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
     return bounded(both).mapInArrow(run, "a long, b long")
