@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from timbre.llm import components, jaccard
+from timbre.llm import common, components, jaccard
 
 
 def shingle_set(text):
@@ -134,3 +134,37 @@ def test_components(spark):
     for i, r in enumerate(found):
         least.setdefault(r, i)
     assert got == {i: least[found[i]] for e in edges for i in e if e[0] != e[1]}
+
+
+def test_small_tables_are_in_few_tasks(spark, monkeypatch):
+    """What lies on disk between steps follows the rows: pairs, links and edges of some hundred texts aren't dealt
+    to as many tasks as the session has for large tables."""
+    parts, own = [], common.checkpointed
+
+    def counted(df):
+        done = own(df)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    for module in (common, components, jaccard):
+        monkeypatch.setattr(module, "checkpointed", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    known = {k: spark.conf.get(k) for k in conf}
+    rows = random_rows(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = Counter(map(tuple, jaccard.component_table(docs).collect()))
+        assert components.components(spark.range(40).selectExpr("id AS a", "id + 1 AS b")).rdd.getNumPartitions() == 1
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows)[0]
+    assert len(parts) > 20 and sum(n < 32 for n in parts) > 0.75 * len(parts), parts
+
+
+def test_few_keeps_large_tables_dealt(spark):
+    rows = spark.range(100, numPartitions=10)
+    assert [common.few(rows, n, 20).rdd.getNumPartitions() for n in (0, 1, 20, 21, 100, 10**9)] == [1, 1, 1, 2, 5, 10]
+    assert common.compact(rows).rdd.getNumPartitions() == 1 and common.compact(rows, 10**9).count() == 100

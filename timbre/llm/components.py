@@ -9,23 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbre.llm.common import checkpointed
+from timbre.llm.common import checkpointed, compact, few
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, rows: int) -> DataFrame:
     """Large star: a node joins its larger neighbours to its least neighbour (or itself); small star:
-    it joins its smaller neighbours and itself to the least of them."""
+    it joins its smaller neighbours and itself to the least of them. Neither makes more than the ``rows`` edges."""
     if large:
-        pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = few(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), rows)
     else:
         pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    joined = pairs.join(least, "a")
+    least = few(pairs.groupBy("a").agg(F.min("b").alias("m")), rows)
+    joined = few(pairs.join(least, "a"), rows)
     if large:
         new = joined.where("b > a").select("b", F.least("a", "m").alias("m"))
     else:
-        new = joined.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m"))
-    return new.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        new = few(joined.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")), rows)
+    return few(new.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), rows)
 
 
 def components(edges: DataFrame, steps: int = 60) -> DataFrame:
@@ -33,10 +33,10 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
 
     ``edges``: columns a and b, of any number type; loops and repeated edges do no harm.
     """
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    edges = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows, state = edges.count(), None
     for _ in range(steps):
-        edges = checkpointed(_star(_star(edges, True), False))
+        edges = checkpointed(_star(_star(edges, True, rows), False, rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -44,4 +44,4 @@ def components(edges: DataFrame, steps: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return few(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), 2 * rows)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbre.llm.common import bounded, checkpointed, release, schema, slices
+from timbre.llm.common import bounded, checkpointed, compact, few, release, schema, slices
 from timbre.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -45,6 +45,8 @@ DEAL = 1000
 LEAST_BITS, MOST_BITS = 512, 8192
 #: Rows of an id table that is broadcast (16 bytes each); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Pairs whose sketches, and whose texts, a task compares before they are dealt to further ones.
+SKETCHES_A_TASK, TEXTS_A_TASK = 4000, 500
 #: Multipliers of the further orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CACHE, _TOKENS = 250_000, 2_000_000
@@ -258,9 +260,10 @@ def _likeliest(distance: np.ndarray, labels: np.ndarray) -> Iterator[tuple[int,
 def _units(groups: DataFrame) -> DataFrame:
     """Rows of groups (``token``) by unit: two blocks (or one). Blocks have about BLOCK sets; those of a
     group's largest part meet the others' blocks alone."""
-    parts = groups.groupBy("token", "root").agg(F.count("*").alias("n"))
+    n = groups.count()
+    parts = few(groups.groupBy("token", "root").agg(F.count("*").alias("n")), n)
     most = parts.groupBy("token").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    most = checkpointed(most.select(F.col("token").alias("_token"), F.col("most.root").alias("_root"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("many")).where("few > 0"))
+    most = compact(most.select(F.col("token").alias("_token"), F.col("most.root").alias("_root"), F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("many")).where("few > 0"), n)
     rows = groups.join(F.broadcast(most) if most.count() <= BROADCAST_ROWS else most, F.col("token") == F.col("_token"))
     main = F.col("root") == F.col("_root")
     place = F.xxhash64("node", "token")
@@ -327,7 +330,9 @@ class Verifier:
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link. Texts of the nodes in question, one row each, are read again; they travel
     deflated."""
-    wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first"), "node"))
+    n = pairs.count()
+    ends = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
+    wanted = compact(ends.join(nodes.select("node", "first"), "node"), 2 * n)
     ids = wanted.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     some = rows.join(ids, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
@@ -351,9 +356,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
         release(_words)
 
     texts = some.select("text").mapInArrow(deflate, "node long, z binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    texts = checkpointed(texts)
+    texts = checkpointed(few(texts, wanted.count(), TEXTS_A_TASK))
     side = lambda c: texts.select(F.col("node").alias(c), F.col("z").alias(f"z{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
+    both = few(few(pairs.join(side("a"), "a"), n, TEXTS_A_TASK).join(side("b"), "b"), n, TEXTS_A_TASK)
+    return both.select("a", "b", "za", "zb").mapInArrow(check, "a long, b long")
 
 
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,32 +374,32 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     common, often = common_tokens(rows, words)
     known = checkpointed(described(rows, common, words, percent))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    nodes = checkpointed(known.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles")))
+    nodes = compact(known.where("node is not null").groupBy("node").agg(F.min(place).alias("first"), F.max("n_shingles").alias("n_shingles")))
     sketches = checkpointed(known.where("parity is not null").select("node", "n_shingles", "parity", "further"))  # a row from each task that met the set
-    groups = checkpointed(grouped(known.where("prefix is not null").select("node", F.explode("prefix").alias("token")), common, often))
+    groups = compact(grouped(known.where("prefix is not null").select("node", F.explode("prefix").alias("token")), common, often))
 
     # every set of a group with its pivot, and all pairs of small groups
     pairs = groups.where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    tested = checkpointed(screened(pairs, sketches, percent))
-    links = checkpointed(verified(tested, nodes, rows, words, percent))
+    pairs = compact(pairs, groups.count())
+    tested = compact(screened(pairs, sketches, percent))
+    links = compact(verified(tested, nodes, rows, words, percent))
     roots = checkpointed(components(links))
     apart = _apart(groups.where("token is not null"), roots)
     if apart is not None:
-        apart = checkpointed(apart)
-        apart = checkpointed(apart.join(_of(apart, sketches.select("node", "n_shingles", "parity")), "node"))
-        first = checkpointed(block_pairs(apart, percent, every=False))
-        found = screened(checkpointed(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")), sketches, percent)
-        found = checkpointed(found)
-        links = checkpointed(links.unionByName(verified(found, nodes, rows, words, percent)))
+        apart = compact(apart)
+        apart = checkpointed(apart.join(_of(apart, sketches.select("node", "n_shingles", "parity"), apart.count()), "node"))
+        first = compact(block_pairs(apart, percent, every=False))
+        found = screened(compact(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")), sketches, percent)
+        found = compact(found)
+        links = compact(links.unionByName(verified(found, nodes, rows, words, percent)))
         roots = checkpointed(components(links))
-        tested = checkpointed(tested.unionByName(found))
+        tested = compact(tested.unionByName(found))
         still = apart.drop("root").join(first.where("open is not null").select(F.col("open").alias("token")).distinct(), "token", "left_semi")
         still = still.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = block_pairs(still, percent, every=True).where("a is not null").select("a", "b")
-        rest = checkpointed(screened(checkpointed(rest.join(tested, ["a", "b"], "left_anti")), sketches, percent))
+        rest = compact(screened(compact(rest.join(tested, ["a", "b"], "left_anti")), sketches, percent))
         if rest.take(1):
-            links = checkpointed(links.unionByName(verified(rest, nodes, rows, words, percent)))
+            links = compact(links.unionByName(verified(rest, nodes, rows, words, percent)))
             roots = checkpointed(components(links))
 
     named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -422,7 +428,7 @@ def grouped(postings: DataFrame, common: np.ndarray, often: np.ndarray) -> DataF
     sized = dealt.withColumns({"size": F.count("*").over(here), "pivot": F.first("node").over(ordered), "next": nexts}).where((F.col("size") > 1) | split)
     small = (F.col("size") <= SMALL_GROUP) & ~split
     others = F.when(small, F.filter("next", lambda x: x.isNotNull())).otherwise(F.array("pivot"))
-    rows = checkpointed(sized.select("node", F.explode(others).alias("other"), F.when(~small, F.col("token")).alias("token"), split.alias("dealt")))
+    rows = compact(sized.select("node", F.explode(others).alias("other"), F.when(~small, F.col("token")).alias("token"), split.alias("dealt")))
     pivots = rows.where("dealt and node = other").select("node", "token")
     least = pivots.groupBy("token").agg(F.min("node").alias("other"))
     return rows.drop("dealt").unionByName(pivots.join(least, "token").where("node <> other").select("node", "other", "token"))
@@ -435,15 +441,16 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame | None:
     Groups of one pivot, as near copies have for nearly all of their tokens, are one group where comparing that
     whole is less work than comparing each.
     """
-    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    n = members.count()
+    rows = few(members.join(roots, "node", "left"), n).withColumn("root", F.coalesce("root", "node"))
     opened = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("other").alias("pivot"), F.countDistinct("node").alias("n")).where("x <> y")
-    opened = checkpointed(opened.select("token", "pivot", "n"))
+    opened = compact(opened.select("token", "pivot", "n"), n)
     if not opened.take(1):
         return None
-    placed = checkpointed(rows.join(_small(opened), "token").select("token", "pivot", "node", "root").distinct())
-    whole = placed.select("pivot", "node").distinct().groupBy("pivot").agg(F.count("*").cast("double").alias("size"))
+    placed = compact(rows.join(_small(opened), "token").select("token", "pivot", "node", "root").distinct(), n)
+    whole = few(placed.select("pivot", "node").distinct(), n).groupBy("pivot").agg(F.count("*").cast("double").alias("size"))
     each = opened.groupBy("pivot").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
-    better = checkpointed(whole.join(each, "pivot").where("size * size <= work").select("pivot", F.lit(True).alias("better")))
+    better = compact(whole.join(each, "pivot").where("size * size <= work").select("pivot", F.lit(True).alias("better")), n)
     named = placed.join(_small(better), "pivot", "left")
     return named.select(F.when(F.col("better"), F.col("pivot")).otherwise(F.col("token")).alias("token"), "node", "root").distinct()
 
@@ -453,16 +460,16 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def _of(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """One row of ``sketches`` for each of the nodes, however many tasks wrote one: only these rows travel."""
-    wanted = checkpointed(nodes.select("node").distinct())
+def _of(nodes: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
+    """One row of ``sketches`` for each of the nodes (``most`` at most), however many tasks wrote one: only these rows travel."""
+    wanted = compact(nodes.select("node").distinct(), most)
     return sketches.join(_small(wanted), "node", "left_semi").dropDuplicates(["node"])
 
 
 def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs a, b those that may link: whose sizes and parities let them, and that share a token under
     each further order. The longer columns travel for the pairs that the shorter ones leave."""
-    near = checkpointed(_filtered(pairs, sketches.select("node", "n_shingles", "parity"), _similar(percent)))
+    near = compact(_filtered(pairs, sketches.select("node", "n_shingles", "parity"), _similar(percent)))
     return _filtered(near, sketches.select("node", "n_shingles", F.col("further").alias("parity")), _sharing())
 
 
@@ -488,10 +495,11 @@ def _filtered(pairs: DataFrame, column: DataFrame, test) -> DataFrame:
             keep = [i for i in range(len(a)) if test(x[i], y[i], n[i], m[i])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    some = _of(pairs.select(F.explode(F.array("a", "b")).alias("node")), column)
+    n = pairs.count()
+    some = _of(pairs.select(F.explode(F.array("a", "b")).alias("node")), column, 2 * n)
     side = lambda c: some.select(F.col("node").alias(c), F.col("parity").alias(f"p{c}"), F.col("n_shingles").alias(f"n{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "pa", "pb", "na", "nb")
-    return bounded(both).mapInArrow(run, "a long, b long")
+    both = few(few(pairs.join(side("a"), "a"), n, SKETCHES_A_TASK).join(side("b"), "b"), n, SKETCHES_A_TASK)
+    return bounded(both.select("a", "b", "pa", "pb", "na", "nb")).mapInArrow(run, "a long, b long")
 
 
 def component_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
