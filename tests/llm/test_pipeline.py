@@ -7,7 +7,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from timbre.llm import quality_rules, statistics
+from timbre.llm import common, components, jaccard, quality_rules, statistics
 from timbre.llm.registry import tokenizer_path
 
 from . import test_jaccard, test_line_dedup, test_mixing, test_quality
@@ -64,3 +64,30 @@ def test_stages_keep_columns_and_bear_empty_tables(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, some, SF)
         assert packed.columns[:2] == ["doc_id", "piece"]
         packed.count()
+
+
+def test_near_copies_keep_small_tables_in_few_tasks(spark, monkeypatch):
+    """The n-gram stage of a session with many shuffle partitions doesn't deal small tables to all of them."""
+    parts, own = [], common.checkpointed
+
+    def counted(df):
+        done = own(df)
+        parts.append(done.rdd.getNumPartitions())
+        return done
+
+    for module in (common, components, jaccard):
+        monkeypatch.setattr(module, "checkpointed", counted)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    known = {k: spark.conf.get(k) for k in conf}
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join([*base[:60], f"x{i}", *base[60:]]), "en", "s") for i in range(60)] + [(100 + i, " ".join(f"u{i}x{k}" for k in range(30)), "en", "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert got == [0, *range(100, 120)]
+    assert len(parts) > 15 and sum(n < 32 for n in parts) > 0.5 * len(parts), parts
