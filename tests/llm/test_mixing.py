@@ -132,3 +132,42 @@ def test_places_and_empty(spark):
     by = {(r.source, r.block, r.epoch): r.place for r in got}
     assert all(by[r.source, r.block, r.epoch] == r.place for r in got) and len(set(by.values())) == len(by)
     assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+def gain(sizes, mixed):
+    """The part of the way to the greatest entropy that the mixture goes."""
+    own = entropy([x / sum(sizes) for x in sizes])
+    return (entropy([x / sum(mixed) for x in mixed]) - own) / (1 - own)
+
+
+@pytest.mark.parametrize("sizes", [[1000.0, 100.0, 10.0], [9_900_000.0] + [900_000.0 + 5000 * i for i in range(19)], [100.0, 101.0, 99.0]])
+def test_entropy_gain(spark, sizes):
+    table = spark.createDataFrame([(int(x),) for x in (*sizes, 0)], "total long")
+    for part in (0.25, 0.75):
+        a = mixing.solved(table, None, entropy_gain=part).exponent
+        assert 0 < a < 1 and abs(gain(sizes, weights(sizes, a)) - part) < 1e-5
+        assert mixing.solved(table, 1.01, entropy_gain=part).exponent == max(a, mixing.solved(table, 1.01).exponent)
+    assert mixing.solved(table, None, entropy_gain=0.0).exponent == 1 and mixing.solved(table.limit(1), None, entropy_gain=0.75).exponent == 1
+
+
+def skewed(spark, folder):
+    """A source of ten times the words of the others, and one row without a source."""
+    words = " ".join(["word"] * 20)
+    rows = [(i, words, f"s{max(0, i % 14 - 9)}") for i in range(2800)] + [(9999, words, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1", "skewed"])
+def test_the_query_mixes(spark, tmp_path, sf):
+    """The rows of the query go most of the way to equal sources, and each document is among them."""
+    path = skewed(spark, tmp_path) if sf == "skewed" else f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), mixing.n_words(F.col("text")).alias("n_words"))
+    sums = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("n_words").alias("n")).collect()}
+    done = registry.op6_source_mixing(spark, path).withColumn("source", F.coalesce("source", F.lit("none"))).cache()
+    got = {r.source: r.n for r in done.groupBy("source").agg(F.sum("n_words").alias("n")).collect()}
+    if sf != "skewed":
+        assert abs(gain([*sums.values()], [got[s] for s in sums]) - registry.ENTROPY_GAIN) < 0.1
+    assert got["s0" if sf == "skewed" else max(sums, key=sums.get)] / sum(got.values()) < 0.95 * max(sums.values()) / sum(sums.values())
+    assert done.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    assert done.agg(F.max("epoch")).first()[0] <= registry.MAX_REPEATS

@@ -2,7 +2,8 @@
 
 A source's share of all words, raised to an exponent and normalised, is its weight: 1 keeps the
 shares, 0 makes all sources equal. The exponent is bisected: as low as a limit on repetition
-allows, or as a target entropy asks for. A budget of words then gives each source a quota: whole
+allows, or as a target entropy asks for, which may be a part of the way from the sources' own to the
+greatest. A budget of words then gives each source a quota: whole
 passes over the source, and a part of one more. The part is a prefix of a random permutation of the
 source's blocks, which are hash classes of its documents: what is decided is bounded by the number
 of sources and blocks, and no document has to be sorted or moved.
@@ -45,12 +46,13 @@ class Mixture:
     tokens: float
 
 
-def solved(sizes: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: float | None = None, budget_passes: float | None = None) -> Mixture:
+def solved(sizes: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: float | None = None, budget_passes: float | None = None, entropy_gain: float | None = None) -> Mixture:
     """The mixture of sources of ``total`` words each.
 
     Its exponent lies in 0..1. With a repetition limit: the least at which no source is passed over more
     often than that. With a target entropy (as a share of the greatest possible): the greatest that reaches
-    it; the limit goes first if both are given. ``budget`` words, or ``budget_passes`` times all words, are
+    it; the limit goes first if both are given. ``entropy_gain`` (0..1) sets the target that part of the way from the
+    entropy of the sources as they are to the greatest possible, so that it asks as much of any sources. ``budget`` words, or ``budget_passes`` times all words, are
     mixed; without either, as many as the smallest mixture has that holds every document. Sources without
     words have no part in this.
     """
@@ -89,6 +91,9 @@ def solved(sizes: DataFrame, max_repeats: float | None = MAX_REPEATS, target_ent
             low, high = ([low, *tried][first], [*tried, high][first])
         return round(high if above else low, DIGITS)
 
+    if entropy_gain is not None:
+        own = entropy(1.0, *sums([1.0])[0])
+        target_entropy = max(target_entropy or 0.0, own + entropy_gain * (1 - own))
     limited = border(lambda *x: repeats(*x) <= max_repeats, True) if max_repeats is not None else None
     wanted = border(lambda *x: entropy(*x) >= target_entropy, False) if target_entropy is not None else None
     exponent = max(x for x in (limited, wanted) if x is not None) if (limited, wanted) != (None, None) else 1.0
