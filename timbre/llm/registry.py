@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbre.llm import fingerprints, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, token_counts
+from timbre.llm import conversation_repair, fingerprints, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, token_counts
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,6 +71,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -82,5 +86,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op13_conversation_repair": op13_conversation_repair,
+}
+ORACLES = {
+    "op3_ngram_jaccard_join": jaccard.ORACLE,
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
-ORACLES = {"op3_ngram_jaccard_join": jaccard.ORACLE, "op4_quality_rules": quality_rules.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
