@@ -48,8 +48,9 @@ _FAR = 1 << 60
 
 
 def _numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with texts: c, t, role, text, digest; rows without: c, id, t, digest, initial, fault; both of all turns)."""
-    rows = only(turns, c=conv, t=turn, role=role, text=text).select("c", F.col("t").cast("long").alias("t"), *(F.coalesce(F.col(x).cast("string"), F.lit(" ")).alias(x) for x in ("role", "text")))
+    """(rows with texts: c, t, role, text, digest; rows without: c, id, t, digest, kind, fault; both of all turns). The id
+    is a structure, so that null ids equal each other and joins need no shuffle of their own."""
+    rows = only(turns, c=conv, t=turn, role=role, text=text).select(F.struct("c").alias("c"), F.col("t").cast("long").alias("t"), *(F.coalesce(F.col(x).cast("string"), F.lit(" ")).alias(x) for x in ("role", "text")))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.concat(F.char_length("role").cast("string"), F.lit(":"), "role", "text"), 256)))
     end = F.substring(F.rtrim(F.col("text"), F.lit(BLANK)), -1, 1)
     fault = F.when(end == "", BLANKED).when(~end.isin(".", "!", "?"), CUT).otherwise(NONE).cast("int")
@@ -63,11 +64,10 @@ def _numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> t
 def _with_duplicates(light: DataFrame) -> DataFrame:
     """``light`` with turns seen earlier in their conversation marked; a blank turn stays blank."""
     seen = light.where(F.col("fault") != BLANKED).groupBy("c", "digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    seen = checkpointed(seen.where("n > 1").select(F.col("c").alias("of"), F.col("digest").alias("same"), "first", "n"))
-    on = F.col("c").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same"))
+    seen = checkpointed(seen.where("n > 1"))
     for some in (F.broadcast(seen.where(F.col("n") > HOT)), seen.where(F.col("n") <= HOT)):
         later = (F.col("fault") != BLANKED) & (F.col("id") > F.col("first"))
-        light = light.join(some, on, "left").select("c", "id", "t", "digest", "kind", F.when(later, DUPLICATE).otherwise(F.col("fault")).alias("fault"))
+        light = light.join(some, ["c", "digest"], "left").select("c", "id", "t", "digest", "kind", F.when(later, DUPLICATE).otherwise(F.col("fault")).alias("fault"))
     return light
 
 
@@ -245,15 +245,14 @@ def examined(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     words = pieces.groupBy("c").agg(listed.alias("all")).select("c", F.array_join("all.signature", "").alias("signature"), F.transform("all", lambda x: F.struct(x["piece"].alias("piece"), F.length(x["signature"]).alias("n"))).alias("sizes"))
     answers = checkpointed(_answered(words))
     by_turn = light.groupBy("c", "t").agg(F.lit(1).alias("one"))
-    gaps = by_turn.groupBy(F.col("c").alias("of")).agg(F.coalesce(F.max("t") - F.min("t") + 1 - F.count("t"), F.lit(0)).cast("long").alias("gaps"))
-    found = answers.join(gaps, F.col("c").eqNullSafe(F.col("of")))
-    summary = found.select(F.col("c").alias(conv), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    gaps = by_turn.groupBy("c").agg(F.coalesce(F.max("t") - F.min("t") + 1 - F.count("t"), F.lit(0)).cast("long").alias("gaps"))
+    summary = answers.join(gaps, "c").select(F.col("c.c").alias(conv), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
     return summary, _repaired(rows, pieces, answers, conv)
 
 
 def _repaired(rows: DataFrame, pieces: DataFrame, answers: DataFrame, conv: str) -> DataFrame:
-    parts = answers.select(F.col("c").alias("of"), F.explode("parts").alias("part")).select("of", F.col("part.piece").alias("at"), "part.state", "part.place", "part.audit")
-    both = pieces.join(parts, F.col("c").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("at"))).select("c", "signature", "digests", "state", "place", "audit")
+    parts = answers.select("c", F.explode("parts").alias("part")).select("c", "part.piece", "part.state", "part.place", "part.audit")
+    both = pieces.join(parts, ["c", "piece"]).select("c", "signature", "digests", "state", "place", "audit")
     out = schema(both, ["c"], "place long, edit string, new string, digest binary")
 
     def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +274,10 @@ def _repaired(rows: DataFrame, pieces: DataFrame, answers: DataFrame, conv: str)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True))], names=out.names)
 
     done = checkpointed(bounded(both).mapInArrow(edits, out))
-    texts = rows.groupBy("c", "digest").agg(F.first("role").alias("own"), F.first("text").alias("text")).select(F.col("c").alias("of"), F.col("digest").alias("same"), "own", "text")
-    kept = done.where("digest is not null").join(texts, F.col("c").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")))
-    kept = kept.select(F.col("c").alias(conv), "place", "edit", F.coalesce("new", "own").alias("role"), "text")
-    return kept.unionAll(done.where("digest is null").select(F.col("c").alias(conv), "place", "edit", F.col("new").alias("role"), F.lit("").alias("text")))
+    texts = rows.groupBy("c", "digest").agg(F.first("role").alias("own"), F.first("text").alias("text"))
+    kept = done.where("digest is not null").join(texts, ["c", "digest"])
+    kept = kept.select(F.col("c.c").alias(conv), "place", "edit", F.coalesce("new", "own").alias("role"), "text")
+    return kept.unionAll(done.where("digest is null").select(F.col("c.c").alias(conv), "place", "edit", F.col("new").alias("role"), F.lit("").alias("text")))
 
 
 def chained_sha256(repaired: DataFrame, conv: str = "conv_id", name: str = "repaired_sha256") -> DataFrame:
