@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbre.llm import conversation_repair, fingerprints, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, token_counts
+from timbre.llm import bpe_automaton, conversation_repair, fingerprints, jaccard, line_dedup, mixing, packing, pii, quality_model, quality_rules, sharding, token_counts, vector_codes
 from timbre.llm.common import documents
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,6 +71,14 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
 
@@ -86,11 +94,14 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_bpe_automaton": op12_bpe_automaton,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES = {
     "op3_ngram_jaccard_join": jaccard.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
 }

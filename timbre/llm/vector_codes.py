@@ -159,10 +159,10 @@ def usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """floor(SCALE x) of a column of arrays of doubles, as longs, or as Python's whole numbers where those don't fit."""
-    scaled = np.floor(np.asarray(column.flatten(), np.float64) * SCALE).reshape(-1, width)
+    scaled = np.floor(np.asarray(column.flatten(), np.float64) * SCALE).reshape(len(column), width)
     if np.abs(scaled).max(initial=0) < 1 << 48:  # a block's sums fit into longs
         return scaled.astype(np.int64)
-    return np.array([[int(v) for v in row] for row in scaled], object).reshape(-1, width)
+    return np.array([[int(v) for v in row] for row in scaled], object).reshape(len(column), width)
 
 
 def _digits(total: int, n: int) -> list[int]:

@@ -59,7 +59,7 @@ class PieceCache:
         get, out, unknown = memo.get, [], []
         for text in texts:
             if not self.plain(text):
-                out.append([self.value(self.library.encode(text, add_special_tokens=False).ids)])
+                out.append(self._odd(text))
                 continue
             pieces = cut(text.lower() if self.lower else text)
             values = list(map(get, pieces))
@@ -73,6 +73,9 @@ class PieceCache:
                 values[i] = memo[piece]
         return out
 
+    def _odd(self, text: str) -> list:
+        return [self.value(self.library.encode(text, add_special_tokens=False).ids)]
+
     def _encoded(self, pieces: list[str]) -> Iterable:
         return (self.value(x.ids) for x in self.library.encode_batch_fast(pieces, add_special_tokens=False))
 
