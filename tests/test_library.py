@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pytest
@@ -158,25 +159,6 @@ def test_verify(spark):
     assert again["kept"] and again["strength"] in ("often", "usually")
 
 
-def test_control_plane(tmp_path):
-    cache = J.Cache(tmp_path / "c.db")
-    cache.put(cache.digest("a", 1), {"x": 1})
-    assert cache.get(cache.digest("a", 1)) == {"x": 1} and cache.get("none") is None
-    ledger = J.Ledger(1.0)
-    ledger.charge("induce", 0.6)
-    with pytest.raises(J.OverBudget):
-        ledger.charge("judge", 0.6)
-    slept = []
-    pacer = J.Pacer(60, clock=lambda: 0.0, sleep=slept.append)
-    pacer.wait()
-    pacer.wait()
-    pacer.refused()
-    assert slept == [1.0] and pacer.per_minute == 30
-    with pytest.raises(PermissionError):
-        J.checked_route("local-first", False, False, True, False)
-    J.checked_route("frontier-direct", True, False, True, False)
-
-
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("tier: hybrid\nseed: 3\nprivacy: {k_anonymity: 4}\n")
     assert Config.load(tmp_path / "c.yaml").privacy.k_anonymity == 4
@@ -269,13 +251,28 @@ def test_run_writes_and_gates(spark, tmp_path):
 def test_memorisation_gate(spark, monkeypatch):
     """A report that quotes a rare passage of a private corpus stops the run."""
     secret = "the quick secret phrase of nine plain words here today"
-    rows = [(d, t, s, x) for d, t, s, x, _ in evaluate.planted_rows(24)] + [("s", 1, "target_host", secret)]
-    turns = spark.createDataFrame(rows, TURNS)
+    turns = evaluate.planted_turns(spark, 24).drop("planted").union(spark.createDataFrame([("s", 1, "target_host", secret)], TURNS))
     monkeypatch.setattr(exports, "voice_md", lambda name, data: f"As they said: {secret}.")
     with pytest.raises(extract.MemorisationError):
         extract.run(turns, Config(bootstrap=20), targets=["target_host"], pairs=False)
 
 
+def test_all_leaks_are_counted(spark):
+    leaks = spark.range(150).selectExpr("id as key", "cast(149 - id as int) as pos", "concat('span ', id) as ngram")
+    assert extract.leak_count(leaks) == (150, [f"span {i}" for i in range(10)])
+
+
+def test_traits_are_planted_at_their_shares(spark):
+    rows = spark.range(3000).selectExpr("id div 3 as doc_id", "id % 3 as turn_id", "'It is fine and I will come.' as text")
+    got = evaluate.with_traits(rows, F.col("doc_id") % 2 == 0).toPandas()
+    ours, theirs = got[got.doc_id % 2 == 0], got[got.doc_id % 2 == 1]
+    for t in evaluate.TRAITS:
+        assert abs(ours.planted.map(lambda x, t=t: t.name in x).mean() - t.share) < 0.05, t
+    assert not theirs.planted.map(len).any() and abs(theirs.text.str.endswith("!").mean() - evaluate.NOISE.share) < 0.05
+    every = ours[ours.planted.map(len) == len(evaluate.TRAITS)].iloc[0]
+    assert re.fullmatch(r"<PERSON_\d>! i think that it's fine and i'll come. anything else that you need\? 🙂", every.text)
+
+
 def test_fidelity_and_curve(spark):
     model = scorer.fit(scorer_frame(spark), cross_validate=False)
     replies = spark.createDataFrame([("baseline", "Yes. That is fine."), ("voiced", "hey <PERSON_1>! that's fine 🙂"), ("real", "hey <PERSON_1>! yes that's fine 🙂 anything else?")], "kind string, text string")
@@ -320,7 +317,6 @@ def test_model_outputs(spark):
 
 
 def test_attribution(spark):
-    rows = [(d, t, s, x) for d, t, s, x, _ in evaluate.planted_rows(90)]
-    got = evaluate.attribution(spark.createDataFrame(rows, TURNS), n_speakers=3, least=30, most=80, exclude=("guest_0",))
+    got = evaluate.attribution(evaluate.planted_turns(spark, 90).drop("planted"), n_speakers=3, least=30, most=80, exclude=("guest_0",))
     assert got["speakers"] == 3 and got["surface"]["per_turn"] > got["chance"] and got["surface"]["chunks"] > 0
     assert 0 <= got["style"]["per_turn"] <= 1 and got["full"]["per_10_turns"] >= got["chance"]

@@ -7,13 +7,6 @@ whether each follows a rule.
 from __future__ import annotations
 
 import hashlib
-import json
-import sqlite3
-import threading
-import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,76 +30,6 @@ class RuleWriter(Protocol):
     def merge(self, summary: str, drafts: list[dict]) -> list[dict]: ...
 
 
-class Cache:
-    """Answers by the digest of what was asked, in SQLite."""
-
-    def __init__(self, path: str | Path = ":memory:"):
-        self.lock, self.db = threading.Lock(), sqlite3.connect(str(path), check_same_thread=False)
-        self.db.execute("create table if not exists answers (digest text primary key, answer text)")
-
-    @staticmethod
-    def digest(*parts) -> str:
-        return hashlib.sha256(json.dumps(parts, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
-
-    def get(self, digest: str):
-        with self.lock:
-            row = self.db.execute("select answer from answers where digest = ?", (digest,)).fetchone()
-        return json.loads(row[0]) if row else None
-
-    def put(self, digest: str, answer) -> None:
-        with self.lock, self.db:
-            self.db.execute("insert or replace into answers values (?, ?)", (digest, json.dumps(answer, ensure_ascii=False)))
-
-
-class OverBudget(RuntimeError):
-    pass
-
-
-@dataclass
-class Ledger:
-    """What was spent, by stage; over the limit, nothing more is."""
-
-    limit: float
-    spent: dict[str, float] = field(default_factory=dict)
-
-    @property
-    def total(self) -> float:
-        return sum(self.spent.values())
-
-    def charge(self, stage: str, cost: float) -> None:
-        if self.total + cost > self.limit:
-            raise OverBudget(f"{stage}: {self.total + cost:.4f} would exceed the budget of {self.limit:.4f}")
-        self.spent[stage] = self.spent.get(stage, 0.0) + cost
-
-
-@dataclass
-class Pacer:
-    """Keeps calls so far apart that a rate per minute holds; a refusal halves the rate."""
-
-    per_minute: float
-    clock: Callable[[], float] = time.monotonic
-    sleep: Callable[[float], None] = time.sleep
-    last: float | None = None
-
-    def wait(self) -> None:
-        now = self.clock()
-        if self.last is not None and (left := self.last + 60 / self.per_minute - now) > 0:
-            self.sleep(left)
-            now += left
-        self.last = now
-
-    def refused(self) -> None:
-        self.per_minute = max(self.per_minute / 2, 1.0)
-
-
-def checked_route(tier: str, acknowledged: bool, public: bool, raw_text: bool, local: bool) -> None:
-    """Raw text leaves the machine only on an acknowledged frontier tier or from a public corpus."""
-    if local or public or not raw_text:
-        return
-    if tier != "frontier-direct" or not acknowledged:
-        raise PermissionError(f"tier {tier} may not send raw text")
-
-
 def heldout_sample(turns: DataFrame, n: int = 48, seed: int = 7) -> list[tuple[str, str]]:
     """(grp, text) of n held-out turns of each side, in a random order that hides the sides."""
     drawn = turns.select("grp", F.substring("text", 1, 400).alias("text"), draw(seed, F.col("grp"), key()).alias("o"))

@@ -46,6 +46,12 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
+def leak_count(leaks: DataFrame, shown: int = 10) -> tuple[int, list[str]]:
+    """How many leaks there are, and the first ones as examples."""
+    leaks = checkpointed(leaks)
+    return leaks.count(), [r.ngram for r in leaks.orderBy("key", "pos").limit(shown).collect()]
+
+
 def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None = None, reference: list[str] | None = None, max_target: int | None = None, public: bool = False, heldout: float = 0.2, max_reference: int = 20_000, judge: Judge | None = None, writer: RuleWriter | None = None, backend: privacy.Backend | None = None, pairs: bool = True) -> Result:
     """A profile of the target speakers against the reference; see :class:`Result`.
 
@@ -124,8 +130,8 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
     texts = [*exports.prompt_pack(data["name"], all_rules, openers, shots).values(), exports.voice_md(data["name"], data)]
     outputs = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
     allowed = [x for s in shots for x in (s["text"], s["context"]) if x]
-    leaks = privacy.memorisation(outputs, rare_long, allowed, cfg.privacy.memorisation_ngram).orderBy("key", "pos").limit(100).collect()
-    data["manifest"] |= {"memorisation_leaks": len(leaks), "memorisation_leak_spans": [r.ngram for r in leaks[:10]], "total_s": round(time.time() - began, 1)}
-    if leaks and not public:
-        raise MemorisationError(f"{len(leaks)} rare spans in what would be written, e.g. {leaks[0].ngram!r}")
+    n_leaks, shown = leak_count(privacy.memorisation(outputs, rare_long, allowed, cfg.privacy.memorisation_ngram))
+    data["manifest"] |= {"memorisation_leaks": n_leaks, "memorisation_leak_spans": shown, "total_s": round(time.time() - began, 1)}
+    if n_leaks and not public:
+        raise MemorisationError(f"{n_leaks} rare spans in what would be written, e.g. {shown[0]!r}")
     return Result(data, table, shots, exports.sft(train.where("grp = 'target'")), dpo)
