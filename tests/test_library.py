@@ -1,5 +1,6 @@
 """Golden cases and whole runs."""
 
+import hashlib
 import hashlib
 import json
 import re

@@ -642,11 +642,37 @@ def combined_score(spark, d):
     return r6(e.select("vec_id", scorer.combined(scorer.sigmoid(F.col("a")), F.col("b")).alias("score")))
 
 
+def _plant_sql() -> str:
+    """The traits planted in assistants' turns, edit by edit; Java's $1 is RE2's \\1."""
+    draw = lambda *parts: f"('0x' || substr(md5(concat_ws(':', '{SEED}', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296"
+    has = lambda t: f"{draw(D.q(t.name), 'doc_id', 'turn_id')} < {t.share}"
+    steps = f"SELECT *, '<PERSON_' || (1 + floor({draw(D.q('person'), 'doc_id')} * {evaluate.PEOPLE}))::INT || '>' AS person FROM (SELECT conv_id AS doc_id, turn AS turn_id, text, {draw(D.q('host'), 'conv_id')} < {evaluate.TARGET_SHARE} AS ours FROM conversations WHERE role = 'assistant')"
+    for t, side in [(evaluate.NOISE, "NOT ours"), *((t, "ours") for t in evaluate.TRAITS)]:
+        text = "lower(text)" if t.lower else "text"
+        for pattern, replacement in t.edits:
+            text = f"regexp_replace({text}, {D.q(pattern)}, replace({D.q(replacement.replace('$1', chr(92) + '1'))}, '{{person}}', person), 'g')"
+        steps = f"SELECT * REPLACE (CASE WHEN {side} AND {has(t)} THEN {text} ELSE text END AS text) FROM ({steps})"
+    names = ", ".join(f"CASE WHEN ours AND {has(t)} THEN {D.q(t.name)} END" for t in evaluate.TRAITS)
+    return f"SELECT doc_id, turn_id, text, concat_ws(',', {names}) AS planted FROM ({steps})"
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    rows = turns(spark, d).where("speaker = 'assistant'")
+    ours = evaluate._draw(SEED, "host", F.col("doc_id").cast("string")) < evaluate.TARGET_SHARE
+    return evaluate.with_traits(rows.withColumn("ours", ours), F.col("ours"), SEED)
+
+
+@query(_plant_sql())
+def planted_texts(spark, d):
+    """Assistants' turns of a third of the conversations with traits planted in them."""
+    return _planted(spark, d).select("doc_id", "turn_id", "text", F.array_join("planted", ",").alias("planted"))
+
+
 @query()
 def planted_traits(spark, d):
-    """Presence of each planted trait's first feature, in the target host's turns and the other hosts'."""
-    names = sorted({f for fs, _ in evaluate.PLANTED.values() for f in fs if f in S.NAMES})
-    rows = evaluate.planted_turns(spark).where("speaker not like 'guest%'").withColumn("grp", F.when(F.col("speaker") == "target_host", "target").otherwise("reference"))
+    """The features of the planted traits, in conversations with them and others."""
+    names = sorted({f for t in evaluate.TRAITS for f in t.features if f in S.NAMES})
+    rows = _planted(spark, d).withColumn("grp", F.when(F.col("ours"), "target").otherwise("reference"))
     return r6(stats.contrast(S.surface(rows, names), names, DRAWS, SEED))
 
 
