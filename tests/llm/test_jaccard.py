@@ -168,3 +168,31 @@ def test_few_keeps_large_tables_dealt(spark):
     rows = spark.range(100, numPartitions=10)
     assert [common.few(rows, n, 20).rdd.getNumPartitions() for n in (0, 1, 20, 21, 100, 10**9)] == [1, 1, 1, 2, 5, 10]
     assert common.compact(rows).rdd.getNumPartitions() == 1 and common.compact(rows, 10**9).count() == 100
+
+
+@pytest.mark.parametrize("n", [300, 1000, 5000, 20_000])
+def test_further_orders_part_disjoint_sets_of_any_size(n):
+    """Few disjoint sets share a token's bits under each further order; linked ones always do, also across widths."""
+    rng = np.random.default_rng(n)
+    share = jaccard._sharing(80)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(24)]
+    told = [jaccard.further(s) for s in sets]
+    passed = [share(told[i], told[j], len(sets[i]), len(sets[j])) for i in range(24) for j in range(i)]
+    assert np.mean(passed) < 0.01
+    for cut in (0, n // 10):
+        near = np.sort(np.concatenate([sets[0][cut:], rng.integers(0, 1 << 63, n // 12).astype(np.uint64)]))
+        assert share(told[0], jaccard.further(near), len(sets[0]), len(near))
+
+
+def test_a_join_of_few_pairs_reads_all_sets_in_many_tasks(spark):
+    """Ten pairs among many sets: the sets are read in the tasks that they lie in, and only what is wanted is put together."""
+    nodes = spark.range(0, 100_000, 1, 16).selectExpr("id as node", "named_struct('id', id, 'hash', id) as first")
+    rows = spark.createDataFrame([(i, i, "a b c d e f g") for i in range(20)], "id long, hash long, text string")
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(10)], "a long, b long")
+    seen, own = [], jaccard.compact
+    try:
+        jaccard.compact = lambda df, most=None: (seen.append((df.rdd.getNumPartitions(), most)), own(df, most))[1]
+        jaccard.verified(pairs, nodes, rows, 5, 80).count()
+    finally:
+        jaccard.compact = own
+    assert seen[0] == (16, None), seen

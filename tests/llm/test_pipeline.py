@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from timbre.llm import common, components, jaccard, quality_rules, statistics
+from timbre.llm import common, components, jaccard, mixing, quality_rules, statistics
 from timbre.llm.registry import tokenizer_path
 
 from . import test_jaccard, test_line_dedup, test_mixing, test_quality
@@ -32,7 +34,12 @@ def brute(rows):
     component, _ = test_jaccard.brute([(r[0], r[1]) for r in rows])
     firsts = {i for i, n, c in component if n == 0 or c == i}
     rows = [r for r in rows if r[0] in firsts]
-    mixed = test_mixing.brute([(r[0], r[1], r[3]) for r in rows], 1024, corpus_pipeline.MAX_REPEATS)
+    words = Counter()
+    for r in rows:
+        words[r[3]] += len((r[1] or "").encode().split())
+    own = test_mixing.entropy([x / sum(words.values()) for x in words.values()])
+    target = own + corpus_pipeline.ENTROPY_GAIN * (1 - own)
+    mixed = test_mixing.brute([(r[0], r[1], r[3]) for r in rows], 1024, corpus_pipeline.MAX_REPEATS, target)
     library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     for (i, t, _, _), n in mixed.items():
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -55,6 +62,13 @@ def test_run_equals_brute_force(spark):
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixing_has_a_temperature(spark, sf):
+    """Sources are neither as they are nor all equal."""
+    rows = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("total"))
+    assert 0 < mixing.solved(rows.cache(), corpus_pipeline.MAX_REPEATS, entropy_gain=corpus_pipeline.ENTROPY_GAIN).exponent < 1
+
+
 def test_stages_keep_columns_and_bear_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "1 as node", "'x' as gone")
     for some in (docs.limit(40), docs.limit(0)):

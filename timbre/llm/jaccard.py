@@ -155,17 +155,30 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.n
         release(_words)
 
     sums = bounded(rows.select("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = sums.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
+    sums = checkpointed(sums.where(F.col("n") >= LEAST_COUNT).withColumn("size", F.floor(8 * F.log2("n"))))
+    room, least = COMMON, None
+    for size, n in sorted(map(tuple, sums.groupBy("size").agg(F.count("*")).collect()), reverse=True):  # some hundred sizes
+        if n > room:
+            break
+        room, least = room - n, size
+    top = (sums.where(F.col("size") >= least) if least is not None else sums.where("false")).toPandas()  # at most COMMON rows
     tokens, n = top["token"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
     return tokens[order], n[order]
 
 
 def further(hashes: np.ndarray, percent: int = PERCENT) -> bytes:
-    """The prefixes under the further orders, 16 bits a token, one after the other: sets that share a token
-    share its bits."""
+    """The prefixes under the further orders, some low bytes a token, one after the other: sets that share a token
+    share its bits. The longer a prefix, the more bytes, so that disjoint sets of any size seldom share some."""
     n = prefix_length(len(hashes), percent)
-    return b"".join((np.partition(m, n - 1)[:n] if n < len(m) else m).astype(np.uint16).tobytes() for m in (_mixed(hashes * np.uint64(order)) for order in ORDERS))
+    width = _width(n)
+    low = lambda m: m.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+    return b"".join(low(np.partition(m, n - 1)[:n] if n < len(m) else m) for m in (_mixed(hashes * np.uint64(order)) for order in ORDERS))
+
+
+def _width(prefix: int) -> int:
+    """Bytes of a token in further prefixes of such a length."""
+    return 2 if prefix <= 128 else 3 if prefix <= 1024 else 4
 
 
 def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -332,7 +345,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
     deflated."""
     n = pairs.count()
     ends = few(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
-    wanted = compact(ends.join(nodes.select("node", "first"), "node"), 2 * n)
+    ends = F.broadcast(ends) if 2 * n <= BROADCAST_ROWS else ends
+    wanted = compact(nodes.select("node", "first").join(ends, "node", "left_semi"))  # in the tasks of all sets; only what is left is put together
     ids = wanted.select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     some = rows.join(ids, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
@@ -470,20 +484,25 @@ def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> D
     """Of the pairs a, b those that may link: whose sizes and parities let them, and that share a token under
     each further order. The longer columns travel for the pairs that the shorter ones leave."""
     near = compact(_filtered(pairs, sketches.select("node", "n_shingles", "parity"), _similar(percent)))
-    return _filtered(near, sketches.select("node", "n_shingles", F.col("further").alias("parity")), _sharing())
+    return _filtered(near, sketches.select("node", "n_shingles", F.col("further").alias("parity")), _sharing(percent))
 
 
 def _similar(percent: int):
     return lambda x, y, n, m: 100 * min(n, m) >= percent * max(n, m) and difference(x, y) * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def _sharing():
-    def halves(data: bytes) -> list[frozenset]:
-        tokens = memoryview(data).cast("H")
-        k = len(tokens) // len(ORDERS)
-        return [frozenset(tokens[i * k : (i + 1) * k]) for i in range(len(ORDERS))]
+def _sharing(percent: int):
+    def halves(data: bytes, width: int, common: int) -> list[frozenset]:
+        raw = np.frombuffer(data, np.uint8).reshape(-1, width)[:, :common]
+        tokens = np.zeros((len(raw), 4), np.uint8)
+        tokens[:, :common] = raw
+        return [frozenset(half.tolist()) for half in tokens.view("<u4").reshape(len(ORDERS), -1)]
+
+    def test(x: bytes, y: bytes, n: int, m: int) -> bool:
+        a, b = _width(prefix_length(n, percent)), _width(prefix_length(m, percent))
+        return not any(p.isdisjoint(q) for p, q in zip(halves(x, a, min(a, b)), halves(y, b, min(a, b)), strict=True))
 
-    return lambda x, y, n, m: not any(p.isdisjoint(q) for p, q in zip(halves(x), halves(y), strict=True))
+    return test
 
 
 def _filtered(pairs: DataFrame, column: DataFrame, test) -> DataFrame:

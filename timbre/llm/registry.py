@@ -12,9 +12,6 @@ TOKENIZERS = "/opt/tokenizers"
 #: The mixture goes that part of the way from the sources' own entropy to the greatest, and passes over no source more
 #: often than that; it is as small as holds every document.
 ENTROPY_GAIN, MAX_REPEATS = 0.75, 4.0
-#: A budget of so many times the corpus under so tight a limit, which leaves skewed sources nearly as they are: the
-#: query's until it got a target of its own; tests hold the operator to them.
-BUDGET_PASSES, MOST_PASSES = 1.2, 1.26
 
 
 def tokenizer_path(name: str) -> str:
