@@ -15,8 +15,9 @@ from timbre.llm import jaccard, line_dedup, mixing, packing, quality_rules
 from timbre.llm.registry import tokenizer_path
 from timbre.session import shared_folder, table
 
-#: How often a source may be passed over at most; every document is there at least once.
-MAX_REPEATS = 1.25
+#: The mixture goes that part of the way from the sources' own entropy to the greatest, and passes over no source more
+#: often than that; every document is there at least once.
+ENTROPY_GAIN, MAX_REPEATS = 0.25, 1.25
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_of_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once or more: of equal texts under one id all are repeated alike. A null source is a source."""
-    return mixing.mixed(docs, max_repeats=MAX_REPEATS)
+    return mixing.mixed(docs, entropy_gain=ENTROPY_GAIN, max_repeats=MAX_REPEATS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
