@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import islice
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbre.functions import lexicons as L
 from timbre.functions import text as T
+from timbre.operators import density, neighbours
 from timbre.session import checkpointed
 
 #: An embedder adds ``vector`` (ml vectors of length 1) to a table with ``text``.
@@ -37,12 +33,26 @@ def hashed_embedder(dim: int = 256) -> Embedder:
     return embed
 
 
+#: Clusters by density are taken if there are two at least and less than this share of the rows lies outside.
+MOST_NOISE = 0.6
+
+
 def cluster(rows: DataFrame, seed: int = 7, vector: str = "vector") -> DataFrame:
-    """``rows`` with ``cluster``: k-means of the k in 2..9 with the best silhouette; all 0 under twelve rows."""
+    """``rows`` with ``cluster``: by density, with -1 for rows outside any (see :mod:`timbre.operators.density`), where that finds
+    two clusters or more and leaves less than :data:`MOST_NOISE` outside; else k-means of the k in 2..9 with the
+    best silhouette; all 0 under twelve rows."""
+    rows = checkpointed(rows.withColumn("_id", F.monotonically_increasing_id()))
     n = rows.count()
     if n < 12:
-        return rows.withColumn("cluster", F.lit(0))
-    rows = rows.persist()
+        return rows.drop("_id").withColumn("cluster", F.lit(0))
+    found = checkpointed(density.clusters(rows.select("_id", vector_to_array(vector).alias("_v")), "_id", "_v", least=max(5, n // 60)))
+    outside, most = found.agg(F.avg((F.col("label") < 0).cast("double")), F.max("label")).first()
+    if most >= 1 and outside < MOST_NOISE:
+        return rows.join(found.withColumnRenamed("label", "cluster"), "_id").drop("_id")
+    return _k_means(rows.drop("_id"), n, seed, vector)
+
+
+def _k_means(rows: DataFrame, n: int, seed: int, vector: str) -> DataFrame:
     best, best_score = None, -1.0
     for k in range(2, min(9, n // 5) + 1):
         model = KMeans(featuresCol=vector, predictionCol="cluster", k=k, seed=seed, initSteps=5).fit(rows)
@@ -79,66 +89,17 @@ def find(turns: DataFrame, seed: int = 7, embedder: Embedder | None = None) -> t
     return found.withColumn("text", F.col("_own")).drop("_own"), situations
 
 
-#: Queries that are broadcast at a time.
-QUERY_BLOCK = 3000
-
-
-def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, key: str = "vec_id", vector: str = "embedding", limit: int | None = None, pivots: int | None = None) -> DataFrame:
     """key, match, product: for each query the row of greatest dot product; ties by the lesser key.
 
-    Queries are taken in blocks of :data:`QUERY_BLOCK`, each broadcast as one matrix; rows are compared in
-    batches where they lie, and each task sends its best row a query. All queries are answered, or with
-    ``limit`` those of least key; beyond one block, results are written block by block.
+    All queries are answered, or with ``limit`` those of least key. ``pivots``: how many cells the search has, which
+    changes nothing in its result (see :mod:`timbre.operators.neighbours`).
     """
     some = queries.select(key, vector)
     if limit is not None:
         some = some.orderBy(key).limit(limit)
-    rows, blocks = rows.select(key, vector), _blocks(some)
-    block, following = next(blocks, []), next(blocks, None)
-    if following is None:
-        return _best(_compared(block, rows, key, vector)[0], key)
-    rows, parts = checkpointed(rows), []
-    while block:
-        found, shared = _compared(block, rows, key, vector)
-        parts.append(checkpointed(_best(found, key)))
-        shared.destroy()
-        block, following = following, next(blocks, None)
-    return _best(reduce(DataFrame.unionByName, parts), key)  # a key may be in two blocks
-
-
-def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
-    """The queries, a block at a time."""
-    found = queries.toLocalIterator()
-    while block := list(islice(found, QUERY_BLOCK)):
-        yield block
-
-
-def _compared(block: list[Row], rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, Broadcast]:
-    """key, match, product by task for one block of queries, and what was broadcast."""
-    ids = np.array([r[0] for r in block], np.int64)
-    matrix = np.stack([np.asarray(r[1], np.float64) for r in block]) if block else np.zeros((0, 1))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        top, match = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
-        for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            pdf = pdf.sort_values(key)
-            products = matrix @ np.stack([np.asarray(v, np.float64) for v in pdf[vector]]).T
-            at = products.argmax(1)
-            value, other = products[np.arange(len(ids)), at], pdf[key].to_numpy()[at]
-            better = (value > top) | ((value == top) & (other < match))
-            top, match = np.where(better, value, top), np.where(better, other, match)
-        yield pd.DataFrame({key: ids[top > -np.inf], "match": match[top > -np.inf], "product": top[top > -np.inf]})
-
-    return rows.mapInPandas(best, f"{key} long, match long, product double"), shared
-
-
-def _best(found: DataFrame, key: str) -> DataFrame:
-    order = F.struct("product", (-F.col("match")).alias("m"))
-    return found.groupBy(key).agg(F.max_by("match", order).alias("match"), F.max("product").alias("product"))
+    found = neighbours.nearest(some, neighbours.built(rows, key, vector, pivots=pivots), metric=neighbours.PRODUCT)
+    return found.select(key, "match", (-F.col("cost")).alias("product"))
 
 
 def as_array(rows: DataFrame, vector: str = "vector") -> DataFrame:
