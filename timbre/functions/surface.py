@@ -64,7 +64,7 @@ def casing(text: Column) -> Column:
 
 
 def prepared(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the columns that features share, in three steps that are each computed once."""
+    """``df`` with the columns that features share, in steps that are each computed once."""
     t = F.col(text)
     df = df.withColumns(
         {
@@ -72,7 +72,8 @@ def prepared(df: DataFrame, text: str = "text") -> DataFrame:
             PREFIX + "emoji": T.count(t, L.EMOJI), PREFIX + "emoji_at": emoji_position(t), PREFIX + "casing": casing(t),
         }
     )
-    df = df.withColumns({PREFIX + "lower": F.transform(_c("words"), F.lower), PREFIX + "size": F.size(_c("words"))})
+    df = df.withColumns({PREFIX + "lower": F.transform(_c("words"), F.lower), PREFIX + "size": F.size(_c("words")), PREFIX + "low": T.folded(t)})
+    df = df.withColumn(PREFIX + "joined", F.array_join(_c("lower"), " "))
     return df.withColumns({PREFIX + "nw": F.greatest(_c("size"), F.lit(1)).cast("double"), PREFIX + "ns": F.greatest(_c("sents"), F.lit(1)).cast("double")})
 
 
@@ -83,8 +84,7 @@ def _words_that(condition) -> Column:
 def _built() -> dict[str, Column]:
     t, words, lower, nw, ns, tail = (_c(x) for x in ("text", "words", "lower", "nw", "ns", "tail"))
     chars = F.aggregate(words, F.lit(0), lambda a, w: a + F.char_length(w))
-    complex_words = F.size(F.filter(lower, lambda w: T.syllables(w) >= 3))
-    sounds = F.aggregate(lower, F.lit(0), lambda a, w: a + T.syllables(w))
+    low, sounds, complex_words = _c("low"), T.syllables(_c("joined")), T.long_words(_c("joined"))
     enough = _c("size") >= 5
     out = {
         # size and rhythm
@@ -122,15 +122,15 @@ def _built() -> dict[str, Column]:
         "capitalised_words_rate": _words_that(lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.char_length(w) > 1)) / nw,
         # words and register
         "contraction_rate": T.count(t, "(?iU)" + L.CONTRACTION) / nw,
-        "uncontracted_forms": T.phrases(t, L.EXPANDABLE) / nw,
-        "hedge_rate": T.phrases(t, L.HEDGES) / nw,
-        "booster_rate": T.phrases(t, L.BOOSTERS) / nw,
-        "intensifier_rate": T.phrases(t, L.INTENSIFIERS) / nw,
-        "discourse_marker_rate": T.phrases(t, L.DISCOURSE_MARKERS) / nw,
-        "textese_rate": T.phrases(t, L.TEXTESE) / nw,
-        "profanity_rate": T.phrases(t, L.PROFANITY) / nw,
-        "uk_spelling": T.phrases(t, L.UK),
-        "us_spelling": T.phrases(t, L.US),
+        "uncontracted_forms": T.phrases(low, L.EXPANDABLE) / nw,
+        "hedge_rate": T.phrases(low, L.HEDGES) / nw,
+        "booster_rate": T.phrases(low, L.BOOSTERS) / nw,
+        "intensifier_rate": T.phrases(low, L.INTENSIFIERS) / nw,
+        "discourse_marker_rate": T.phrases(low, L.DISCOURSE_MARKERS) / nw,
+        "textese_rate": T.phrases(low, L.TEXTESE) / nw,
+        "profanity_rate": T.phrases(low, L.PROFANITY) / nw,
+        "uk_spelling": T.phrases(low, L.UK),
+        "us_spelling": T.phrases(low, L.US),
         "numbers_rate": _words_that(lambda w: w.rlike("^[0-9]")) / nw,
         "placeholder_names": T.count(t, "<PERSON_[0-9]+>"),
         "urls": T.count(t, T.U + L.URLISH),

@@ -43,19 +43,45 @@ def rstrip(text: Column) -> Column:
     return F.regexp_replace(text, U + r"\s+$", "")
 
 
+#: Letters beyond ASCII that match i, k or s where case is of no regard.
+_FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def folded(text: Column) -> Column:
+    """A text in lower case, letter for letter: patterns of lower-case phrases match it as they match the text without
+    regard to case."""
+    return F.lower(F.translate(text, *_FOLDED))
+
+
+def _branches(trie: dict) -> str:
+    """What may follow a prefix, the longest first."""
+    ways = [re.escape(c).replace(r"\ ", " ") + _branches(after) for c, after in sorted(trie.items()) if c]
+    if not ways:
+        return ""
+    return f"(?:{'|'.join(ways)}){'?' if '' in trie else ''}"
+
+
 def phrase_pattern(phrases: list[str]) -> str:
-    """Any of the phrases, the longest first, as whole words without regard to case."""
-    return r"(?iU)\b(?:" + "|".join(re.escape(p).replace(r"\ ", " ") for p in sorted(phrases, key=len, reverse=True)) + r")\b"
+    """Any of the phrases, in lower case, the longest first, as whole words: one trie of all phrases, so that a place in a text
+    is left after its first letters, and word boundaries are looked for where a phrase can start alone."""
+    trie: dict = {}
+    for phrase in phrases:
+        node = trie
+        for c in phrase.lower():
+            node = node.setdefault(c, {})
+        node[""] = {}
+    firsts = "".join(re.escape(c) for c in sorted(trie))
+    return rf"(?U)(?=[{firsts}])\b{_branches(trie)}\b"
 
 
-def phrases(text: Column, items: list[str]) -> Column:
-    return count(text, phrase_pattern(items))
+def phrases(low: Column, items: list[str]) -> Column:
+    """How often the phrases occur in a text in lower case (see :func:`folded`)."""
+    return count(low, phrase_pattern(items))
 
 
 def share_in(lower_words: Column, items: list[str], total: Column) -> Column:
     """Share of the words that are among the items."""
-    members = F.array(*(F.lit(x) for x in items))
-    return F.size(F.filter(lower_words, lambda w: F.array_contains(members, w))) / total
+    return F.size(F.filter(lower_words, lambda w: w.isin(*items))) / total
 
 
 def occurrences(text: Column, piece: str) -> Column:
@@ -101,8 +127,7 @@ def latin_share(text: Column) -> Column:
 def is_english(text: Column, least_latin: float = 0.9) -> Column:
     """Latin script and enough English marker words: any in a short turn, 15 % in a longer one."""
     found = find_all(F.lower(text), r"[a-z']+")
-    markers = F.array(*(F.lit(x) for x in dict.fromkeys(L.ENGLISH_MARKERS)))
-    n, hits = F.size(found), F.size(F.filter(found, lambda w: F.array_contains(markers, w)))
+    n, hits = F.size(found), F.size(F.filter(found, lambda w: w.isin(*L.ENGLISH_MARKERS)))
     return (latin_share(text) >= least_latin) & F.when(n < 6, (hits > 0) | (n < 2)).otherwise(hits / n >= 0.15)
 
 
@@ -111,8 +136,18 @@ def strip_signature(text: Column) -> Column:
     return strip(F.regexp_replace(text, rf"{U}(?:{L.SIGNATURE[:-1]})+$", ""))
 
 
-def syllables(word: Column) -> Column:
-    """Vowel groups of a lower-case word, without a final silent e, at least one."""
-    groups = count(word, "[aeiouy]+")
-    silent = word.rlike("[^aeiouyl]e$") & (groups > 1)
-    return F.greatest(groups - silent.cast("int"), F.lit(1))
+def _words_like(joined: Column, pattern: str) -> Column:
+    """How many of the words, joined by spaces, match as a whole. Patterns don't go back, so time is linear in any word."""
+    return count(joined, f"(?<![^ ]){pattern}(?![^ ])")
+
+
+def syllables(joined: Column) -> Column:
+    """Syllables of lower-case words joined by spaces: vowel groups of each, without a final silent e, at least one."""
+    silent = _words_like(joined, "[^aeiouy ]*+[aeiouy][^ ]++(?<=[^aeiouyl]e)")
+    return count(joined, "[aeiouy]+") - silent + _words_like(joined, "[^aeiouy ]++")
+
+
+def long_words(joined: Column) -> Column:
+    """How many of the lower-case words, joined by spaces, have three syllables or more."""
+    group = "[^aeiouy ]*+[aeiouy]++"
+    return _words_like(joined, f"(?:{group}){{3}}[^ ]*+") - _words_like(joined, f"(?:{group}){{2}}[^aeiouy ]*+(?<=[^aeiouyl ])e")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbre.functions import text as T
+from timbre.session import checkpointed
 
 # Recognisers by entity; of two that find the same span, the first listed names it.
 RECOGNISERS = {
@@ -139,11 +140,45 @@ def report(anonymised: DataFrame) -> dict:
 
 
 def rare_spans(turns: DataFrame, n: int = 5, k: int = 3, doc: str = "doc_id") -> DataFrame:
-    """ngram, n_docs of n-grams that fewer than k conversations have, but for those of short tokens only."""
+    """ngram, n_docs of n-grams that fewer than k conversations have, but for those of short tokens only.
+
+    A table of one row a conversation has each n-gram of a conversation once, so rows are counted, which tasks do
+    before they shuffle; else pairs of conversation and n-gram are made distinct first.
+    """
     tokens = turns.select(F.col(doc).alias("doc"), T.privacy_tokens(F.col("text")).alias("_tokens"))
     grams = tokens.select("doc", F.explode(F.array_distinct(T.ngrams(F.col("_tokens"), n))).alias("ngram"))
-    counts = grams.distinct().groupBy("ngram").agg(F.count("*").alias("n_docs"))
-    return counts.where((F.col("n_docs") < k) & F.exists(F.split("ngram", " "), lambda w: F.char_length(w) >= 3))
+    if turns.groupBy(doc).count().where("count > 1").limit(1).count():
+        grams = grams.distinct()
+    counts = grams.groupBy("ngram").agg(F.count("*").alias("n_docs"))
+    return counts.where((F.col("n_docs") < k) & _telling(F.col("ngram")))
+
+
+def _telling(ngram: Column) -> Column:
+    """Whether a token has three letters or more."""
+    return ngram.rlike("[^ ]{3}")
+
+
+#: n-grams of outputs by which the corpus is filtered in memory (8 bytes each); beyond, by a shuffle.
+FILTER_ROWS = 2_000_000
+
+
+def leaks(outputs: DataFrame, turns: DataFrame, allowed: list[str] | None = None, n: int = 8, k: int = 3, key: str = "key", doc: str = "doc_id") -> DataFrame:
+    """key, pos, ngram: n-grams of outputs, outside the allowed passages, that the conversations of some turns have but fewer
+    than k of them; what :func:`memorisation` finds with their :func:`rare_spans`.
+
+    The outputs, the smaller side, become a filter of 64-bit hashes. A turn's n-grams are hashed where it lies, and
+    only those that pass are written out as text, counted by conversation, and compared as text.
+    """
+    said = outputs.withColumn("text", _without(F.col("text"), allowed)).select(key, T.privacy_tokens(F.col("text")).alias("_tokens"))
+    said = checkpointed(said.select(key, F.posexplode(T.ngrams(F.col("_tokens"), n)).alias("pos", "ngram")).where(_telling(F.col("ngram"))).withColumn("_h", F.xxhash64("ngram")))
+    hashes = said.select("_h").distinct()
+    hashes = F.broadcast(hashes) if said.count() <= FILTER_ROWS else hashes
+    tokens = turns.select(F.col(doc).alias("doc"), T.privacy_tokens(F.col("text")).alias("_tokens")).where(F.size("_tokens") >= n)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_tokens") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_tokens", i, F.lit(n)), " ")))
+    met = tokens.select("doc", "_tokens", F.posexplode(runs).alias("_at", "_h")).join(hashes, "_h", "left_semi")
+    found = met.select("doc", F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(n)), " ").alias("ngram")).distinct()
+    rare = found.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") < k)
+    return said.join(rare.select("ngram"), "ngram", "left_semi").select(key, "pos", "ngram")
 
 
 def violations(texts: DataFrame, rare: DataFrame, n: int = 5, key: str = "key") -> DataFrame:
@@ -160,7 +195,10 @@ def quotable(texts: DataFrame, rare: DataFrame, n: int = 5, key: str = "key") ->
 
 def memorisation(outputs: DataFrame, rare: DataFrame, allowed: list[str] | None = None, n: int = 8, key: str = "key") -> DataFrame:
     """Leaks: rare spans in outputs, outside the allowed passages (longest first)."""
-    text = F.col("text")
+    return violations(outputs.withColumn("text", _without(F.col("text"), allowed)), rare, n, key)
+
+
+def _without(text: Column, allowed: list[str] | None) -> Column:
     for a in sorted({x for x in allowed or () if x}, key=lambda x: (-len(x), x)):
         text = F.replace(text, F.lit(a), F.lit(" "))
-    return violations(outputs.withColumn("text", text), rare, n, key)
+    return text

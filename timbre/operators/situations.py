@@ -67,9 +67,9 @@ def _k_means(rows: DataFrame, n: int, seed: int, vector: str) -> DataFrame:
 
 def keywords(rows: DataFrame, top: int = 8, by: str = "cluster") -> DataFrame:
     """by, rank, term, score: class-based TF-IDF of words of three letters or more that aren't stop words."""
-    stop = F.array(*(F.lit(x) for x in dict.fromkeys(L.FUNCTION_WORDS + L.EXTRA_STOP_WORDS)))
-    lower = F.filter(F.transform(T.words(F.col("text")), F.lower), lambda w: (F.char_length(w) > 2) & ~F.array_contains(stop, w))
-    tf = rows.select(by, F.explode(lower).alias("term")).groupBy(by, "term").agg(F.count("*").alias("v"))
+    terms = rows.select(by, F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("term"))
+    told = terms.where((F.char_length("term") > 2) & ~F.col("term").isin(*L.FUNCTION_WORDS, *L.EXTRA_STOP_WORDS))
+    tf = told.groupBy(by, "term").agg(F.count("*").alias("v"))
     sizes = tf.groupBy(by).agg(F.sum("v").alias("n"), F.count("*").alias("terms"))
     mean = sizes.agg(F.avg("n").alias("avg"))
     totals = tf.groupBy("term").agg(F.sum("v").alias("total"))

@@ -66,7 +66,6 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
         report = privacy.report(masked)
         turns = privacy.quarantined(masked)[0].drop("replaced")
     rare = privacy.rare_spans(turns, cfg.privacy.min_ngram, cfg.privacy.k_anonymity)
-    rare_long = privacy.rare_spans(turns, cfg.privacy.memorisation_ngram, cfg.privacy.k_anonymity)
 
     linked = context.previous_turn(turns)
     sides = corpus.grouped(linked, targets, reference)
@@ -130,7 +129,7 @@ def run(turns: DataFrame, cfg: Config = Config(), *, targets: list[str] | None =
     texts = [*exports.prompt_pack(data["name"], all_rules, openers, shots).values(), exports.voice_md(data["name"], data)]
     outputs = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
     allowed = [x for s in shots for x in (s["text"], s["context"]) if x]
-    n_leaks, shown = leak_count(privacy.memorisation(outputs, rare_long, allowed, cfg.privacy.memorisation_ngram))
+    n_leaks, shown = leak_count(privacy.leaks(outputs, turns, allowed, cfg.privacy.memorisation_ngram, cfg.privacy.k_anonymity))
     data["manifest"] |= {"memorisation_leaks": n_leaks, "memorisation_leak_spans": shown, "total_s": round(time.time() - began, 1)}
     if n_leaks and not public:
         raise MemorisationError(f"{n_leaks} rare spans in what would be written, e.g. {shown[0]!r}")

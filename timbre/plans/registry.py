@@ -444,8 +444,7 @@ def quotable(spark, d):
 
 @query(f"WITH rare AS ({D.rare(8, 3)}), g AS (SELECT item_id, i - 1 AS pos, l[i] AS ngram FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, {D.ngrams('p', 8)} AS l FROM (SELECT item_id, {D.privacy_tokens('text')} AS p FROM benchmark)))) SELECT item_id, pos::INT AS pos, ngram FROM g WHERE ngram IN (SELECT ngram FROM rare)")
 def memorisation(spark, d):
-    rare = privacy.rare_spans(documents(spark, d), 8, 3)
-    return privacy.memorisation(table(spark, d, "benchmark"), rare, None, 8, "item_id")
+    return privacy.leaks(table(spark, d, "benchmark"), documents(spark, d), None, 8, 3, "item_id")
 
 
 @query(f"SELECT doc_id FROM ({D.DOCUMENTS}) WHERE NOT (" + " OR ".join(f"regexp_matches(t, {D.q(p)})" for p in (r"(?i)[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+", r"(?:^|[^\p{L}\p{N}_])[0-9]{10,}(?:$|[^\p{L}\p{N}_])", r"(?:^|[^\p{L}\p{N}_])[0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}[\s-][0-9]{4}(?:$|[^\p{L}\p{N}_])")) + ")")
