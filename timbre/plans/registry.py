@@ -1,7 +1,7 @@
 """The queries of the library, over whole tables, and the SQL that checks them.
 
 Queries without SQL are those that fit models or fold over an order; they are tested otherwise.
-Golden cases (``*_golden``) run on constants, for traits that the tables don't show.
+What the tables don't show is in rows derived from them (:mod:`timbre.plans.derived`).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from timbre.functions import lexicons as L
 from timbre.functions import surface as S
 from timbre.functions import text as T
 from timbre.operators import context, corpus, exports, privacy, rules, scorer, situations, stats
+from timbre.plans import derived
 from timbre.plans import duck as D
 from timbre.plans import evaluate
 from timbre.session import table
@@ -88,50 +89,11 @@ _surface("surface_words", ["capitalised_words_rate", "numbers_rate", "placeholde
 _surface("surface_pronouns", [f"pronoun_{k}" for k in L.PRONOUNS])
 _surface("readability", ["flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog"])
 
-_GOLDEN = [
-    ("Hey <PERSON_1>! I'm so happy you're coming 🙂", "standard", 1, "end", False, True),
-    ("sure, anything else you need?", "all_lower", 0, "none", True, False),
-    ("anything else you need? 🙂", "all_lower", 1, "end", True, False),
-    ("Sam! the room's free. anything else?", "all_lower", 0, "none", True, False),
-    ("the flat is near Camden, see you soon", "all_lower", 0, "none", False, True),
-    ("hey there. Really good", "standard", 0, "none", False, True),
-    ("Yes. That is fine.", "standard", 0, "none", False, False),
-    ("hi <PERSON_1>, all good", "all_lower", 0, "none", False, True),
-    ("LOUD MESSAGE HERE", "shouting", 0, "none", False, True),
-    ("👍🏽", "none", 1, "standalone", False, False),
-    ("🇬🇧 hello", "all_lower", 1, "lead", False, True),
-    ("well 🎉 done folks", "all_lower", 1, "inline", False, True),
-]
-
 
 def _texts(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "i int, text string")
 
 
-@query(D.values("i, casing, emoji, emoji_at, asks, open_end", [(i, *r[1:]) for i, r in enumerate(_GOLDEN)]))
-def casing_emoji_golden(spark, d):
-    rows = _texts(spark, [r[0] for r in _GOLDEN])
-    tail = S.strip_tail(F.col("text"))
-    return rows.select("i", S.casing(F.col("text")).alias("casing"), T.count(F.col("text"), L.EMOJI).alias("emoji"), S.emoji_position(F.col("text")).alias("emoji_at"), tail.endswith("?").alias("asks"), tail.rlike(r"[\p{L}\p{N}]$").alias("open_end"))
-
-
-_CONTRACTED = [("I'm here, don't worry", 2.0), ("we’ll see it's fine", 2.0), ("nothing here", 0.0), ("CAN'T STOP", 1.0)]
-
-
-@query(D.values("i, n", [(i, n) for i, (_, n) in enumerate(_CONTRACTED)]))
-def contractions_golden(spark, d):
-    rows = S.surface(_texts(spark, [t for t, _ in _CONTRACTED]), ["contraction_rate", "words"])
-    return rows.select("i", F.round(F.col("contraction_rate") * F.col("words"), 6).alias("n"))
-
-
-_SIGNED = [("We'd love to help. ^TN", "We'd love to help."), ("Keep us posted /LS <URL>", "Keep us posted"), ("Thanks! -SLM", "Thanks!"), ("Would you like us to? ^Jane 2/2", "Would you like us to?"), ("Kind words! #AATeam", "Kind words! #AATeam"), ("Go to Settings > General > About.", "Go to Settings > General > About.")]
-
-
-@query(D.values("i, stripped", [(i, t) for i, (_, t) in enumerate(_SIGNED)]))
-def strip_signature(spark, d):
-    return _texts(spark, [t for t, _ in _SIGNED]).select("i", T.strip_signature(F.col("text")).alias("stripped"))
-
-
 @query(f"""SELECT speaker, sum(c)::BIGINT AS tokens, count(*)::BIGINT AS types, round(CASE WHEN sum(c) >= 42 THEN sum(1 - CASE WHEN n - c >= 42 THEN list_product(list_transform(range(0, 42), lambda j: (n - c - j)::DOUBLE / (n - j))) ELSE 0 END) END, 6) AS hdd
 FROM (SELECT *, sum(c) OVER (PARTITION BY speaker) AS n FROM (SELECT role AS speaker, lower(x) AS term, count(*) AS c FROM (SELECT role, unnest({D.words("text")}) AS x FROM conversations) GROUP BY ALL)) GROUP BY speaker""")
 def hdd_richness(spark, d):
@@ -200,12 +162,6 @@ def previous_turn(spark, d):
     return context.previous_turn(turns(spark, d)).select("doc_id", "turn_id", "prev_turn_id", "prev_speaker", "prev_text")
 
 
-@query(D.values("turn_id, prev_text", [(0, None), (1, "hi"), (2, "hi"), (3, "hi"), (4, "good")]))
-def reply_to_golden(spark, d):
-    rows = [("d", 0, "a", "hi", None), ("d", 1, "b", "hello", None), ("d", 2, "b", "how are you", None), ("d", 3, "a", "good", 0), ("d", 4, "b", "ok", 9)]
-    return context.previous_turn(spark.createDataFrame(rows, "doc_id string, turn_id int, speaker string, text string, reply_to int")).select("turn_id", "prev_text")
-
-
 _TW, _PW = D.words("t"), D.words("p")
 _LONG = lambda w: f"list_filter(list_transform({w}, lambda x: lower(x)), lambda x: length(x) > 3)"
 _RATE = lambda w, v: f"(len(list_filter(list_transform({w}, lambda x: lower(x)), lambda x: list_contains({D.items(v)}, x))) / greatest(len({w}), 1))"
@@ -278,16 +234,6 @@ def social_cues(spark, d):
     return context.social_cues(turns(spark, d)).select("doc_id", "turn_id", *(f"cue_{a}" for a in L.SOCIAL_CUES))
 
 
-_CUED = [("Hi there, thank you so much", "greet,thank"), ("sorry, unfortunately we can't", "apologise,offer,refuse"), ("no worries, let me check", "offer,reassure"), ("have a great day!", "close"), ("what great news", "praise"), ("that sounds hard, could you wait", "empathise,request"), ("plain words", "")]
-
-
-@query(D.values("i, acts", [(i, a) for i, (_, a) in enumerate(_CUED)]))
-def social_cues_golden(spark, d):
-    rows = context.social_cues(_texts(spark, [t for t, _ in _CUED]))
-    acts = F.array(*(F.when(F.col(f"cue_{a}") == 1, F.lit(a)) for a in L.SOCIAL_CUES))
-    return rows.select("i", F.array_join(F.array_sort(F.array_compact(acts)), ",").alias("acts"))
-
-
 @query(f"SELECT act, round(share, 6) AS share FROM (UNPIVOT (SELECT {', '.join(f'avg({_cue_sql(p)}) AS {a}' for a, p in L.SOCIAL_CUES.items())} FROM ({D.TURNS})) ON COLUMNS(*) INTO NAME act VALUE share)")
 def act_profile(spark, d):
     return r6(stats.act_profile(context.social_cues(turns(spark, d)), "cue_"))
@@ -406,28 +352,6 @@ def fisher(spark, d):
     return r6(x.select("source", "hits", "n", stats.fisher_p(F.col("hits"), F.col("n"), F.col("ah") - F.col("hits"), F.col("an") - F.col("n")).alias("p")))
 
 
-_FISHER = [(2, 24, 0, 24, 0.244681), (12, 150, 0, 150, 0.000194), (3, 10, 1, 10, 0.291022), (3, 48, 0, 48, 0.121053)]
-
-
-@query(D.values("i, p", [(i, r[4]) for i, r in enumerate(_FISHER)]))
-def fisher_golden(spark, d):
-    rows = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(_FISHER)], "i int, a int, b int, c int, e int")
-    return rows.select("i", F.round(stats.fisher_p(F.col("a"), F.col("b"), F.col("c"), F.col("e")), 6).alias("p"))
-
-
-_DECISIONS = [
-    ("usually", 1.0, 0.0, 0.0001, True, "usually"), ("usually", 0.6, 0.1, 0.001, True, "usually"), ("usually", 0.55, 0.1, 0.001, True, "often"), ("always", 0.2, 0.02, 0.01, True, "sometimes"),
-    ("often", 0.5, 0.48, 0.4, False, "often"), ("often", 0.03, 0.0, 0.01, False, "often"), ("rarely", 0.1, 0.4, 0.01, True, "rarely"), ("never", 0.3, 0.5, 0.01, False, "never"), ("usually", 0.9, None, None, True, "usually"), ("sometimes", 0.2, 0.1, 0.2, False, "sometimes"),
-]
-
-
-@query(D.values("i, kept, strength", [(i, r[4], r[5]) for i, r in enumerate(_DECISIONS)]))
-def rule_decision(spark, d):
-    rows = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(_DECISIONS)], "i int, s string, t double, r double, p double")
-    kept, strength = rules.decide(F.col("s"), F.col("t"), F.col("r"), F.col("p"))
-    return rows.select("i", kept.alias("kept"), strength.alias("strength"))
-
-
 # ── privacy ──
 
 
@@ -452,18 +376,6 @@ def quarantine(spark, d):
     return privacy.quarantined(documents(spark, d))[0].select("doc_id")
 
 
-_MASKED = [
-    ("a", 0, "hi @sam_b, mail me at x.y@z.org", "hi <PERSON_1>, mail me at <EMAIL_ADDRESS>"), ("a", 1, "thanks @Sam_B and @other1", "thanks <PERSON_1> and <PERSON_2>"), ("b", 0, "@other1 see https://x.org/a", "<PERSON_1> see <URL>"),
-    ("b", 1, "card 4111 1111 1111 1111 from 10.0.0.1", "card <CREDIT_CARD> from <IP_ADDRESS>"), ("b", 2, "SW1A 1AA, order no. AB-12345", "<UK_POSTCODE>, <REFERENCE>"), ("b", 3, "on 12/03/2025 we met", "on <DATE_TIME> we met"),
-]
-
-
-@query(D.values("doc_id, turn_id, masked", [(a, i, m) for a, i, _, m in _MASKED]))
-def pii_replace(spark, d):
-    rows = spark.createDataFrame([r[:3] for r in _MASKED], "doc_id string, turn_id int, text string")
-    return privacy.anonymise(rows).select("doc_id", "turn_id", F.col("text").alias("masked"))
-
-
 # ── situations, vectors, scorer ──
 
 
@@ -575,70 +487,30 @@ def dpo_pairs(spark, d):
 
 
 _NORM = "trim(regexp_replace(lower(t), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
-_CONV_RARE = D.rare(2, 2).replace("FROM documents", "FROM (SELECT conv_id AS doc_id, text FROM conversations)")
+_CONV_RARE = D.rare(1, 2).replace("FROM documents", "FROM (SELECT conv_id AS doc_id, text FROM conversations)")
 
 
 @query(f"""WITH rare AS ({_CONV_RARE}), c AS (SELECT *, len(list_filter(regexp_split_to_array(trim(t), '\\s+'), lambda x: x <> '')) AS n FROM ({D.CONTEXT})),
 ok AS (SELECT * FROM c WHERE n BETWEEN 6 AND 90 AND NOT regexp_matches(trim(t), '\\b[2-9]/[0-9]\\b') AND NOT regexp_matches(trim(t), '^\\p{{Ll}}')),
-g AS (SELECT doc_id, turn_id, unnest(list_concat({D.ngrams(D.privacy_tokens("t"), 2)}, {D.ngrams(D.privacy_tokens("coalesce(p, '')"), 2)})) AS ngram FROM ok),
+g AS (SELECT doc_id, turn_id, unnest(list_concat({D.ngrams(D.privacy_tokens("t"), 1)}, {D.ngrams(D.privacy_tokens("coalesce(p, '')"), 1)})) AS ngram FROM ok),
 clean AS (SELECT * FROM ok WHERE (doc_id, turn_id) NOT IN (SELECT (doc_id, turn_id) FROM g JOIN rare USING (ngram))),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_NORM} ORDER BY length(t) DESC, concat_ws('#', doc_id, turn_id)) AS i FROM clean) WHERE i = 1)
 SELECT cluster, rank, key, context, text FROM (SELECT speaker AS cluster, row_number() OVER (PARTITION BY speaker ORDER BY length(t) DESC, concat_ws('#', doc_id, turn_id))::INT AS rank, concat_ws('#', doc_id, turn_id) AS key, p AS context, t AS text FROM once) WHERE rank <= 8""")
 def exemplars(spark, d):
     rows = context.previous_turn(turns(spark, d)).withColumns({"key": corpus.key(), "score": F.char_length("text").cast("double"), "cluster": F.col("speaker")})
-    return exports.exemplars(rows, privacy.rare_spans(turns(spark, d), 2, 2), n=2).select("cluster", "rank", "key", "context", "text")
-
-
-_TWEETS = [(1, None), (2, 1), (3, 2), (4, None), (5, 99), (6, 5), (7, 3), (8, 4), (9, 7), (10, 9), (11, 12), (12, 11)]
-
-
-@query(f"WITH RECURSIVE t AS ({D.values('id, parent', _TWEETS)}), r AS (SELECT id, id AS root FROM t WHERE parent IS NULL OR parent NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, r.root FROM t JOIN r ON t.parent = r.id) SELECT id::BIGINT AS id, root::BIGINT AS root FROM r UNION ALL SELECT * FROM (VALUES (11::BIGINT, 11::BIGINT), (12, 11))")
-def thread_rebuild(spark, d):
-    from timbre.sources.readers import thread_roots
-
-    return thread_roots(spark.createDataFrame(_TWEETS, "id long, parent long"))
-
-
-_CHAT = "12/03/2025, 10:01 - Sam: hi there\ncontinued\n12/03/2025, 10:02 pm - Ella: hey!\n12/03/2025, 10:03 - Ella: <Media omitted>\n[13/3/25, 9:05:07] Sam: bye"
-
-
-@query(D.values("turn_id, speaker, text, ts", [(0, "Sam", "hi there\ncontinued", "2025-03-12 10:01:00"), (1, "Ella", "hey!", "2025-03-12 22:02:00"), (2, "Sam", "bye", None)]))
-def whatsapp_parse(spark, d):
-    from timbre.sources.readers import whatsapp_turns
-
-    rows = whatsapp_turns(spark.createDataFrame([("chat", _CHAT)], "stem string, value string"))
-    return rows.select("turn_id", "speaker", "text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
-
+    return exports.exemplars(rows, privacy.rare_spans(turns(spark, d), 1, 2), n=1).select("cluster", "rank", "key", "context", "text")
 
-_BOOK = "head\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n\nCHAPTER I.\n\nHe walked home slowly, “Come in,” she said to him.\n\nThe rain fell\nall night long.\n\n*** END OF THE PROJECT GUTENBERG EBOOK X ***\ntail"
 
-
-@query(D.values("turn_id, speaker, text", [(0, "ann:narration", "He walked home slowly, she said to him"), (1, "ann:dialogue", "Come in,"), (2, "ann:narration", "The rain fell all night long")]))
-def prose_split(spark, d):
-    from timbre.sources.readers import prose_turns
-
-    return prose_turns(spark.createDataFrame([("ann__1", _BOOK)], "stem string, value string")).select("turn_id", "speaker", "text")
-
-
-_PLAIN = [("mail x.y@z.org now", "mail <EMAIL_ADDRESS> now"), ("see https://x.org/a b", "see <URL> b"), ("from 10.0.0.1 on", "from <IP_ADDRESS> on"), ("at SW1A 1AA", "at <UK_POSTCODE>"), ("nothing", "nothing")]
-
-
-@query(D.values("i, masked", [(i, m) for i, (_, m) in enumerate(_PLAIN)]))
-def pii_replace_plain(spark, d):
-    """The replacements that need no numbering, as one column expression."""
-    return _texts(spark, [t for t, _ in _PLAIN]).select("i", privacy.pii_replaced(F.col("text")).alias("masked"))
-
-
-@query(D.values("i, act", [(0, "ask"), (1, "say"), (2, "say")]))
-def top_act_golden(spark, d):
-    rows = spark.createDataFrame([(0, 0.9, 0.1, 0.9), (1, 0.2, 0.7, 0.9), (2, 0.5, 0.5, 0.9)], "i int, act_ask double, act_say double, act_confidence double")
-    return rows.select("i", context.top_act(rows).alias("act"))
-
-
-@query("""WITH s AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings) SELECT vec_id, round(0.5 / (1 + exp(-a)) + 0.5 / (1 + exp(-20 * b)), 6) AS score FROM s""")
+@query(f"""WITH a AS (SELECT doc_id, turn_id, {scorer.to_sql(_FIXED)} AS score FROM ({D.features(D.STAT_FEATURES, D.TURNS, 'doc_id, turn_id', rounded=False)})),
+b AS (WITH g AS (SELECT CASE WHEN label = 0 THEN 'target' ELSE 'reference' END AS label, embedding FROM embeddings), c AS ({_CENTS.replace("FROM embeddings", "FROM g")})
+SELECT vec_id, {_DOT.format(a='embedding', b="(SELECT c FROM c WHERE label = 'target')")} - {_DOT.format(a='embedding', b="(SELECT c FROM c WHERE label = 'reference')")} AS style FROM embeddings)
+SELECT doc_id, turn_id, round(0.5 * score + 0.5 / (1 + exp(-20 * style)), 6) AS score FROM a JOIN b ON b.vec_id = a.doc_id""")
 def combined_score(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
-    return r6(e.select("vec_id", scorer.combined(scorer.sigmoid(F.col("a")), F.col("b")).alias("score")))
+    """Turns' surface scores with the style of the vector of their conversation's number."""
+    e = table(spark, d, "embeddings")
+    style = scorer.style_score(e, _two_sides(e)).select(F.col("vec_id").alias("doc_id"), "style")
+    both = scorer.score_texts(turns(spark, d), _FIXED).join(style, "doc_id")
+    return r6(both.select("doc_id", "turn_id", scorer.combined(F.col("score"), F.col("style")).alias("score")))
 
 
 def _plant_sql() -> str:
@@ -687,3 +559,8 @@ def stream_score(spark, d):
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start().awaitTermination()
     return r6(spark.read.schema(rows.schema).parquet(f"{out}/rows"))
+
+
+derived.ORACLES["social_cues_golden"] = derived._cued_sql(_cue_sql)
+QUERIES |= derived.QUERIES | {"social_cues_golden": derived.social_cues_golden}
+ORACLES |= derived.ORACLES
