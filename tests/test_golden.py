@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from timbre.functions import lexicons as L
 from timbre.functions import surface as S
 from timbre.functions import text as T
-from timbre.operators import context, privacy, rules, stats
+from timbre.operators import context, corpus, privacy, rules, stats
 from timbre.sources import readers
 
 _GOLDEN = [
@@ -126,3 +126,24 @@ def test_leaks_equal_rare_spans_in_outputs(spark, monkeypatch):
     assert want and sorted(map(tuple, privacy.leaks(outputs, turns, ["it is"], 4, 3).collect())) == want
     monkeypatch.setattr(privacy, "FILTER_ROWS", 0)
     assert sorted(map(tuple, privacy.leaks(outputs, turns, ["it is"], 4, 3).collect())) == want
+
+
+def test_running_totals_of_a_heavy_tail(spark):
+    """One value of 10^9 among small ones: classes stay even, totals exact."""
+    values = [i / 7 for i in range(2000)] + [1e9]
+    rows = spark.createDataFrame([("f", v, 1 + i % 3) for i, v in enumerate(values)], "feature string, value double, n long").repartition(4)
+    got = {r.value: r.upto for r in stats.upto(rows, "feature", "value", "n", "upto", 16).collect()}
+    total = 0
+    for i, v in enumerate(values):
+        total += 1 + i % 3
+        assert got[v] == total
+    spread = rows.join(rows.groupBy("feature").agg(F.percentile_approx("value", [k / 16 for k in range(1, 16)], 320).alias("b")), "feature")
+    assert max(r[1] for r in spread.groupBy(F.size(F.filter("b", lambda b: b < F.col("value")))).count().collect()) < 200
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(i * 37 % 101, "x") for i in range(101)], "k int, t string").repartition(5)
+    assert all(r.n == r.k for r in corpus.numbered(rows, "n", "k").collect())
+    few = spark.createDataFrame([(f"d{i % 2}", i, "x") for i in range(60)], "doc_id string, turn_id int, text string").repartition(3)
+    held = corpus.split_docs(few).where("held").count()
+    assert held == 12

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbre.functions import text as T
+from timbre.session import checkpointed
 
 TURNS = "doc_id string, turn_id int, speaker string, text string, ts timestamp, reply_to int, meta map<string,string>"
 
@@ -36,6 +37,19 @@ def running(df: DataFrame, order: Column, weight: Column, name: str, by: str) ->
     return out.drop("_o", "_w", "_b", "_before")
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with ``name``: 0, 1, ... in the given order. Rows are parted by ranges of it and numbered where they lie;
+    only the parts' sizes come to the driver."""
+    rows = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_id", 33))
+    before, firsts = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count("*")).collect())):  # a row a partition
+        firsts.append((part, before))
+        before += n
+    at = df.sparkSession.createDataFrame(firsts, "_part long, _first long")
+    return rows.join(F.broadcast(at), "_part").withColumn(name, F.col("_first") + F.col("_id") - F.shiftleft("_part", 33)).drop("_id", "_part", "_first")
+
+
 def speakers(turns: DataFrame) -> DataFrame:
     """Turns by speaker, most first; ties by name."""
     return turns.groupBy("speaker").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker")
@@ -86,9 +100,7 @@ def split_docs(turns: DataFrame, share: float = 0.2, seed: int = 7) -> DataFrame
     if n < 5:
         total = turns.count()
         block = max(total // 10, 1)
-        # fewer than five conversations: the running number needs no more than their own order
-        number = F.row_number().over(Window.orderBy("doc_id", "turn_id")) - 1
-        rows = turns.withColumn("_block", F.floor(number / block).cast("int"))
+        rows = numbered(turns, "_number", "doc_id", "turn_id").withColumn("_block", F.floor(F.col("_number") / block).cast("int")).drop("_number")
         blocks = rows.select("_block").distinct()
         n_blocks, drawn = -(-total // block), draw(seed, F.col("_block"))
         held = blocks.orderBy(drawn, "_block").limit(max(1, round(n_blocks * share))).withColumn("_held", F.lit(True))

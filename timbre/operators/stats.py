@@ -99,13 +99,18 @@ def hedges_g(values: DataFrame) -> DataFrame:
     return m.select("feature", F.when((na >= 2) & (nb >= 2), F.when(pooled == 0, flat).otherwise(g)).alias("hedges_g"))
 
 
-def upto(rows: DataFrame, by: str, value: str, weight: str, name: str, classes: int = 4096) -> DataFrame:
+#: Classes of a running total, parted at quantiles.
+CLASSES = 256
+
+
+def upto(rows: DataFrame, by: str, value: str, weight: str, name: str, classes: int = CLASSES) -> DataFrame:
     """``rows`` with the running total of ``weight`` in the order of ``value`` within each ``by``, itself
-    included. Values are first put into classes between their least and greatest; totals are taken over
-    the classes (so many rows a group at most) and then inside each, so no task has a whole group."""
-    ends = rows.groupBy(by).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
-    share = F.try_divide(F.col(value) - F.col("_least"), F.col("_most") - F.col("_least"))
-    rows = rows.join(F.broadcast(ends), by).withColumn("_class", F.floor(F.coalesce(share, F.lit(0.0)) * classes).cast("int")).drop("_least", "_most")
+    included. Values are put into classes between quantiles of each group, read from a sketch, so a class has about
+    as many rows as any other however values lie; totals are taken over the classes (so many rows a group
+    at most) and then inside each, so no task has a whole group."""
+    inner = [(i + 1) / classes for i in range(classes - 1)] or [1.0]
+    bounds = rows.groupBy(by).agg(F.percentile_approx(value, inner, 20 * classes).alias("_bounds"))  # a row a group
+    rows = rows.join(F.broadcast(bounds), by).withColumn("_class", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
     sums = rows.groupBy(by, "_class").agg(F.sum(weight).alias("_s"))
     before = F.sum("_s").over(Window.partitionBy(by).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1))
     known = sums.select(by, "_class", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -260,7 +265,9 @@ def style_richness(turns: DataFrame, by: str = "speaker", sample: int = 42) -> D
     """tokens, types and HD-D (expected types in a random sample of tokens; null if there are fewer)."""
     lower = F.transform(T.words(F.col("text")), F.lower)
     counts = turns.select(by, F.explode(lower).alias("term")).groupBy(by, "term").agg(F.count("*").alias("c"))
-    rows = counts.withColumn("n", F.sum("c").over(Window.partitionBy(by)))
+    sums = checkpointed(counts.groupBy(F.col(by).alias("_by")).agg(F.sum("c").alias("n")))
+    sums = F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums
+    rows = counts.join(sums, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
     c, n = F.col("c").cast("double"), F.col("n").cast("double")
     none = F.aggregate(F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0), lambda a, j: a * (n - c - j) / (n - j))
     missed = F.when(n - c >= sample, none).otherwise(F.lit(0.0))
