@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 def good(rows):
     found = statistics.counts([t.encode() for _, t, *_ in rows])
     counted = [{"lang": r[2], "source": r[3], **{c: int(found[c][k]) for c in statistics.COUNTS}} for k, r in enumerate(rows)]
-    fences = test_quality.brute_fences(counted, quality_rules.MIN_GROUP)
+    fences = test_quality.brute_fences(counted, quality_rules.PRIOR)
     for r, c in zip(rows, counted, strict=True):
         inside = all(lo <= c[quality_rules.MEASURES[m][0]] / max(c[quality_rules.MEASURES[m][1]], 1) <= hi for m, (lo, hi) in fences.get((r[2], r[3]), {}).items())
         if c["n_words"] >= 20 and 100 * c["n_repeat_words"] <= 30 * c["n_words"] and inside:

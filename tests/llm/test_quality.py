@@ -33,33 +33,48 @@ def test_counts(text):
     assert tuple(int(got[c][0]) for c in statistics.COUNTS[:5]) == brute(text)
 
 
-def brute_fences(rows, min_group):
-    """Fences from sorted lists: quantiles of the bucket each value lies in."""
-    groups = defaultdict(list)
-    for r in rows:
-        if r["n_words"]:
-            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
-                groups[key].append(r)
-    g = quality_rules.GAMMA
-
-    def quantile(values, q):
-        b = sorted(math.ceil(math.log(v) / math.log(g)) for v in values)[math.ceil(q * len(values)) - 1]
-        return 2 * g**b / (g + 1)
-
-    out = {}
-    for key in [k for k in groups if len(k) == 2]:
-        use = groups[next(k for k in (key, key[:1], ()) if len(groups[k]) >= min_group or not k)]
-        limits = {}
-        for m, (over, under, kind) in quality_rules.MEASURES.items():
-            some = [r[over] / max(r[under], 1) for r in use if r[over]]
-            lo, mid, hi = (quantile(some, q) if some else math.inf for q in (0.15, 0.5, 0.85))
-            above = (hi + 5 * (hi - mid)) * g * g if some else math.inf
-            below = (lo - 5 * (mid - lo)) / g / g if some else 0.0
-            if kind == "presence" and some and len(some) <= 0.2 * len(use):
-                above = max(lo / 2, 8 / quantile([r["n_words"] for r in use], 0.5))
-            limits[m] = (below if kind == "range" else 0.0, above)
-        out[key] = limits
-    return out
+def brute_fences(rows, prior):
+    """Fences from counts of the bucket that each value lies in; each group with rows in its parent's proportions."""
+    g, some = quality_rules.GAMMA, [r for r in rows if r["n_words"]]
+
+    def bucket(r, m):
+        over, under, _ = quality_rules.MEASURES.get(m, ("n_words", None, None))
+        v = r[over] / (max(r[under], 1) if under else 1)
+        return math.ceil(math.log(v) / math.log(g)) if v > 0 else None
+
+    def blended(own, parent):
+        total, size = sum(own.values()), sum(parent.values())
+        return {b: own[b] + (prior * parent[b] / size if size else 0) for b in set(own) | set(parent)} if total else {}
+
+    def quantile(counts, q):
+        upto, total = 0.0, sum(n for b, n in counts.items() if b is not None)
+        for b in sorted(b for b in counts if b is not None):
+            upto += counts[b]
+            if upto >= total * (q - 1e-9):
+                return 2 * g**b / (g + 1)
+
+    out = defaultdict(dict)
+    for m, (_, _, kind) in (quality_rules.MEASURES | {quality_rules.LENGTH: (None, None, None)}).items():
+        overall, langs, groups = Counter(bucket(r, m) for r in some), defaultdict(Counter), defaultdict(Counter)
+        for r in some:
+            langs[r["lang"]][bucket(r, m)] += 1
+            groups[r["lang"], r["source"]][bucket(r, m)] += 1
+        for key, own in groups.items():
+            counts = blended(own, Counter(blended(langs[key[0]], overall)))
+            there, every = sum(n for b, n in counts.items() if b is not None), sum(counts.values())
+            lo, mid, hi = (quantile(counts, q) if there else math.inf for q in (0.15, 0.5, 0.85))
+            out[key][m] = kind, lo, mid, hi, there, every
+    limits = {}
+    for key, found in out.items():
+        length = found.pop(quality_rules.LENGTH)[2]
+        limits[key] = {}
+        for m, (kind, lo, mid, hi, there, every) in found.items():
+            above = (hi + 5 * (hi - mid)) * g * g if there else math.inf
+            below = (lo - 5 * (mid - lo)) / g / g if there else 0.0
+            if kind == "presence" and there and there <= (0.2 + 1e-9) * every:
+                above = max(lo / 2, 8 / length)
+            limits[key][m] = (below if kind == "range" else 0.0, above)
+    return limits
 
 
 def test_fences_follow_their_sources(spark):
@@ -85,28 +100,39 @@ def test_fences_differ_between_groups(spark):
         assert limits[f"hi_{m}"].nunique() > 3, m
 
 
-@pytest.mark.parametrize("min_group", [1, 5, 30])
-def test_verdicts_equal_brute_force(spark, min_group):
+@pytest.mark.parametrize("prior", [0, 5, 50])
+def test_verdicts_equal_brute_force(spark, prior):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     edge = spark.createDataFrame([(i, t, [None, "en"][i % 2], None, 0) for i, t in enumerate(EDGE)], docs.schema)
     docs = docs.union(edge).union(edge).selectExpr("*", "1 as base_failed", "'x' as hi_symbols")
     texts = docs.select("doc_id", "text", "lang", "source").toPandas()
     found = statistics.counts([(t or "").encode() for t in texts.text])
     rows = [{"lang": None if pd.isna(a) else a, "source": None if pd.isna(b) else b, "i": i, **{c: int(found[c][k]) for c in statistics.COUNTS}} for k, (i, _, a, b) in enumerate(texts.itertuples(index=False))]
-    fences, want = brute_fences(rows, min_group), Counter()
+    fences, want = brute_fences(rows, prior), Counter()
     for r, text in zip(rows, texts.text, strict=True):
         assert tuple(r[c] for c in statistics.COUNTS[:5]) == brute(text)
         failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
         limits = fences.get((r["lang"], r["source"]))
         kept = not failed and limits is not None and all(lo <= r[quality_rules.MEASURES[m][0]] / max(r[quality_rules.MEASURES[m][1]], 1) <= hi for m, (lo, hi) in limits.items())
         want[(r["i"], *(r[c] for c in statistics.COUNTS[:5]), failed, kept)] += 1
-    got = Counter(map(tuple, quality_rules.verdicts(docs, min_group).collect()))
+    got = Counter(map(tuple, quality_rules.verdicts(docs, prior).collect()))
     assert got == want
-    kept = quality_rules.filtered(docs, min_group)
+    kept = quality_rules.filtered(docs, prior)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({i: n for (i, *_, k), n in want.items() if k for n in [n]})
 
 
+def test_fences_have_no_jump_by_size(spark):
+    """A source of 199, 200 and 201 rows has nearly the same fences, between its language's and its own."""
+    rows = lambda n: [(i, " ".join(["word"] * 30) + " ab" * (i % 40), "en", "big") for i in range(3000)] + [(9000 + i, " ".join(["longerword"] * 30) + " ab" * (i % 20), "en", "new") for i in range(n)]
+    fence = []
+    for n in (3, 199, 200, 201, 2500):
+        docs = spark.createDataFrame(rows(n), "doc_id long, text string, lang string, source string")
+        limits = {r.source: r.hi_word_length for r in quality_rules.fences(quality_rules.sketches(statistics.measured(docs, ["lang", "source"]))).collect()}
+        fence.append(limits["new"])
+    assert max(fence[1:4]) - min(fence[1:4]) < 0.1 * fence[2] and len({round(x, 6) for x in (fence[0], fence[2], fence[4])}) == 3
+
+
 def test_rules_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert quality_rules.verdicts(docs).count() == 0 and quality_rules.filtered(docs).count() == 0

@@ -3,8 +3,9 @@
 Fixed limits are replaced by fences read from each group's own quantiles. A sketch here is a
 histogram over logarithmic buckets (relative error 1 %) with a bucket for zero: two sketches merge
 by adding their counts, so tasks pre-aggregate, a hot source needs no row to move, and the sketch of
-a language or of everything is the sum of its groups'. Groups with too few rows use their language's
-fences, and those of a rare language everything's. The fences are then joined to the rows.
+a language or of everything is the sum of its groups'. Each language's sketch is blended with everything's and each
+group's with its language's: :data:`PRIOR` rows are added in the parent's proportions, so fences move from the
+parent's to a group's own as it grows, without a size at which they jump. The fences are then joined to the rows.
 
 Most of these measures are zero in most documents, so quantiles are those of the values above zero
 and the share of zeros counts by itself (:data:`RARE`).
@@ -19,8 +20,10 @@ from timbre.llm.common import checkpointed
 from timbre.llm.statistics import COUNTS, measured
 
 GAMMA = 1.02
-#: Fewest rows of a group with fences of its own.
-MIN_GROUP = 200
+#: Rows that a group's sketch is given in the proportions of its parent's.
+PRIOR = 50
+#: Shares of rows nearer than that are equal: sums of blended counts are rounded.
+EVEN = 1e-9
 #: A fence lies so many times the distance between median and outer quantile beyond the outer quantile.
 SPREAD = 5.0
 #: Signs of machine text (``presence``) are out of place in a group where at most this share of the
@@ -73,23 +76,41 @@ def sketches(counted: DataFrame, prefix: str = "", lang: str = "lang", source: s
     return rows.groupBy("lang", "source", "v.measure", "v.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def _blended(own: DataFrame, parent: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """The counts of ``own`` (keys, measure, bucket, n), and of each group ``prior`` rows in the proportions of its parent's
+    (a key less; with ``rows``), by equal measure and keys. Each bucket gets one or two addends."""
+    sizes = own.groupBy(*keys, "measure").agg(F.sum("n").alias("rows"))
+    shares = parent.select(*(F.col(k).alias(f"_{k}") for k in keys[:-1]), F.col("measure").alias("_measure"), "bucket", (F.col("n") * F.lit(float(prior)) / F.col("rows")).alias("n"))
+    same = F.col("measure") == F.col("_measure")
+    for k in keys[:-1]:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    given = sizes.join(shares, same).select(*keys, "measure", "bucket", "n")
+    both = own.select(*keys, "measure", "bucket", F.col("n").cast("double").alias("n")).unionByName(given)
+    sums = both.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    total = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("measure").alias("_measure"), (F.col("rows") + F.lit(float(prior))).alias("rows"))
+    same = F.col("measure") == F.col("_measure")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return sums.join(total, same).select(*keys, "measure", "bucket", "n", "rows")
+
+
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """One row per lang and source: ``lo_<measure>`` and ``hi_<measure>``."""
-    keys = ["depth", "lang", "source"]
-    levels = {0: (F.lit(None), F.lit(None)), 1: (F.col("lang"), F.lit(None)), 2: (F.col("lang"), F.col("source"))}
-    merged = None
-    for depth, (lang, source) in levels.items():
-        part = sketch.select(F.lit(depth).alias("depth"), lang.cast("string").alias("lang"), source.cast("string").alias("source"), "measure", "bucket", "n")
-        merged = part if merged is None else merged.unionByName(part)
-    merged = merged.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    keys = ["lang", "source"]
+    own = checkpointed(sketch.select(*(F.col(k).cast("string").alias(k) for k in keys), "measure", "bucket", "n"))
+    summed = lambda *by: own.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = own.groupBy(F.col("measure").alias("_m")).agg(F.sum("n").cast("double").alias("rows"))
+    overall = summed().join(F.broadcast(whole), F.col("measure") == F.col("_m")).drop("_m")  # a row a measure
+    by_lang = checkpointed(_blended(summed("lang"), overall, ["lang"], prior))
+    blended = _blended(summed(*keys), by_lang, keys, prior)
     # quantiles of what is above zero; the zero bucket's count is its own column
     group = Window.partitionBy(*keys, "measure")
-    above = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
+    above = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0.0)
     upto = F.sum(above).over(group.orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = merged.withColumns({"upto": upto, "some": F.sum(above).over(group)})
+    ranked = blended.withColumns({"upto": upto, "some": F.sum(above).over(group)})
     value = 2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1)
     quantiles = ranked.groupBy(*keys, "measure").agg(
-        F.sum("n").alias("rows"), F.max("some").alias("some"), *(F.min(F.when(F.col("bucket").isNotNull() & (F.col("upto") >= F.ceil(F.col("some") * q)), value)).alias(name) for name, q in QUANTILES.items())
+        F.max("rows").alias("rows"), F.max("some").alias("some"), *(F.min(F.when(F.col("bucket").isNotNull() & (F.col("upto") >= F.col("some") * (q - EVEN)), value)).alias(name) for name, q in QUANTILES.items())
     )
     length = quantiles.where(F.col("measure") == LENGTH).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("mid").alias("length"))
     same = F.lit(True)
@@ -99,7 +120,7 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     # a sketch's value is off by 1 %: fences are set wider by its two buckets
     outer = (F.col("hi") + SPREAD * (F.col("hi") - F.col("mid"))) * GAMMA**2
     inner = (F.col("lo") - SPREAD * (F.col("mid") - F.col("lo"))) / GAMMA**2
-    rare = F.col("some") <= RARE * F.col("rows")
+    rare = F.col("some") <= (RARE + EVEN) * F.col("rows")
     seldom = F.greatest(F.col("lo") / 2, NOISE / F.col("length"))
     nothing = F.lit(float("inf"))  # no document has any
     limits = []
@@ -108,17 +129,7 @@ def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
         high = F.when(rare, seldom).otherwise(outer) if kind == "presence" else outer
         limits.append(F.max(F.when(here, F.coalesce(high, nothing))).alias(f"hi_{m}"))
         limits.append(F.max(F.when(here, F.coalesce(inner, F.lit(0.0)) if kind == "range" else F.lit(0.0))).alias(f"lo_{m}"))
-    wide = quantiles.groupBy(*keys).agg(F.max("rows").alias("rows"), *limits)
-    names = [x for m in MEASURES for x in (f"hi_{m}", f"lo_{m}")]
-    enough = wide.where((F.col("rows") >= min_group) | (F.col("depth") == 0))
-    packed = F.struct(*names)
-    own = wide.where("depth = 2").select("lang", "source", "rows", packed.alias("own"))
-    by_lang = enough.where("depth = 1").select(F.col("lang").alias("_lang"), packed.alias("by_lang"))
-    overall = enough.where("depth = 0").select(packed.alias("overall"))
-    # both sides have a row per language or one row: they are smaller than the groups' own table
-    found = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(F.broadcast(overall))
-    best = F.coalesce(F.when(F.col("rows") >= min_group, F.col("own")), F.col("by_lang"), F.col("overall"))
-    return found.select("lang", "source", best.alias("fence")).select("lang", "source", "fence.*")
+    return quantiles.groupBy(*keys).agg(*limits)
 
 
 def judged(counted: DataFrame, limits: DataFrame, prefix: str = "", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -134,7 +145,7 @@ def judged(counted: DataFrame, limits: DataFrame, prefix: str = "", lang: str =
     return joined.select(*counted.columns, failed.alias(f"{prefix}base_failed"), (~failed & F.coalesce(inside, F.lit(False))).alias(f"{prefix}kept"))
 
 
-def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def verdicts(docs: DataFrame, prior: int = PRIOR, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row: id, counts, ``base_failed`` and ``kept``.
 
     A null text has no words and fails; null languages and sources are groups of their own; repeated
@@ -143,11 +154,11 @@ def verdicts(docs: DataFrame, min_group: int = MIN_GROUP, id_col: str = "doc_id"
     """
     rows = docs.select(docs[id_col], docs[lang].cast("string").alias("lang"), docs[source].cast("string").alias("source"), docs[text_col].alias("text"))
     counted = checkpointed(measured(rows, [id_col, "lang", "source"]))
-    done = judged(counted, checkpointed(fences(sketches(counted), min_group)))
+    done = judged(counted, checkpointed(fences(sketches(counted), prior)))
     return done.select(id_col, *COUNTS[:5], "base_failed", "kept")
 
 
-def filtered(docs: DataFrame, min_group: int = MIN_GROUP, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def filtered(docs: DataFrame, prior: int = PRIOR, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they are.
 
     Texts are read once for their counts and once to be returned; rows stay in the JVM. Language,
@@ -159,7 +170,7 @@ def filtered(docs: DataFrame, min_group: int = MIN_GROUP, text_col: str = "text"
     keys = ["lang", "source", *hashes]
     rows = docs.select(docs[lang].cast("string").alias("lang"), docs[source].cast("string").alias("source"), *(h.alias(k) for k, h in hashes.items()), docs[text_col].alias("text"))
     counted = checkpointed(measured(rows, keys))
-    done = judged(counted, checkpointed(fences(sketches(counted), min_group)))
+    done = judged(counted, checkpointed(fences(sketches(counted), prior)))
     gone = checkpointed(done.where(~F.col("kept")).select(*(F.col(k).alias(f"{MARK}{i}") for i, k in enumerate(keys))).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_REJECTED else gone
     same = F.col(lang).cast("string").eqNullSafe(F.col(f"{MARK}0")) & F.col(source).cast("string").eqNullSafe(F.col(f"{MARK}1"))
@@ -174,12 +185,11 @@ _STRUCTS = ", ".join(f"{{'measure': '{m}', 'v': ({v})::DOUBLE}}" for m, v in (_V
 
 def _limit_sql(m: str, kind: str) -> str:
     outer = f"(hi + {SPREAD} * (hi - mid)) * {GAMMA} * {GAMMA}"
-    high = f"CASE WHEN n_some <= {RARE} * n_rows THEN greatest(lo / 2, {NOISE} / length) ELSE {outer} END" if kind == "presence" else outer
+    high = f"CASE WHEN n_some <= {RARE + EVEN!r}::DOUBLE * n_rows THEN greatest(lo / 2, {NOISE} / length) ELSE {outer} END" if kind == "presence" else outer
     low = f"(lo - {SPREAD} * (mid - lo)) / ({GAMMA} * {GAMMA})" if kind == "range" else "0.0"
     return f"max(coalesce({high}, 'infinity'::DOUBLE)) FILTER (WHERE measure = '{m}') AS hi_{m}, max(coalesce({low}, 0.0)) FILTER (WHERE measure = '{m}') AS lo_{m}"
 
 
-_NAMES = [f"{end}_{m}" for m in MEASURES for end in ("hi", "lo")]
 #: The same for DuckDB over ``documents``: the digest of op4.
 ORACLE = rf"""
 WITH texts AS (
@@ -206,23 +216,33 @@ WITH texts AS (
 ), buckets AS (
   SELECT g.depth AS depth, g.l AS lang, g.s AS source, m.measure AS measure, CASE WHEN m.v > 0 THEN ceil(ln(m.v) / ln({GAMMA})) END AS bucket, count(*) AS n
   FROM levels GROUP BY ALL
+), b0 AS (
+  SELECT measure, bucket, n::DOUBLE AS n, sum(n) OVER (PARTITION BY measure)::DOUBLE AS n_rows FROM buckets WHERE depth = 0
+), s1 AS (
+  SELECT lang, measure, sum(n)::DOUBLE AS n_rows FROM buckets WHERE depth = 1 GROUP BY lang, measure
+), b1 AS (
+  SELECT lang, measure, bucket, sum(n) AS n, any_value(n_rows) + {PRIOR} AS n_rows FROM (
+    SELECT s.lang, measure, bucket, b.n::DOUBLE AS n, s.n_rows FROM buckets b JOIN s1 s USING (measure) WHERE depth = 1 AND b.lang IS NOT DISTINCT FROM s.lang
+    UNION ALL SELECT s.lang, measure, bucket, b.n * {PRIOR}.0::DOUBLE / b.n_rows, s.n_rows FROM s1 s JOIN b0 b USING (measure)) GROUP BY ALL
+), s2 AS (
+  SELECT lang, source, measure, sum(n)::DOUBLE AS n_rows FROM buckets WHERE depth = 2 GROUP BY lang, source, measure
+), b2 AS (
+  SELECT lang, source, measure, bucket, sum(n) AS n, any_value(n_rows) + {PRIOR} AS n_rows FROM (
+    SELECT s.lang, s.source, measure, bucket, b.n::DOUBLE AS n, s.n_rows FROM buckets b JOIN s2 s USING (measure) WHERE depth = 2 AND b.lang IS NOT DISTINCT FROM s.lang AND b.source IS NOT DISTINCT FROM s.source
+    UNION ALL SELECT s.lang, s.source, measure, bucket, b.n * {PRIOR}.0::DOUBLE / b.n_rows, s.n_rows FROM s2 s JOIN b1 b USING (measure) WHERE b.lang IS NOT DISTINCT FROM s.lang) GROUP BY ALL
 ), ranked AS (
-  SELECT *, sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY depth, lang, source, measure ORDER BY bucket NULLS FIRST) AS upto,
-         coalesce(sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY depth, lang, source, measure), 0) AS n_some,
-         sum(n) OVER (PARTITION BY depth, lang, source, measure) AS n_rows FROM buckets
+  SELECT *, sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY lang, source, measure ORDER BY bucket NULLS FIRST) AS upto,
+         coalesce(sum(n) FILTER (WHERE bucket IS NOT NULL) OVER (PARTITION BY lang, source, measure), 0) AS n_some FROM b2
 ), quantiles AS (
-  SELECT depth, lang, source, measure, any_value(n_rows) AS n_rows, any_value(n_some) AS n_some,
-         {", ".join(f"min(2 * pow({GAMMA}, bucket) / ({GAMMA} + 1)) FILTER (WHERE upto >= ceil(n_some * {q})) AS {name}" for name, q in QUANTILES.items())}
-  FROM ranked GROUP BY ALL
+  SELECT lang, source, measure, any_value(n_rows) AS n_rows, any_value(n_some) AS n_some,
+         {", ".join(f"min(2 * pow({GAMMA}, bucket) / ({GAMMA} + 1)) FILTER (WHERE bucket IS NOT NULL AND upto >= n_some * {q - EVEN!r}::DOUBLE) AS {name}" for name, q in QUANTILES.items())}
+  FROM ranked GROUP BY lang, source, measure
 ), lengths AS (
   SELECT q.*, l.mid AS length FROM quantiles q JOIN quantiles l
-  ON l.measure = '{LENGTH}' AND l.depth = q.depth AND l.lang IS NOT DISTINCT FROM q.lang AND l.source IS NOT DISTINCT FROM q.source
-), wide AS (
-  SELECT depth, lang, source, max(n_rows) AS n_rows, {", ".join(_limit_sql(m, kind) for m, (_, _, kind) in MEASURES.items())}
-  FROM lengths GROUP BY depth, lang, source
+  ON l.measure = '{LENGTH}' AND l.lang IS NOT DISTINCT FROM q.lang AND l.source IS NOT DISTINCT FROM q.source
 ), fences AS (
-  SELECT o.lang, o.source, {", ".join(f"CASE WHEN o.n_rows >= {MIN_GROUP} THEN o.{c} WHEN l.n_rows >= {MIN_GROUP} THEN l.{c} ELSE a.{c} END AS {c}" for c in _NAMES)}
-  FROM wide o JOIN wide l ON o.depth = 2 AND l.depth = 1 AND l.lang IS NOT DISTINCT FROM o.lang JOIN wide a ON a.depth = 0
+  SELECT lang, source, {", ".join(_limit_sql(m, kind) for m, (_, _, kind) in MEASURES.items())}
+  FROM lengths GROUP BY lang, source
 ), failing AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
 )
