@@ -109,26 +109,49 @@ def _joins(rows, m):
     return far
 
 
-@pytest.mark.parametrize("seed,least,graph,direct", [(1, 8, 16, 50_000), (2, 5, 4, 60)])
-def test_clusters_equal_plain_version(spark, seed, least, graph, direct):
+def test_clusters_equal_plain_version(spark):
+    x = spots(1)
+    got = density.clusters(table(spark, x), "vec_id", "embedding", 8, pivots=9).orderBy("vec_id").collect()
+    want = plain_labels(x, 8)
+    assert len(set(want)) > 2 and [r.label for r in got] == want
+
+
+def reachability(x, samples=3):
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, samples - 1]
+    return np.maximum(d, np.maximum(core[:, None], core))
+
+
+def plain_tree(m):
+    """Edges a, b, w of a minimum spanning tree, row by row."""
+    near, way, edges = m[0].copy(), np.zeros(len(m), int), []
+    near[0] = np.inf
+    inside = {0}
+    for _ in range(len(m) - 1):
+        i = int(near.argmin())
+        edges.append((min(i, int(way[i])), max(i, int(way[i])), float(near[i])))
+        inside.add(i)
+        closer = m[i] < near
+        closer[list(inside)] = False
+        near[closer], way[closer] = m[i][closer], i
+        near[list(inside)] = np.inf
+    return edges
+
+
+@pytest.mark.parametrize("seed,least,direct", [(2, 5, 110), (3, 12, 50_000)])
+def test_trees_of_many_edges_are_folded_in_parts(spark, seed, least, direct):
     x = spots(seed)
-    got = density.clusters(table(spark, x), "vec_id", "embedding", least, graph=graph, direct=direct, pivots=9).orderBy("vec_id").collect()
+    tree = spark.createDataFrame(plain_tree(reachability(x)), "a long, b long, w double")
+    points = spark.createDataFrame([(i,) for i in range(len(x))], "node long")
+    got = density.labels(points, tree, least, direct).orderBy("node").collect()
     want = plain_labels(x, least)
     assert len(set(want)) > 2 and [r.label for r in got] == want
 
 
 def test_tree_has_least_weight(spark):
-    x = spots(5)
+    x = spots(5, 120)
     tree = density.spanning_tree(table(spark, x), "vec_id", "embedding", graph=4, pivots=9).toPandas()
-    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
-    core = np.sort(d, axis=1)[:, 2]
-    m = np.maximum(d, np.maximum(core[:, None], core))
-    inside, near, total = {0}, m[0].copy(), 0.0
-    while len(inside) < len(x):
-        i = min((j for j in range(len(x)) if j not in inside), key=lambda j: near[j])
-        total += near[i]
-        inside.add(i)
-        near = np.minimum(near, m[i])
+    total = sum(w for _, _, w in plain_tree(reachability(x)))
     assert len(tree) == len(x) - 1 and abs(tree.w.sum() - total) < 1e-9
 
 

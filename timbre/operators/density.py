@@ -26,13 +26,21 @@ from timbre.session import checkpointed
 GRAPH, DIRECT, SMALLEST = 16, 50_000, 1e-9
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, without the estimate of its size: a checkpoint keeps its plan's, each join multiplies the
+    estimates of both sides, and in loops of self-joins their digits double every round until planning takes minutes."""
+    done = checkpointed(df)
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 # ── components ──
 
 
 def _rooted(parents: DataFrame, direct: int = DIRECT) -> DataFrame:
     """node, comp: the end of each node's chain of parents. Chains shrink by half a round; a table of at most
     ``direct`` rows is followed at once."""
-    parents = checkpointed(parents)
+    parents = _cut(parents)
     while True:
         if parents.limit(direct + 1).count() <= direct:
             up = {r.node: r.comp for r in parents.collect()}  # at most ``direct`` rows
@@ -41,7 +49,7 @@ def _rooted(parents: DataFrame, direct: int = DIRECT) -> DataFrame:
                     up[n] = up[up[n]]
             return parents.sparkSession.createDataFrame(list(up.items()), parents.schema)
         up = parents.select(F.col("node").alias("_up"), F.col("comp").alias("_root"))
-        after = checkpointed(parents.join(up, F.col("comp") == F.col("_up")).select("node", "comp", F.col("_root").alias("then")))
+        after = _cut(parents.join(up, F.col("comp") == F.col("_up")).select("node", "comp", F.col("_root").alias("then")))
         moved = after.where("comp <> then").limit(1).count()
         parents = after.select("node", F.col("then").alias("comp"))
         if not moved:
@@ -50,16 +58,16 @@ def _rooted(parents: DataFrame, direct: int = DIRECT) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, direct: int = DIRECT) -> DataFrame:
     """node, comp: the least node of each node's component. ``nodes``: node; ``edges``: a, b."""
-    labels = checkpointed(nodes.select("node", F.col("node").alias("comp")))
+    labels = _cut(nodes.select("node", F.col("node").alias("comp")))
     left = edges.select("a", "b")
     while True:
         of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))
-        left = checkpointed(left.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+        left = _cut(left.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
         if not left.limit(1).count():
             return labels
         hooks = left.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("to"))
         roots = labels.select(F.col("comp").alias("node")).distinct().join(hooks, "node", "left").select("node", F.coalesce("to", "node").alias("comp"))
-        labels = checkpointed(labels.withColumnRenamed("comp", "_c").join(_rooted(roots, direct).select(F.col("node").alias("_c"), "comp"), "_c").select("node", "comp"))
+        labels = _cut(labels.withColumnRenamed("comp", "_c").join(_rooted(roots, direct).select(F.col("node").alias("_c"), "comp"), "_c").select("node", "comp"))
 
 
 # ── the spanning tree ──
@@ -74,38 +82,38 @@ def spanning_tree(rows: DataFrame, key: str, vector: str, samples: int = 3, grap
     """
     cells = neighbours.built(rows, key, vector, pivots=pivots)
     plain = rows.select(key, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
-    near = checkpointed(neighbours.nearest(plain, cells, max(graph, samples - 1), but_itself=True))
+    near = _cut(neighbours.nearest(plain, cells, max(graph, samples - 1), but_itself=True))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("cost", "match"))  # at most ``graph`` rows a key
     told = near.withColumn("i", rank).groupBy(key).agg(F.max(F.when(F.col("i") <= samples - 1, F.col("cost"))).alias("core"), F.max("cost").alias("reach"), F.count("*").alias("n"))
-    points = checkpointed(plain.join(told, key, "left").select(F.col(key).alias("node"), F.coalesce("core", F.lit(0.0)).alias("core"), F.when(F.col("n") >= graph, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")))
+    points = _cut(plain.join(told, key, "left").select(F.col(key).alias("node"), F.coalesce("core", F.lit(0.0)).alias("core"), F.when(F.col("n") >= graph, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")))
     core = lambda end: points.select(F.col("node").alias(end), F.col("core").alias(f"core_{end}"))
     pairs = near.select(F.least(key, "match").alias("a"), F.greatest(key, "match").alias("b"), "cost").distinct()
-    known = checkpointed(pairs.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("cost", "core_a", "core_b").alias("w")))
-    labels, tree = checkpointed(points.select("node", F.col("node").alias("comp"))), None
-    cored = neighbours.Cells(checkpointed(cells.rows.join(points.select(F.col("node").alias(key), "core"), key).select(*cells.rows.columns, "core")), cells.pivots, cells.radius, cells.count, key, vector)
+    known = _cut(pairs.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("cost", "core_a", "core_b").alias("w")))
+    labels, tree = _cut(points.select("node", F.col("node").alias("comp"))), None
+    cored = neighbours.Cells(_cut(cells.rows.join(points.select(F.col("node").alias(key), "core"), key).select(*cells.rows.columns, "core")), cells.pivots, cells.radius, cells.count, key, vector)
     while True:
         of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))  # noqa: E731, B023
         crossing = lambda e: e.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select("a", "b", "w", "_a", "_b")  # noqa: E731, B023
-        known = checkpointed(crossing(known.select("a", "b", "w")))
+        known = _cut(crossing(known.select("a", "b", "w")))
         asked = points.join(labels, "node").join(_taken(known).select(F.col("_a").alias("comp"), F.col("best.w").alias("most")), "comp", "left")
-        asked = checkpointed(asked.select("node", "comp", "core", F.coalesce("most", F.lit(float("inf"))).alias("most"), "reach").where(F.greatest("core", "reach") < F.col("most")))
+        asked = _cut(asked.select("node", "comp", "core", F.coalesce("most", F.lit(float("inf"))).alias("most"), "reach").where(F.greatest("core", "reach") < F.col("most")))
         if asked.limit(1).count():
             placed = cored.rows.join(labels.withColumnRenamed("node", key), key).select(*cored.rows.columns, "comp")
             here = neighbours.Cells(placed, cells.pivots, cells.radius, cells.count, key, vector)
             queries = asked.withColumnRenamed("node", key).join(plain, key)
             found = neighbours.nearest(queries, here, 1, core="core", group="comp", most="most")
             more = found.select(F.least(key, "match").alias("a"), F.greatest(key, "match").alias("b"), F.col("cost").alias("w")).distinct()
-            known = checkpointed(known.unionByName(crossing(more)).distinct())
-        taken = checkpointed(_taken(known))
+            known = _cut(known.unionByName(crossing(more)).distinct())
+        taken = _cut(_taken(known))
         if not taken.limit(1).count():
             return tree if tree is not None else known.select("a", "b", "w")
         chosen = taken.select("best.a", "best.b", "best.w").distinct()
-        tree = checkpointed(chosen if tree is None else tree.unionByName(chosen))
+        tree = _cut(chosen if tree is None else tree.unionByName(chosen))
         to = taken.select(F.col("_a").alias("node"), F.col("best.to").alias("comp"))
         back = to.select(F.col("node").alias("comp"), F.col("comp").alias("_back"))
         parents = to.join(back, "comp", "left").select("node", F.when((F.col("_back") == F.col("node")) & (F.col("node") < F.col("comp")), F.col("node")).otherwise(F.col("comp")).alias("comp"))
         every = labels.select(F.col("comp").alias("node")).distinct().join(parents, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        labels = checkpointed(labels.withColumnRenamed("comp", "_c").join(_rooted(every, direct).select(F.col("node").alias("_c"), "comp"), "_c").select("node", "comp"))
+        labels = _cut(labels.withColumnRenamed("comp", "_c").join(_rooted(every, direct).select(F.col("node").alias("_c"), "comp"), "_c").select("node", "comp"))
 
 
 def _taken(known: DataFrame) -> DataFrame:
@@ -173,14 +181,14 @@ def condensed(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRE
     edges are folded, each by a task.
     """
     kind = dict(points.dtypes)["node"]
-    nodes = checkpointed(points.select(F.lit("t").alias("part"), "node", F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("cluster")))
-    edges, maps, rows, events, level = checkpointed(tree.select(F.lit("t").alias("part"), "a", "b", "w")), [], [], [], 0
+    nodes = _cut(points.select(F.lit("t").alias("part"), "node", F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("cluster")))
+    edges, maps, rows, events, level = _cut(tree.select(F.lit("t").alias("part"), "a", "b", "w")), [], [], [], 0
     while True:
         counts = edges.groupBy("part").agg(F.count("*").alias("n"), F.percentile_approx("w", 0.5).alias("mid"), F.max("w").alias("top"), F.min("w").alias("low"))
-        wide = checkpointed(counts.where((F.col("n") > direct) & (F.col("low") < F.col("top"))))  # parts of many edges are few
+        wide = _cut(counts.where((F.col("n") > direct) & (F.col("low") < F.col("top"))))  # parts of many edges are few
         rest = [df.join(F.broadcast(wide.select("part")), "part", "left_anti") for df in (nodes, edges)]
         folded = rest[0].groupBy("part").cogroup(rest[1].groupBy("part")).applyInPandas(_folded(least), f"kind string, node {kind}, w double, cluster string, child string")
-        folded = checkpointed(folded)
+        folded = _cut(folded)
         rows.append(folded.where("kind = 'row'").select("node", "w", "cluster"))
         events += folded.where("kind <> 'row'").select("kind", "w", "cluster", "child").collect()  # large components: few
         if not wide.limit(1).count():
@@ -188,24 +196,25 @@ def condensed(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRE
         level += 1
         cut = F.broadcast(wide.select("part", "mid", "top"))
         light = (F.col("w") < F.col("mid")) | ((F.col("w") == F.col("mid")) & (F.col("mid") < F.col("top")))
-        split = checkpointed(edges.join(cut, "part").withColumn("light", light).drop("mid", "top"))
-        mine = checkpointed(nodes.join(cut.select("part"), "part"))
-        found = checkpointed(components(mine.select("node"), split.where("light").select("a", "b"), direct))
-        placed = checkpointed(mine.join(found, "node"))
+        place = lambda end: F.struct("part", F.col(end).alias("node"))  # noqa: E731  (a component of several nodes has an id in two parts)
+        split = _cut(edges.join(cut, "part").select("part", "a", "b", "w", light.alias("light"), place("a").alias("at"), place("b").alias("to")))
+        mine = _cut(nodes.join(cut.select("part"), "part").withColumn("at", place("node")))
+        found = _cut(components(mine.select(F.col("at").alias("node")), split.where("light").select(F.col("at").alias("a"), F.col("to").alias("b")), direct))
+        placed = _cut(mine.join(found.select(F.col("node").alias("at"), "comp"), "at"))
         sums = placed.groupBy("part", "comp").agg(F.sum("size").alias("size"), F.count("cluster").alias("bigs"), F.max("cluster").alias("one"), F.count("*").alias("n"))
         # a single large node stays what it is; a part of several is named, and tells its last large component later
-        name = F.concat_ws(".", F.lit(f"l{level}"), F.col("comp").cast("string"))
+        name = F.concat_ws(".", F.lit(f"l{level}"), "comp.part", F.col("comp.node").cast("string"))
         big = (F.col("size") >= least) | (F.col("bigs") > 0)
-        sums = checkpointed(sums.withColumn("inner", F.when(big & (F.col("n") > 1), name)).withColumn("cluster", F.when(big, F.coalesce("inner", "one"))))
-        # nodes of parts at one level are distinct, so a component tells its part
+        sums = _cut(sums.withColumn("inner", F.when(big & (F.col("n") > 1), name)).withColumn("cluster", F.when(big, F.coalesce("inner", "one"))))
         inner = sums.where("inner is not null").select("comp", "inner")
         lower = placed.join(inner, "comp").select(F.col("inner").alias("part"), "node", "size", "cluster")
-        upper = sums.select("part", F.col("comp").alias("node"), "size", "cluster")
-        maps.append(placed.join(sums.where("cluster is null").select("comp"), "comp").select(F.col("comp").alias("of"), "node", F.lit(level).alias("level")))
-        at = found.select(F.col("node").alias("a"), F.col("comp").alias("_a"))
-        under = split.where("light").join(at, "a").join(inner.select(F.col("comp").alias("_a"), "inner"), "_a").select(F.col("inner").alias("part"), "a", "b", "w")
-        over = split.where("not light").join(at, "a").join(at.select(F.col("a").alias("b"), F.col("_a").alias("_b")), "b").select("part", F.col("_a").alias("a"), F.col("_b").alias("b"), "w")
-        nodes, edges = checkpointed(lower.unionByName(upper)), checkpointed(under.unionByName(over))
+        upper = sums.select("part", F.col("comp.node").alias("node"), "size", "cluster")
+        maps.append(placed.join(sums.where("cluster is null").select("comp"), "comp").select(F.col("comp.node").alias("of"), "node"))
+        at = found.select(F.col("node").alias("at"), F.col("comp").alias("_a"))
+        under = split.where("light").join(at, "at").join(inner.select(F.col("comp").alias("_a"), "inner"), "_a").select(F.col("inner").alias("part"), "a", "b", "w")
+        ends = split.where("not light").join(at, "at").join(at.select(F.col("at").alias("to"), F.col("_a").alias("_b")), "to")
+        over = ends.select("part", F.col("_a.node").alias("a"), F.col("_b.node").alias("b"), "w")
+        nodes, edges = _cut(lower.unionByName(upper)), _cut(under.unionByName(over))
     return _spread(rows, maps), events
 
 
@@ -215,7 +224,7 @@ def _spread(rows: list[DataFrame], maps: list[DataFrame]) -> DataFrame:
     for k in range(len(maps) - 1, -1, -1):
         inside = maps[k].select(F.col("of").alias("_of"), F.col("node").alias("_node"))
         given = done.join(inside, F.col("node") == F.col("_of"), "left").select(F.coalesce("_node", "node").alias("node"), "w", "cluster")
-        done = checkpointed(given.unionByName(rows[k]))
+        done = _cut(given.unionByName(rows[k]))
     return done
 
 
@@ -232,7 +241,7 @@ def labels(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRECT)
     made = {real(e.cluster): max(e.w, SMALLEST) for e in events if e.kind == "born"}
     parent = {real(e.child): real(e.cluster) for e in events if e.kind == "child"}
     alias = joined.sparkSession.createDataFrame([(c, real(c)) for c in {e.cluster for e in events} | set(names)] or [("", "")], "_name string, real string")
-    joined = checkpointed(joined.join(F.broadcast(alias), F.col("cluster") == F.col("_name"), "left").select("node", "w", F.coalesce("real", "cluster").alias("cluster")))
+    joined = _cut(joined.join(F.broadcast(alias), F.col("cluster") == F.col("_name"), "left").select("node", "w", F.coalesce("real", "cluster").alias("cluster")))
     sums = {r.cluster: (r.lam, r.n) for r in joined.groupBy("cluster").agg(F.sum(1 / F.greatest("w", F.lit(SMALLEST))).alias("lam"), F.count("*").alias("n")).collect()}
     chosen = _chosen(made, parent, sums)
     table = joined.sparkSession.createDataFrame([(c, x) for c, x in chosen.items()] or [("", "")], "_c string, top string")
@@ -274,5 +283,5 @@ def clusters(rows: DataFrame, key: str, vector: str, least: int, samples: int =
     """key, label of all rows with a vector; keys are distinct. Fewer than ``least`` rows are all noise."""
     tree = spanning_tree(rows, key, vector, samples, graph, pivots, direct)
     points = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("node"))
-    return labels(checkpointed(points), tree, least, direct).select(F.col("node").alias(key), "label")
+    return labels(_cut(points), tree, least, direct).select(F.col("node").alias(key), "label")
 

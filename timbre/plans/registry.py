@@ -15,7 +15,7 @@ from timbre import backends
 from timbre.functions import lexicons as L
 from timbre.functions import surface as S
 from timbre.functions import text as T
-from timbre.operators import context, corpus, exports, privacy, rules, scorer, situations, stats
+from timbre.operators import context, corpus, density, exports, privacy, rules, scorer, situations, stats
 from timbre.plans import derived
 from timbre.plans import duck as D
 from timbre.plans import evaluate
@@ -392,6 +392,12 @@ def kmeans_situations(spark, d):
     return situations.find(context.previous_turn(turns(spark, d)).where("speaker = 'assistant'"), SEED)[1]
 
 
+@query()
+def density_clusters(spark, d):
+    """Clusters of the vectors by density; SQL has no spanning tree, a plain version in the tests has."""
+    return density.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", least=10)
+
+
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 
 
