@@ -14,7 +14,7 @@ from timbre.cli import _parser
 from timbre.config import Config
 from timbre.functions import surface as S
 from timbre.functions import text as T
-from timbre.operators import context, corpus, exports, privacy, rules, scorer, situations, stats
+from timbre.operators import context, corpus, diversity, exports, privacy, rules, scorer, situations, stats
 from timbre.plans import evaluate, extract
 from timbre.sources import readers
 
@@ -22,8 +22,8 @@ TURNS = "doc_id string, turn_id int, speaker string, text string"
 
 
 def test_mtld():
-    assert stats.mtld_of(["a"] * 10) is None
-    low, high = stats.mtld_of("the cat sat on the mat".split() * 20), stats.mtld_of([f"w{i}" for i in range(120)])
+    assert diversity.mtld_of(["a"] * 10) is None
+    low, high = diversity.mtld_of("the cat sat on the mat".split() * 20), diversity.mtld_of([f"w{i}" for i in range(120)])
     assert low < high == 120
 
 

@@ -272,38 +272,3 @@ def style_richness(turns: DataFrame, by: str = "speaker", sample: int = 42) -> D
     none = F.aggregate(F.sequence(F.lit(0), F.lit(sample - 1)), F.lit(1.0), lambda a, j: a * (n - c - j) / (n - j))
     missed = F.when(n - c >= sample, none).otherwise(F.lit(0.0))
     return rows.groupBy(by).agg(F.max("n").alias("tokens"), F.count("*").alias("types"), F.when(F.max("n") >= sample, F.sum(1 - missed)).alias("hdd"))
-
-
-def mtld_of(tokens: list[str], least: float = 0.72) -> float | None:
-    """Lexical diversity of a token stream: mean length of runs that keep a type share above a limit,
-    forwards and backwards; None under 50 tokens."""
-    if len(tokens) < 50:
-        return None
-
-    def run(stream) -> float:
-        factors, seen, n = 0.0, set(), 0
-        for token in stream:
-            seen.add(token)
-            n += 1
-            if len(seen) <= least * n and len(seen) / n <= least:
-                factors, seen, n = factors + 1, set(), 0
-        if n:
-            factors += (1 - len(seen) / n) / (1 - least)
-        return len(tokens) / factors if factors else float(len(tokens))
-
-    return (run(tokens) + run(reversed(tokens))) / 2
-
-
-def mtld(turns: DataFrame, by: str = "speaker") -> DataFrame:
-    """``by``, mtld over a speaker's tokens in order of conversation and turn. The fold depends on order, so
-    a speaker is one task, as the measure is defined."""
-    import pandas as pd
-
-    lower = F.transform(T.words(F.col("text")), F.lower)
-    rows = turns.select(F.col(by).alias("k"), F.col("doc_id").cast("string").alias("doc_id"), F.col("turn_id").cast("long").alias("turn_id"), F.array_join(lower, " ").alias("w"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "turn_id"])
-        return pd.DataFrame({by: [pdf["k"].iloc[0]], "mtld": [mtld_of(" ".join(pdf["w"]).split())]})
-
-    return rows.groupBy("k").applyInPandas(fold, f"{by} string, mtld double")

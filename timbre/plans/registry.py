@@ -15,7 +15,7 @@ from timbre import backends
 from timbre.functions import lexicons as L
 from timbre.functions import surface as S
 from timbre.functions import text as T
-from timbre.operators import context, corpus, density, exports, privacy, rules, scorer, situations, stats
+from timbre.operators import context, corpus, density, diversity, exports, privacy, rules, scorer, situations, stats
 from timbre.plans import derived
 from timbre.plans import duck as D
 from timbre.plans import evaluate
@@ -102,7 +102,7 @@ def hdd_richness(spark, d):
 
 @query()
 def mtld(spark, d):
-    return r6(stats.mtld(turns(spark, d)))
+    return r6(diversity.mtld(turns(spark, d)))
 
 
 _LATIN = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
