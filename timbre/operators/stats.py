@@ -33,16 +33,75 @@ def long(df: DataFrame, features: list[str] | None = None, keep: tuple[str, ...]
     return rows.where("value is not null and not isnan(value)")
 
 
-def describe(values: DataFrame, by: tuple[str, ...] = ("feature",), exact: bool = False) -> DataFrame:
-    """mean, median, p10, p90, present (share not 0) and n of each feature.
+#: Distinct values of a range that one task sorts to pick ranks from.
+SELECT_ROWS = 50_000
+#: Percentiles of a description.
+PERCENTILES = {"median": 0.5, "p10": 0.1, "p90": 0.9}
 
-    Percentiles come from a sketch of bounded size; ``exact=True`` interpolates between the values themselves,
-    which holds all distinct ones of a feature in one task.
+
+def describe(values: DataFrame, by: tuple[str, ...] = ("feature",), limit: int = SELECT_ROWS, classes: int = 256) -> DataFrame:
+    """mean, median, p10, p90, present (share not 0) and n of each feature; a row for each group of ``by``, also a null one.
+
+    Percentiles are exact and interpolate between the two values beside them. Values are counted by distinct
+    value once, the rest reads those counts (see :func:`_at_ranks`); ``limit`` and ``classes`` change no result.
+    No values give no rows.
     """
-    at = (lambda q: F.percentile("value", F.lit(q))) if exact else (lambda q: F.percentile_approx("value", q, 10_000).cast("double"))
-    return values.groupBy(*by).agg(
-        F.avg("value").alias("mean"), at(0.5).alias("median"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.avg((F.col("value") != 0).cast("double")).alias("present"), F.count("*").alias("n")
-    )
+    counted = checkpointed(values.groupBy(F.struct(*by).alias("k"), "value").agg(F.count("*").alias("c")))
+    v, c = F.col("value"), F.col("c")
+    groups = checkpointed(counted.groupBy("k").agg(
+        (F.sum(v * c) / F.sum("c")).alias("mean"), (F.sum((v != 0).cast("long") * c) / F.sum("c")).alias("present"), F.sum("c").alias("n"),
+        F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+    ))
+    place = lambda q: (F.col("n") - 1) * F.lit(q)
+    ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(q)), F.ceil(place(q))) for q in PERCENTILES.values()))))
+    wanted = groups.select("k", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "d")
+    found = _at_ranks(counted, wanted, limit, classes).groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))  # six a group
+
+    def percentile(q: float) -> Column:
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        part = place(q) - low
+        return F.when(low == high, F.col("at")[low]).otherwise((1 - part) * F.col("at")[low] + part * F.col("at")[high])
+
+    rows = groups.join(F.broadcast(found), "k")
+    return rows.select("k.*", "mean", *(percentile(q).alias(name) for name, q in PERCENTILES.items()), "present", "n")
+
+
+def _at_ranks(counted: DataFrame, wanted: DataFrame, limit: int, classes: int) -> DataFrame:
+    """k, rank, value: the values at ranks (from 0) of the groups of ``counted`` (k, value, c: how often it occurs).
+
+    ``wanted`` (k, rank, lo, hi, before, d; some rows a group) says of each rank between which values it lies, how many rows
+    lie before them and how many distinct values between. A range of more than ``limit`` distinct values is cut at
+    quantiles of those, read from a sketch; the exact count of each class says in which the rank lies, and only its values go
+    on. Each round leaves a share of about 1 / ``classes``. Ranges within the limit are sorted at last.
+    """
+    inner = [(i + 1) / classes for i in range(classes - 1)]
+    while wanted.where(F.col("d") > limit).limit(1).count():
+        large = wanted.where(F.col("d") > limit)
+        ranges = large.select("k", "lo", "hi").distinct()
+        inside = counted.join(F.broadcast(ranges), "k").where("value >= lo and value <= hi")
+        bounds = inside.groupBy("k", "lo", "hi").agg(F.percentile_approx("value", inner, 20 * classes).alias("bounds"))  # a row a range
+        parts = inside.join(F.broadcast(bounds), ["k", "lo", "hi"]).withColumn("part", F.size(F.filter("bounds", lambda b: b < F.col("value"))))
+        sums = parts.groupBy("k", "lo", "hi", "part").agg(F.sum("c").alias("n"), F.count("*").alias("d1"), F.min("value").alias("lo1"), F.max("value").alias("hi1"))
+        earlier = F.sum("n").over(Window.partitionBy("k", "lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a class
+        sums = sums.withColumn("earlier", F.coalesce(earlier, F.lit(0)))
+        inner_rank = F.col("rank") - F.col("before")
+        nearer = large.drop("d").join(sums, ["k", "lo", "hi"]).where((inner_rank >= F.col("earlier")) & (inner_rank < F.col("earlier") + F.col("n")))
+        nearer = nearer.select("k", "rank", F.col("lo1").alias("lo"), F.col("hi1").alias("hi"), (F.col("before") + F.col("earlier")).alias("before"), F.col("d1").alias("d"))
+        wanted = checkpointed(wanted.where(F.col("d") <= limit).unionByName(nearer))
+        open_ranges = wanted.where("lo < hi").select("k", "lo", "hi").distinct()
+        counted = checkpointed(counted.join(F.broadcast(open_ranges), "k").where("value >= lo and value <= hi").select("k", "value", "c"))
+    ranges = wanted.where("lo < hi").select("k", "lo", "hi").distinct()
+    between = counted.join(F.broadcast(ranges), "k").where("value >= lo and value <= hi")
+    listed = between.groupBy("k", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("value", "c"))).alias("rows"))  # at most ``limit``
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("double").alias("at"))
+    inner_rank = F.col("rank") - F.col("before")
+
+    def pick(a: Column, r: Column) -> Column:
+        reached = a["at"].isNull() & (a["sum"] + r["c"] > inner_rank)
+        return F.struct((a["sum"] + r["c"]).alias("sum"), F.when(reached, r["value"]).otherwise(a["at"]).alias("at"))
+
+    picked = wanted.where("lo < hi").join(listed, ["k", "lo", "hi"]).select("k", "rank", F.aggregate("rows", start, pick, lambda a: a["at"]).alias("value"))
+    return picked.unionByName(wanted.where("lo = hi").select("k", "rank", F.col("lo").alias("value")))
 
 
 def bootstrap_ci(values: DataFrame, draws: int = 400, seed: int = 7) -> DataFrame:
