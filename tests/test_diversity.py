@@ -48,7 +48,7 @@ def test_mtld_of_an_empty_table(spark):
 
 
 def test_no_segment_is_longer_than_asked(spark):
-    rows = spark.createDataFrame([("k", "d", 1, ["a", "b", "c"] * 100), ("k", "d", 2, ["z"]), ("k", "e", 0, ["y"] * 9), ("l", "d", 1, ["q"])], "key string, doc string, turn long, w array<string>")
+    rows = spark.createDataFrame([("k", "d", 1, "a b c " * 100), ("k", "d", 2, "Z."), ("k", "e", 0, "y " * 9), ("l", "d", 1, "q"), ("l", "d", 2, "...")], "key string, doc string, turn long, text string")
     pieces = diversity._segments(rows, 16).collect()
     sizes = {(r.key, r.seg): len(r.text.split(" ")) for r in pieces}
     assert sizes == {**{("k", i): 16 for i in range(19)}, ("k", 19): 6, ("l", 0): 1}

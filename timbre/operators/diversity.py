@@ -90,19 +90,21 @@ def _stepper(least: float):
 
 
 def _segments(rows: DataFrame, segment: int) -> DataFrame:
-    """key, seg, text: the tokens of each key (``rows``: key, doc, turn, w) in order, ``segment`` a row but for the last.
+    """key, seg, text: the words of each key's texts (``rows``: key, doc, turn, text) in order, ``segment`` a row but for the last.
 
-    Rows are put into ranges; a row's place is the tokens of its key in the ranges before and, within its own, in
-    the rows before. A row of many tokens is cut, so no task has more than a range, whoever speaks.
+    Texts are put into ranges, and only there cut into words; a text's place is the words of its key in the ranges before
+    and, within its own, in the texts before. A text of many words is cut, so no task has more than a range, whoever speaks.
     """
     order = (F.asc_nulls_last("doc"), F.asc_nulls_last("turn"), F.asc("tie"))
-    ranged = rows.withColumn("tie", F.xxhash64("w")).repartitionByRange("key", *order)
-    ranged = checkpointed(ranged.withColumn("part", F.spark_partition_id()).withColumn("n", F.size("w").cast("long")))
+    ranged = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("key", *order).withColumn("part", F.spark_partition_id())
+    lower = F.transform(T.words(F.col("text")), F.lower)
+    ranged = ranged.select("key", "doc", "turn", "tie", "part", lower.alias("w")).where(F.size("w") > 0)
+    ranged = checkpointed(ranged.select("key", "doc", "turn", "tie", "part", F.array_join("w", " ").alias("text"), F.size("w").cast("long").alias("n")))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = ranged.groupBy("key", "part").agg(F.sum("n").alias("n"))  # a row a range and key
     parts = parts.select("key", "part", earlier(Window.partitionBy("key").orderBy("part")).alias("before"))
     placed = ranged.withColumn("inside", earlier(Window.partitionBy("key", "part").orderBy(*order))).join(parts, ["key", "part"])
-    placed = placed.select("key", "w", (F.col("before") + F.col("inside")).alias("start"), "n")
+    placed = placed.select("key", F.split("text", " ").alias("w"), (F.col("before") + F.col("inside")).alias("start"), "n")
 
     def piece(seg: Column) -> Column:
         first = F.greatest(seg * segment, F.col("start"))
@@ -170,16 +172,15 @@ def mtld(turns: DataFrame, by: str = "speaker", segment: int = SEGMENT, block: i
     """``by``, mtld over a speaker's tokens in the order of conversation (as text) and turn, nulls last.
 
     The same value as :func:`mtld_of` for any ``segment`` and ``block``. Turns of one number follow each other by a hash
-    of their tokens. Null speakers are a speaker; one of fewer than 50 tokens, or of empty and null texts only, has
+    of their texts. Null speakers are a speaker; one of fewer than 50 tokens, or of empty and null texts only, has
     null; an empty table gives no row. A very long text is cut into segments as a long conversation is. What passes between
     segments is the distinct tokens of one run, at most a speaker's vocabulary. Segments that never fall in step
     (one word for ever, a run longer than a segment) take further rounds, one for each state that is new.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
-    lower = F.transform(T.words(F.coalesce("text", F.lit(""))), F.lower)
-    rows = turns.select(key.alias("key"), F.col("doc_id").cast("string").alias("doc"), F.col("turn_id").cast("long").alias("turn"), lower.alias("w"))
+    rows = turns.select(key.alias("key"), F.col("doc_id").cast("string").alias("doc"), F.col("turn_id").cast("long").alias("turn"), "text")
     speakers = rows.select("key").distinct()
-    segments = checkpointed(_segments(rows.where(F.size("w") > 0), segment))
+    segments = checkpointed(_segments(rows.where(F.col("text").isNotNull()), segment))
     last = segments.agg(F.max("seg")).first()[0] or 0
     steps = _transitions(segments, least, only_one=last == 0)
     while last:
