@@ -493,18 +493,18 @@ def dpo_pairs(spark, d):
 
 
 _NORM = "trim(regexp_replace(lower(t), '[^\\p{L}\\p{N}_]+', ' ', 'g'))"
-_CONV_RARE = D.rare(1, 2).replace("FROM documents", "FROM (SELECT conv_id AS doc_id, text FROM conversations)")
+_CONV_RARE = D.rare(5, 3).replace("FROM documents", "FROM (SELECT conv_id AS doc_id, text FROM conversations)")
 
 
 @query(f"""WITH rare AS ({_CONV_RARE}), c AS (SELECT *, len(list_filter(regexp_split_to_array(trim(t), '\\s+'), lambda x: x <> '')) AS n FROM ({D.CONTEXT})),
 ok AS (SELECT * FROM c WHERE n BETWEEN 6 AND 90 AND NOT regexp_matches(trim(t), '\\b[2-9]/[0-9]\\b') AND NOT regexp_matches(trim(t), '^\\p{{Ll}}')),
-g AS (SELECT doc_id, turn_id, unnest(list_concat({D.ngrams(D.privacy_tokens("t"), 1)}, {D.ngrams(D.privacy_tokens("coalesce(p, '')"), 1)})) AS ngram FROM ok),
+g AS (SELECT doc_id, turn_id, unnest(list_concat({D.ngrams(D.privacy_tokens("t"), 5)}, {D.ngrams(D.privacy_tokens("coalesce(p, '')"), 5)})) AS ngram FROM ok),
 clean AS (SELECT * FROM ok WHERE (doc_id, turn_id) NOT IN (SELECT (doc_id, turn_id) FROM g JOIN rare USING (ngram))),
 once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_NORM} ORDER BY length(t) DESC, concat_ws('#', doc_id, turn_id)) AS i FROM clean) WHERE i = 1)
 SELECT cluster, rank, key, context, text FROM (SELECT speaker AS cluster, row_number() OVER (PARTITION BY speaker ORDER BY length(t) DESC, concat_ws('#', doc_id, turn_id))::INT AS rank, concat_ws('#', doc_id, turn_id) AS key, p AS context, t AS text FROM once) WHERE rank <= 8""")
 def exemplars(spark, d):
     rows = context.previous_turn(turns(spark, d)).withColumns({"key": corpus.key(), "score": F.char_length("text").cast("double"), "cluster": F.col("speaker")})
-    return exports.exemplars(rows, privacy.rare_spans(turns(spark, d), 1, 2), n=1).select("cluster", "rank", "key", "context", "text")
+    return exports.exemplars(rows, privacy.rare_spans(turns(spark, d), 5, 3), n=5).select("cluster", "rank", "key", "context", "text")
 
 
 @query(f"""WITH a AS (SELECT doc_id, turn_id, {scorer.to_sql(_FIXED)} AS score FROM ({D.features(D.STAT_FEATURES, D.TURNS, 'doc_id, turn_id', rounded=False)})),
