@@ -179,3 +179,20 @@ def test_situations_take_density_where_it_finds_some(spark):
     assert [r.cluster for r in got] == [0] * 40 + [1] * 30
     even = table(spark, rng.uniform(size=(60, 8))).select("vec_id", array_to_vector("embedding").alias("vector"))
     assert situations.cluster(even).where(F.col("cluster") < 0).count() < 36
+
+
+@pytest.mark.parametrize("metric", [neighbours.PRODUCT, neighbours.DISTANCE])
+def test_queries_go_to_few_groups_and_tiny_differences_count(spark, metric):
+    """A query is copied for groups of cells, not for cells; what single precision can't tell apart is told apart."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 48))
+    x = np.concatenate([base + 1e-9 * rng.normal(size=base.shape) for _ in range(500)])
+    cells = neighbours.built(table(spark, x), "vec_id", "embedding")
+    sizes = np.bincount(cells.group, cells.count)
+    assert len(sizes) <= 2 * neighbours.GROUPS < len(cells.count) and sizes.sum() == len(x) and sizes.max() <= max(cells.tile, cells.count.max())
+    q = x[:40]
+    got = {r.vec_id: (r.match, r.cost) for r in neighbours.nearest(table(spark, q), cells, 1, metric, but_itself=True).collect()}
+    cost = -(q[:, None] * x).sum(axis=2) if metric == neighbours.PRODUCT else np.sqrt(((q[:, None] - x) ** 2).sum(axis=2))
+    cost[np.arange(40), np.arange(40)] = np.inf
+    for i in range(40):
+        assert cost[i, got[i][0]] <= cost[i].min() + 1e-14 and abs(got[i][1] - cost[i].min()) < 1e-14

@@ -6,9 +6,12 @@ radius, the product at most the pivot's product plus the radius times the query'
 meets the cell of the best bound first; with what that offers, all cells that can't offer more are skipped,
 and the others are met. Any choice of pivots gives the same result.
 
-Queries and rows of a cell meet in tiles: rows are dealt into parts by key and copied for each part of the
-queries, and the other way round, so a cell or a set of queries of any size is spread over tasks and no
-task holds more than a tile. Nothing but pivots, radii and counts of cells reaches the driver.
+Cells that lie by each other form groups, and a query goes once to each group that has a cell for it: where no cell can be
+skipped, a query is copied as often as there are groups (about :data:`GROUPS`, until a group is as large as a tile may be),
+not as there are cells. Queries and rows of a group meet in tiles: rows are dealt into parts by key and copied for
+each part of the queries, and the other way round, so a group or a set of queries of any size is spread over tasks and no
+task holds more than a tile. Tiles are compared in single precision first; what its rounding can't rule out is
+compared in double precision. Nothing but pivots, radii and counts of cells reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import types as T
 
 from timbre.session import checkpointed
 
-#: Most pivots (each as long as a vector; they are broadcast), rows and queries of a tile's side, queries compared at once.
+#: Most pivots (each as long as a vector; they are broadcast), least rows of a tile's side, queries compared at once.
 PIVOTS, TILE, SLICE = 4096, 4096, 256
+#: Groups of cells that are aimed at, most bytes of the vectors of a tile's side, products held at once.
+GROUPS, TILE_BYTES, HELD = 8, 32 << 20, 1 << 21
 #: Bounds are loosened by this share of the numbers they are made of, which is far above what rounding takes.
 SLACK = 1e-9
 PRODUCT, DISTANCE = "product", "distance"
@@ -42,6 +47,22 @@ class Cells:
     key: str
     vector: str
 
+    @property
+    def tile(self) -> int:
+        """Rows of a tile's side: an eighth of all, within what a task holds."""
+        most = TILE_BYTES // (8 * max(1, self.pivots.shape[1] if len(self.pivots) else 1))
+        return max(1, min(most, max(TILE, -(-int(self.count.sum()) // GROUPS))))
+
+    @property
+    def group(self) -> np.ndarray:
+        """The group of each cell: neighbours in the pivots' order, at most a tile's rows or a single cell."""
+        out, at, size, tile = np.zeros(len(self.count), np.int32), 0, 0, self.tile
+        for i, n in enumerate(self.count.tolist()):
+            if size and size + n > tile:
+                at, size = at + 1, 0
+            out[i], size = at, size + n
+        return out
+
 
 def built(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), pivots: int | None = None) -> Cells:
     """The cells of ``rows``: their keys, vectors (arrays of doubles without nulls) and the columns to keep.
@@ -108,8 +129,8 @@ def nearest(queries: DataFrame, cells: Cells, k: int = 1, metric: str = DISTANCE
     if not len(cells.pivots):
         none = queries.select(key, F.col(key).alias("match"), F.lit(0.0).alias("cost"))
         return none.where("false")
-    bound = _floor(cells, metric)
-    with_cell = T.StructType([T.StructField("cell", T.IntegerType()), *queries.schema.fields])
+    bound, group_of = _floor(cells, metric), cells.group
+    asking = T.StructType([*queries.schema.fields, T.StructField("_groups", T.ArrayType(T.IntegerType()))])
     cores = core and _least_core(cells, core)
 
     def floors(pdf: pd.DataFrame) -> np.ndarray:
@@ -125,7 +146,7 @@ def nearest(queries: DataFrame, cells: Cells, k: int = 1, metric: str = DISTANCE
                 some = pdf.iloc[i : i + SLICE].copy()
                 floor = floors(some)
                 cell = floor.argmin(axis=1)
-                some.insert(0, "cell", cell.astype(np.int32))
+                some["_groups"] = [[g] for g in group_of[cell].tolist()]
                 yield some[floor[np.arange(len(some)), cell] < np.inf]
 
     def others(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,19 +154,17 @@ def nearest(queries: DataFrame, cells: Cells, k: int = 1, metric: str = DISTANCE
             for i in range(0, len(pdf), SLICE):
                 some = pdf.iloc[i : i + SLICE].copy()
                 floor = floors(some)
-                met = floor.argmin(axis=1)
-                still = (floor <= some["_known"].to_numpy()[:, None]) & (floor < np.inf)
-                still[np.arange(len(some)), met] = False
-                at, cell = np.nonzero(still)
-                some = some.drop(columns="_known").iloc[at]
-                some.insert(0, "cell", cell.astype(np.int32))
-                yield some
-
-    met = checkpointed(_met(queries.mapInPandas(first, with_cell), cells, k, metric, but_itself, core, group))
+                met, known = group_of[floor.argmin(axis=1)], some.pop("_known").to_numpy()
+                still = (floor <= known[:, None]) & (floor < np.inf) & (group_of != met[:, None])
+                some["_most"] = np.minimum(some["_most"], known)
+                some["_groups"] = [np.unique(group_of[row]).tolist() for row in still]
+                yield some[still.any(axis=1)]
+
+    met = checkpointed(_met(queries.mapInPandas(first, asking), cells, k, metric, but_itself, core, group))
     known = met.groupBy(F.col(key).alias("_key")).agg(F.max("cost").alias("_kth"), F.count("*").alias("_n"))
     worst = F.when(F.col("_n") >= k, F.col("_kth")).otherwise(float("inf"))
     again = queries.join(known, F.col(key) == F.col("_key"), "left").select(*queries.columns, F.coalesce(worst, F.lit(float("inf"))).alias("_known"))
-    more = _met(again.mapInPandas(others, with_cell), cells, k, metric, but_itself, core, group)
+    more = _met(again.mapInPandas(others, asking), cells, k, metric, but_itself, core, group)
     return _least(met.unionByName(more), key, k)
 
 
@@ -168,18 +187,21 @@ def _least(found: DataFrame, key: str, k: int) -> DataFrame:
 
 def _met(asked: DataFrame, cells: Cells, k: int, metric: str, but_itself: bool, core: str | None, group: str | None) -> DataFrame:
     """key, match, cost of the queries asked of a cell, tile by tile."""
-    key, vector = cells.key, cells.vector
-    asked = checkpointed(asked)
-    counts = asked.groupBy(F.col("cell").alias("_cell")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_turns"))
-    sizes = asked.sparkSession.createDataFrame([(i, max(1, -(-int(n) // TILE))) for i, n in enumerate(cells.count) if n], "_cell int, _deals int")
-    tiles = F.broadcast(checkpointed(counts.join(sizes, "_cell")))  # a row a pivot
+    key, vector, tile = cells.key, cells.vector, cells.tile
+    asked = checkpointed(asked)  # a row a query
+    told = asked.sparkSession.createDataFrame(list(enumerate(cells.group.tolist())), "cell int, grp int")
+    counts = asked.select(F.explode("_groups").alias("_grp")).groupBy("_grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("_turns"))
+    held = np.bincount(cells.group, cells.count, cells.group.max() + 1)
+    sizes = asked.sparkSession.createDataFrame([(i, max(1, -(-int(n) // tile))) for i, n in enumerate(held) if n], "_grp int, _deals int")
+    tiles = F.broadcast(checkpointed(counts.join(sizes, "_grp")))  # a row a group
     part = lambda n: F.pmod(F.xxhash64(F.lit(11), F.col(key).cast("string")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = asked.withColumn("grp", F.explode("_groups")).drop("_groups")
     sides = []
-    for df, own, other in ((asked, "_turns", "_deals"), (cells.rows, "_deals", "_turns")):
-        placed = df.join(tiles, F.col("cell") == F.col("_cell"))
-        placed = placed.withColumns({f"p{own}": part(own), f"p{other}": every(other)}).drop("_cell", "_turns", "_deals")
-        sides.append(placed.groupBy("cell", "p_turns", "p_deals"))
+    for df, own, other in ((sent, "_turns", "_deals"), (cells.rows.join(F.broadcast(told), "cell").drop("cell"), "_deals", "_turns")):
+        placed = df.join(tiles, F.col("grp") == F.col("_grp"))
+        placed = placed.withColumns({f"p{own}": part(own), f"p{other}": every(other)}).drop("_grp", "_turns", "_deals")
+        sides.append(placed.groupBy("grp", "p_turns", "p_deals"))
     of = asked.schema[key]
     out = T.StructType([of, T.StructField("match", cells.rows.schema[key].dataType), T.StructField("cost", T.DoubleType())])
 
@@ -187,22 +209,50 @@ def _met(asked: DataFrame, cells: Cells, k: int, metric: str, but_itself: bool,
         if not len(asked) or not len(rows):
             return pd.DataFrame({key: [], "match": [], "cost": []})
         rows = rows.sort_values(key)
-        x, found = np.stack(rows[vector].to_numpy()), []
-        for i in range(0, len(asked), SLICE):
-            some = asked.iloc[i : i + SLICE]
+        x, found = np.stack(rows.pop(vector).to_numpy()), []
+        lengths = np.sqrt((x**2).sum(axis=1))
+        longest = lengths.max()
+        coarse, squares = x.astype(np.float32), (lengths**2).astype(np.float32)
+        # whether single precision can hold what is compared, and its rounding's share of the sizes, from above
+        plain = longest < 1e15 and not core
+        share = (x.shape[1] + 8) * 2.0**-23
+        step = max(1, min(SLICE, HELD // len(x)))
+        for i in range(0, len(asked), step):
+            some = asked.iloc[i : i + step]
             q = np.stack(some[vector].to_numpy())
-            cost = -(q @ x.T) if metric == PRODUCT else np.sqrt(_squares(q, x))
+            length, most = np.sqrt((q**2).sum(axis=1)), some["_most"].to_numpy()
+            single = plain and length.max() < 1e15
+            if single:  # squares of distances, without the query's own, or negative products
+                cost = q.astype(np.float32) @ coarse.T
+                cost *= -1 if metric == PRODUCT else -2
+                if metric != PRODUCT:
+                    cost += squares
+                loose = share * (length * longest if metric == PRODUCT else (length + longest) ** 2)
+            else:
+                cost = -(q @ x.T) if metric == PRODUCT else np.sqrt(_squares(q, x))
+                size = length * longest
+                loose = SLACK * size + (np.sqrt(SLACK) * (length + longest) if metric == DISTANCE else 0)
             if core:
                 cost = np.maximum(cost, np.maximum(some[core].to_numpy()[:, None], rows[core].to_numpy()))
-            barred = np.zeros(cost.shape, bool)
-            for column in ([key] if but_itself else []) + ([group] if group else []):
-                barred |= some[column].to_numpy()[:, None] == rows[column].to_numpy()
-            cost[barred] = np.inf
+            if group:
+                cost[some[group].to_numpy()[:, None] == rows[group].to_numpy()] = np.inf
+            if but_itself:
+                own = some[key].to_numpy()
+                place = np.minimum(np.searchsorted(rows[key].to_numpy(), own), len(x) - 1)
+                same = np.flatnonzero(rows[key].to_numpy()[place] == own)
+                for a in same:
+                    b = place[a]
+                    while b < len(x) and rows[key].to_numpy()[b] == own[a]:
+                        cost[a, b] = np.inf
+                        b += 1
             n = min(k, cost.shape[1])
-            kth = np.partition(cost, n - 1, axis=1)[:, n - 1]
-            size = np.sqrt((q**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max())
-            near = cost <= (kth + SLACK * size + (np.sqrt(SLACK) * np.sqrt(size) if metric == DISTANCE else 0))[:, None]
-            a, b = np.nonzero(near & np.isfinite(cost))
+            kth = (cost.min(axis=1) if n == 1 else np.partition(cost, n - 1, axis=1)[:, n - 1]).astype(np.float64)
+            limit = most**2 - length**2 if single and metric == DISTANCE else most
+            far = np.minimum(kth, limit) + 2 * loose
+            near = cost <= (np.nextafter(far.astype(np.float32), np.float32(np.inf)) if single else far)[:, None]
+            a, b = np.nonzero(near)
+            there = np.isfinite(cost[a, b])
+            a, b = a[there], b[there]
             exact = np.empty(len(a))  # costs of what may be among the k, the same for equal vectors whatever the tile
             for s in range(0, len(a), 65_536):
                 u, v = q[a[s : s + 65_536]], x[b[s : s + 65_536]]
@@ -212,7 +262,8 @@ def _met(asked: DataFrame, cells: Cells, k: int, metric: str, but_itself: bool,
             order = np.lexsort((b, exact, a))
             a, b, exact = a[order], b[order], exact[order]
             rank = np.arange(len(a)) - np.searchsorted(a, a)
-            a, b, exact = a[rank < k], b[rank < k], exact[rank < k]
+            told = (rank < k) & (exact <= most[a])
+            a, b, exact = a[told], b[told], exact[told]
             found.append(pd.DataFrame({key: some[key].to_numpy()[a], "match": rows[key].to_numpy()[b], "cost": exact}))
         return pd.concat(found)
 
