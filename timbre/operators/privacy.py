@@ -170,12 +170,16 @@ def leaks(outputs: DataFrame, turns: DataFrame, allowed: list[str] | None = None
     only those that pass are written out as text, counted by conversation, and compared as text.
     """
     said = outputs.withColumn("text", _without(F.col("text"), allowed)).select(key, T.privacy_tokens(F.col("text")).alias("_tokens"))
-    said = checkpointed(said.select(key, F.posexplode(T.ngrams(F.col("_tokens"), n)).alias("pos", "ngram")).where(_telling(F.col("ngram"))).withColumn("_h", F.xxhash64("ngram")))
+    said = checkpointed(said.select(key, F.posexplode(T.ngrams(F.col("_tokens"), n)).alias("pos", "ngram")).where(_telling(F.col("ngram"))).withColumn("_h", F.get(T.gram_hashes(F.split("ngram", " "), n), 0)))
     hashes = said.select("_h").distinct()
     hashes = F.broadcast(hashes) if said.count() <= FILTER_ROWS else hashes
-    tokens = turns.select(F.col(doc).alias("doc"), T.privacy_tokens(F.col("text")).alias("_tokens")).where(F.size("_tokens") >= n)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_tokens") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_tokens", i, F.lit(n)), " ")))
-    met = tokens.select("doc", "_tokens", F.posexplode(runs).alias("_at", "_h")).join(hashes, "_h", "left_semi")
+    texts = turns.select(F.col(doc).alias("doc"), "text")
+    hits = texts.select("doc", F.explode(T.gram_hashes(T.privacy_tokens(F.col("text")), n)).alias("_h")).join(hashes, "_h", "left_semi")
+    docs = checkpointed(hits.select("doc").distinct())
+    docs = F.broadcast(docs) if docs.count() <= FILTER_ROWS else docs
+    some = texts.join(docs, "doc", "left_semi")  # a conversation's tokens go along with each of its n-grams only here
+    tokens = some.select("doc", T.privacy_tokens(F.col("text")).alias("_tokens")).where(F.size("_tokens") >= n)
+    met = tokens.select("doc", "_tokens", F.posexplode(T.gram_hashes(F.col("_tokens"), n)).alias("_at", "_h")).join(hashes, "_h", "left_semi")
     found = met.select("doc", F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(n)), " ").alias("ngram")).distinct()
     rare = found.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") < k)
     return said.join(rare.select("ngram"), "ngram", "left_semi").select(key, "pos", "ngram")
