@@ -142,15 +142,36 @@ def report(anonymised: DataFrame) -> dict:
 def rare_spans(turns: DataFrame, n: int = 5, k: int = 3, doc: str = "doc_id") -> DataFrame:
     """ngram, n_docs of n-grams that fewer than k conversations have, but for those of short tokens only.
 
-    A table of one row a conversation has each n-gram of a conversation once, so rows are counted, which tasks do
-    before they shuffle; else pairs of conversation and n-gram are made distinct first.
+    Nearly all n-grams are met once, so tasks don't gather them before the one shuffle: they would hold, and spill, all
+    of theirs to join next to none. A table of one row a conversation has each n-gram of a conversation once, and
+    rows are counted; else pairs of conversation and n-gram are made distinct where the n-gram lies.
     """
     tokens = turns.select(F.col(doc).alias("doc"), T.privacy_tokens(F.col("text")).alias("_tokens"))
-    grams = tokens.select("doc", F.explode(F.array_distinct(T.ngrams(F.col("_tokens"), n))).alias("ngram"))
+    runs = tokens.select("doc", F.inline(_distinct_runs(F.col("_tokens"), n))).where(_long_token(n))
+    grams = runs.select("doc", F.concat_ws(" ", *_words(n)).alias("ngram"))
     if turns.groupBy(doc).count().where("count > 1").limit(1).count():
-        grams = grams.distinct()
-    counts = grams.groupBy("ngram").agg(F.count("*").alias("n_docs"))
-    return counts.where((F.col("n_docs") < k) & _telling(F.col("ngram")))
+        grams = grams.repartition("ngram").distinct()
+    else:
+        grams = grams.select("ngram").repartition("ngram")
+    return grams.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") < k)
+
+
+def _words(n: int) -> list[str]:
+    return [f"w{i}" for i in range(n)]
+
+
+def _distinct_runs(tokens: Column, n: int) -> Column:
+    """Each run of n tokens of a text once, as in :func:`timbre.functions.text.runs`. In the few texts that repeat a run,
+    telling runs are compared as n-grams, and stand whole in w0."""
+    whole = F.filter(F.array_distinct(T.ngrams(tokens, n)), _telling)
+    nothing = [F.lit(None).cast("string").alias(w) for w in _words(n)[1:]]
+    each = F.size(F.array_distinct(T.gram_hashes(tokens, n))) == F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    return F.when(each, T.runs(tokens, n)).otherwise(F.transform(whole, lambda g: F.struct(g.alias("w0"), *nothing)))
+
+
+def _long_token(n: int) -> Column:
+    """Whether one of a run's tokens has three letters or more."""
+    return F.greatest(*(F.length(w) for w in _words(n)), F.lit(0)) >= 3
 
 
 def _telling(ngram: Column) -> Column:
