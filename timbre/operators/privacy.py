@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbre.functions import text as T
@@ -179,6 +179,36 @@ def _telling(ngram: Column) -> Column:
     return ngram.rlike("[^ ]{3}")
 
 
+#: A class of n-grams that is counted first, of so many.
+CLASSES = 16
+
+
+def clear(turns: DataFrame, n: int = 5, k: int = 3, doc: str = "doc_id") -> DataFrame:
+    """The turns of texts without rare spans: what :func:`quotable` finds with the :func:`rare_spans` of the same turns,
+    where each has a conversation of its own.
+
+    A text with one rare span goes, so most are told by few of their n-grams. Those of one class of 64-bit hashes are
+    counted over all texts; a hash that fewer than k have stands for rare n-grams only. All n-grams of the texts that
+    are left are then looked for in all texts, and counted and compared as text: the first count decides how many
+    these are, never what is found.
+    """
+    tokens = turns.select(F.col(doc).alias("doc"), T.privacy_tokens(F.col("text")).alias("_tokens"))
+    runs = tokens.select("doc", F.inline(T.runs(F.col("_tokens"), n))).where(_long_token(n)).withColumn("_h", F.xxhash64(*_words(n)))
+    some = runs.where(F.pmod("_h", F.lit(CLASSES)) == 0).select("doc", "_h").repartition("_h").distinct()
+    gone = some.withColumn("n_docs", F.count("*").over(Window.partitionBy("_h"))).where(F.col("n_docs") < k).select("doc").distinct()
+    ids = checkpointed(turns.select(F.col(doc).alias("doc")).join(gone, "doc", "left_anti"))
+    left = F.broadcast(ids) if ids.count() <= FILTER_ROWS else ids
+    gram = F.concat_ws(" ", *_words(n)).alias("ngram")
+    said = checkpointed(runs.join(left, "doc", "left_semi").select("doc", "_h", gram).distinct())
+    hashes = checkpointed(said.select("_h").distinct())
+    hashes = F.broadcast(hashes) if hashes.count() <= FILTER_ROWS else hashes
+    met = runs.join(hashes, "_h", "left_semi").select("doc", gram).repartition("ngram").distinct()
+    rare = met.groupBy("ngram").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") < k).select("ngram")
+    bad = said.join(rare, "ngram", "left_semi").select("doc").distinct()
+    kept = checkpointed(ids.join(bad, "doc", "left_anti")).withColumnRenamed("doc", doc)
+    return turns.join(F.broadcast(kept) if kept.count() <= FILTER_ROWS else kept, doc, "left_semi")
+
+
 #: n-grams of outputs by which the corpus is filtered in memory (8 bytes each); beyond, by a shuffle.
 FILTER_ROWS = 2_000_000
 

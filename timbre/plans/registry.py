@@ -362,8 +362,7 @@ def rare_spans(spark, d):
 
 @query(f"WITH rare AS ({D.rare(5, 3)}), g AS (SELECT doc_id, unnest({D.ngrams('p', 5)}) AS ngram FROM (SELECT doc_id, {D.privacy_tokens('coalesce(text, NULL)')} AS p FROM documents)) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g JOIN rare USING (ngram))")
 def quotable(spark, d):
-    docs = documents(spark, d)
-    return privacy.quotable(docs, privacy.rare_spans(docs, 5, 3), 5, "doc_id").select("doc_id")
+    return privacy.clear(documents(spark, d), 5, 3).select("doc_id")
 
 
 @query(f"WITH rare AS ({D.rare(8, 3)}), g AS (SELECT item_id, i - 1 AS pos, l[i] AS ngram FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT item_id, {D.ngrams('p', 8)} AS l FROM (SELECT item_id, {D.privacy_tokens('text')} AS p FROM benchmark)))) SELECT item_id, pos::INT AS pos, ngram FROM g WHERE ngram IN (SELECT ngram FROM rare)")
