@@ -196,3 +196,23 @@ def test_a_join_of_few_pairs_reads_all_sets_in_many_tasks(spark):
     finally:
         jaccard.compact = own
     assert seen[0] == (16, None), seen
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=900), st.sets(st.integers(0, 2**64 - 1), max_size=60))
+@settings(max_examples=30, deadline=None)
+def test_folded_parities_bound_differences(common, own):
+    x, y = (np.array(sorted(s), np.uint64) for s in (common, common ^ own))
+    a, b = jaccard.folded(jaccard.parity(x)), jaccard.folded(jaccard.parity(y))
+    assert 8 * len(a) >= jaccard.LEAST_BITS and 2 * len(a) <= max(len(jaccard.parity(x)), jaccard.LEAST_BITS // 4)
+    assert jaccard.difference(a, b) <= jaccard.difference(jaccard.parity(x), jaccard.parity(y)) <= len(common ^ (common ^ own))
+
+
+def test_sketches_travel_for_pairs_of_like_sizes_only(spark, monkeypatch):
+    """A text that holds another one shares its tokens; sizes tell that they don't link before any sketch is fetched."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:100]), " ".join([*words, "end"]), " ".join(words[:60])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, plain = [], jaccard.screened
+    monkeypatch.setattr(jaccard, "screened", lambda pairs, *rest: met.extend(map(tuple, pairs.collect())) or plain(pairs, *rest))
+    assert {r.doc_id: r.component_id for r in jaccard.component_table(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
+    assert len(met) == 1

@@ -113,6 +113,14 @@ def difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def folded(parity: bytes) -> bytes:
+    """A parity of half as many classes, if that isn't fewer than the least: classes are halved by sums."""
+    half = len(parity) // 2
+    if 8 * half < LEAST_BITS:
+        return parity
+    return (int.from_bytes(parity[:half], "little") ^ int.from_bytes(parity[half:], "little")).to_bytes(half, "little")
+
+
 def _binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -395,13 +403,14 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     # every set of a group with its pivot, and all pairs of small groups
     pairs = groups.where("other <> node").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     pairs = compact(pairs, groups.count())
+    pairs = compact(_like_sized(pairs, nodes, percent))
     tested = compact(screened(pairs, sketches, percent))
     links = compact(verified(tested, nodes, rows, words, percent))
     roots = checkpointed(components(links))
     apart = _apart(groups.where("token is not null"), roots)
     if apart is not None:
         apart = compact(apart)
-        apart = checkpointed(apart.join(_of(apart, sketches.select("node", "n_shingles", "parity"), apart.count()), "node"))
+        apart = checkpointed(apart.join(_of(apart, halved(sketches), apart.count()), "node"))
         first = compact(block_pairs(apart, percent, every=False))
         found = screened(compact(first.where("a is not null").select("a", "b").join(tested, ["a", "b"], "left_anti")), sketches, percent)
         found = compact(found)
@@ -480,6 +489,27 @@ def _of(nodes: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     return sketches.join(_small(wanted), "node", "left_semi").dropDuplicates(["node"])
 
 
+def halved(sketches: DataFrame) -> DataFrame:
+    """``node``, ``n_shingles`` and ``parity`` with each parity folded once, but for the shortest. A set goes to as many
+    units as its group has blocks, so that what it takes along counts; pairs that only the whole parities tell apart
+    are screened by these afterwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(folded, batch.column(2).to_pylist()), pa.binary())], names=batch.schema.names)
+
+    some = sketches.select("node", "n_shingles", "parity")
+    return bounded(some).mapInArrow(run, some.schema)
+
+
+def _like_sized(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs a, b those whose sizes let them link; only numbers travel."""
+    n = pairs.count()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"))
+    both = few(few(pairs.join(side("a"), "a"), n).join(side("b"), "b"), n)
+    return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+
+
 def screened(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs a, b those that may link: whose sizes and parities let them, and that share a token under
     each further order. The longer columns travel for the pairs that the shorter ones leave."""
