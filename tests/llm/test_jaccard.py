@@ -216,3 +216,29 @@ def test_sketches_travel_for_pairs_of_like_sizes_only(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "screened", lambda pairs, *rest: met.extend(map(tuple, pairs.collect())) or plain(pairs, *rest))
     assert {r.doc_id: r.component_id for r in jaccard.component_table(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 3}
     assert len(met) == 1
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """The sets of many texts, hashed as one, are those of each text's words; only words of more than 64 bytes are hashed one by one."""
+    rng = random.Random(4)
+    alone = []
+    digest = jaccard.xxhash.xxh64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh64_intdigest", lambda data, *a: alone.append(len(data)) or digest(data, *a))
+    vocabulary = ["".join(rng.choices("abAB\u00e4\u0416\0", k=k)) for k in (1, 2, 3, 7, 8, 9, 15, 16, 17, 63) for _ in range(3)]
+    blanks = [" ", "\t", "\n", "\r\n", "\v\f", "  "]
+    texts = ["", " ", "one", "\x1c\x85", *("".join(w + rng.choice(blanks) for w in rng.choices(vocabulary, k=rng.choice((1, 4, 5, 6, 80)))) for _ in range(60))]
+    texts = [t.encode() for t in [*texts, *(t.swapcase() for t in texts[:9] if t.isascii())]]
+    short = [t for t in texts if all(len(w) <= jaccard.LONG_WORD for w in t.split())]
+    many = list(jaccard.shingles_of(short))
+    assert not alone and len(many) == len(short) > 20
+    texts.append(b"x" * 65 + b" " + b"y" * 64)
+    many = list(jaccard.shingles_of(texts))
+    assert 65 in alone and 64 not in alone
+    seen = {}
+    for text, hashes in zip(texts, many, strict=True):
+        words = [w.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for w in re.findall(rb"[^\x20\x09-\x0D]+", text)]
+        sets = {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+        assert len(hashes) == len(sets) and (np.diff(hashes.astype(object)) > 0).all()
+        assert np.array_equal(hashes, jaccard.shingle_hashes(text))
+        assert seen.setdefault(frozenset(sets), hashes.tobytes()) == hashes.tobytes()
+    assert len(set(seen.values())) == len(seen)

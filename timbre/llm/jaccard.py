@@ -54,13 +54,13 @@ _CACHE, _TOKENS = 250_000, 2_000_000
 _FAR = np.uint16(65535)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = _Hashes()
+#: Bytes of a word that are hashed eight at a time for all words of a text; longer words are hashed one by one.
+LONG_WORD = 64
+#: By byte: A-Z in lower case; whether it is part of a word (no blank and none of \\t to \\r).
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_INSIDE = np.array([not bytes([b]).isspace() for b in range(256)])
+#: What is left of eight bytes, the first one lowest, if a word ends after so many of them.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -68,20 +68,69 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once (``np.unique`` would put them into a hash table first)."""
+    hashes = np.sort(hashes)
+    return hashes[_firsts(hashes)]
+
+
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Which of sorted numbers differ from the one before."""
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return first
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in turn, A-Z as a-z, and how many there are up to each text's end. All words
+    take a step for each eight bytes that they have; words of up to eight bytes of one length never collide."""
+    text = b" ".join([b"", *texts, bytes(8)])  # a blank before each, and eight bytes to read beyond the last word
+    raw = _LOWER[np.frombuffer(text, np.uint8)]
+    inside = _INSIDE[raw]
+    inside[-8:] = False
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the eight bytes from each place on
+    out = _stepped(lengths.astype(np.uint64), eight[starts] & _MASKS[np.minimum(lengths, 8)])
+    left = np.flatnonzero(lengths > 8)
+    for at in range(8, LONG_WORD, 8):
+        out[left] = _stepped(out[left], eight[starts[left] + at] & _MASKS[np.minimum(lengths[left] - at, 8)])
+        left = left[lengths[left] > at + 8]
+    for i in left.tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + lengths[i]])
+    return out, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+
+
+def _stepped(state: np.ndarray, data: np.ndarray) -> np.ndarray:
+    return _mixed((state * np.uint64(ORDERS[1])) ^ data)
+
+
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    if len(_words) > _CACHE:
-        _words.clear()
-    tokens = text.lower().split()
-    n = len(tokens)
-    h = np.fromiter(map(_words.__getitem__, tokens), np.uint64, n)
-    width = min(words, n)
-    if not width:
-        return h
-    out = h[: n - width + 1].copy()
+    return next(shingles_of([text], words))
+
+
+def shingles_of(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
+    """:func:`shingle_hashes` of each of some texts, which are hashed as one."""
+    h, ends = word_hashes(texts)
+    many = _joined_hashes(h, words) if len(h) >= words else h
+    start = 0
+    for end in ends.tolist():
+        if end - start >= words:
+            yield _distinct(many[start : end - words + 1])
+        else:  # the whole sequence, or nothing
+            yield _joined_hashes(h[start:end], end - start) if end > start else h[:0]
+        start = end
+
+
+def _joined_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of so many of the hashes."""
+    n = len(h) - width + 1
+    out = h[:n].copy()
     for k in range(1, width):
-        out = out * np.uint64(ORDERS[0]) + h[k : n - width + 1 + k]
-    return np.unique(_mixed(out + np.uint64(width)))
+        out *= np.uint64(ORDERS[0])
+        out += h[k : n + k]
+    return _mixed(out + np.uint64(width))
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -134,13 +183,16 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.n
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def merged():
-            found, at = np.unique(np.concatenate([tokens, *waiting]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([counts, np.ones(size, np.int64)]), len(found)).astype(np.int64)
-            return found, n
+            new = np.sort(np.concatenate([np.zeros(0, np.uint64), *waiting]))
+            at = np.flatnonzero(_firsts(new))
+            both, n = np.concatenate([tokens, new[at]]), np.concatenate([counts, np.diff(at, append=len(new))])
+            order = np.argsort(both)
+            both, n = both[order], n[order]
+            at = np.flatnonzero(_firsts(both))
+            return both[at], np.add.reduceat(n, at) if len(at) else n
 
         for batch in slices(batches, 0):
-            for text in _binary(batch.column(0)):
-                hashes = shingle_hashes(text, words)
+            for hashes in shingles_of(_binary(batch.column(0)), words):
                 if len(hashes) < 2 or (key := _set_key(hashes)) in seen:
                     continue
                 if len(seen) > _CACHE:
@@ -160,7 +212,7 @@ def common_tokens(rows: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.n
         for at in range(0, len(keep), 10_000):
             k = keep[at : at + 10_000]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[k].view(np.int64)), pa.array(counts[k])], names=["token", "n"])
-        release(_words)
+        release()
 
     sums = bounded(rows.select("text")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     sums = checkpointed(sums.where(F.col("n") >= LEAST_COUNT).withColumn("size", F.floor(8 * F.log2("n"))))
@@ -202,8 +254,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
         maybe[(late >> np.uint64(42)).astype(np.int64)] = True
         for batch in slices(batches, 2):
             n, nodes, sketches, prefixes, others = [], [], [], [], []
-            for text in _binary(batch.column(2)):
-                hashes = shingle_hashes(text, words)
+            for hashes in shingles_of(_binary(batch.column(2)), words):
                 n.append(len(hashes))
                 node = _set_key(hashes) if len(hashes) else None
                 nodes.append(node)
@@ -229,7 +280,7 @@ def described(rows: DataFrame, common: np.ndarray, words: int = WORDS, percent:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.binary())], names=out.names
             )
-        release(_words)
+        release()
 
     return bounded(rows).mapInArrow(run, out)
 
@@ -362,20 +413,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
     def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             found = {}
-            for text in _binary(batch.column(0)):
-                if len(hashes := shingle_hashes(text, words)):
+            texts = _binary(batch.column(0))
+            for text, hashes in zip(texts, shingles_of(texts, words), strict=True):
+                if len(hashes):
                     found[_set_key(hashes)] = zlib.compress(text, 1)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "z"])
-        release(_words)
+        release()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             a, b, x, y = (c.to_pylist() for c in batch.columns)
             texts = {k: zlib.decompress(z) for k, z in {**dict(zip(a, x, strict=True)), **dict(zip(b, y, strict=True))}.items()}
             found = Verifier(words, percent)
+            found.known = dict(zip(texts, shingles_of(list(texts.values()), words), strict=True))
             keep = [i for i, (p, q) in enumerate(zip(a, b, strict=True)) if found.linked(p, texts[p], q, texts[q])]
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.int64()) for c in (a, b)], names=["a", "b"])
-        release(_words)
+        release()
 
     texts = some.select("text").mapInArrow(deflate, "node long, z binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     texts = checkpointed(few(texts, wanted.count(), TEXTS_A_TASK))
