@@ -17,8 +17,10 @@ from timbre.session import checkpointed
 
 #: Up to so many conversations are numbered in one task, more of them by ranges of ids: the same numbers.
 MAX_CLUSTERS = 2000
-#: Rows of sums by conversation that a bootstrap broadcasts, and draws of a task.
-BROADCAST_ROWS, TASK_DRAWS = 500_000, 2_000_000
+#: Rows of sums by conversation that a bootstrap broadcasts, draws of a task, and sums (16 bytes each) that a bootstrap broadcasts.
+BROADCAST_ROWS, TASK_DRAWS, BROADCAST_SUMS = 500_000, 2_000_000, 2_500_000
+#: Features that are drawn for at once, so that a row's columns stay few enough to be compiled.
+DRAWN_TOGETHER = 40
 NOT_FEATURES = ("doc_id", "turn_id", "speaker", "grp", "held", "reply_to", "prev_turn_id", "label")
 
 
@@ -107,8 +109,9 @@ def _at_ranks(counted: DataFrame, wanted: DataFrame, limit: int, classes: int) -
 def bootstrap_ci(values: DataFrame, draws: int = 400, seed: int = 7) -> DataFrame:
     """feature, ci_lo, ci_hi: 95 % interval of the mean, resampling whole conversations with replacement.
 
-    Sums by conversation come first, so a draw costs what conversations cost, not turns; draws are
-    MD5 numbers, as many of all conversations as there are. Fewer than three values, or no draws, give nulls.
+    Sums by conversation come first, so a draw costs what conversations cost, not turns, and a conversation's sums of all
+    features are one row, so it costs that once; draws are MD5 numbers, as many of all conversations as there are. Fewer than
+    three values, or no draws, give nulls.
     """
     by_doc = checkpointed(values.groupBy("feature", "doc_id").agg(F.sum("value").alias("s"), F.count("*").alias("c")))
     docs = by_doc.select("doc_id").distinct()
@@ -117,15 +120,23 @@ def bootstrap_ci(values: DataFrame, draws: int = 400, seed: int = 7) -> DataFram
     spark = values.sparkSession
     if not n_docs or not draws:
         return sizes.select("feature", F.lit(None).cast("double").alias("ci_lo"), F.lit(None).cast("double").alias("ci_hi"))
-    sums = by_doc.join(_numbered(docs, n_docs), "doc_id").select("feature", "cluster", "s", "c")
-    if by_doc.count() <= BROADCAST_ROWS:
-        sums = F.broadcast(sums)
+    by_doc = by_doc.join(_numbered(docs, n_docs), "doc_id")
     total = draws * n_docs
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_DRAWS))
     grid = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / n_docs).alias("b"), F.pmod("id", F.lit(n_docs)).alias("i"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long")
     picks = grid.select("b", F.pmod(number, F.lit(n_docs)).alias("cluster"))
-    means = picks.join(sums, "cluster").groupBy("feature", "b").agg((F.sum("s") / F.greatest(F.sum("c"), F.lit(1))).alias("m"))
+    names = [r.feature for r in sizes.select("feature").orderBy("feature").collect()]  # columns of a feature table
+    means = None
+    for start in range(0, len(names), DRAWN_TOGETHER):
+        some = names[start : start + DRAWN_TOGETHER]
+        of = lambda value: [F.sum(F.when(F.col("feature") == name, F.col(value))).alias(f"{value}{k}") for k, name in enumerate(some)]  # noqa: B023, E731
+        sums = by_doc.where(F.col("feature").isin(some)).groupBy("cluster").agg(*of("s"), *of("c"))
+        if n_docs <= BROADCAST_ROWS and n_docs * len(some) <= BROADCAST_SUMS:
+            sums = F.broadcast(sums)
+        drawn = picks.join(sums, "cluster").groupBy("b").agg(*((F.sum(f"s{k}") / F.greatest(F.sum(f"c{k}"), F.lit(1))).alias(f"m{k}") for k in range(len(some))))
+        part = drawn.select(F.inline(F.array(*(F.struct(F.lit(name).alias("feature"), F.col(f"m{k}").alias("m")) for k, name in enumerate(some)))))
+        means = part if means is None else means.unionByName(part)
     ends = means.groupBy("feature").agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     enough = F.col("n") >= 3
     return sizes.join(ends, "feature", "left").select("feature", F.when(enough, F.col("lo")).alias("ci_lo"), F.when(enough, F.col("hi")).alias("ci_hi"))
@@ -193,7 +204,9 @@ def cliffs_delta(values: DataFrame) -> DataFrame:
 def contrast(df: DataFrame, features: list[str] | None = None, draws: int = 400, seed: int = 7) -> DataFrame:
     """Target against reference, a row a feature: means, interval of the target's mean, presence, effect
     sizes, ``separated`` (the interval leaves out the reference's mean) and ``distinctiveness``."""
-    values = long(df, features)
+    features = features or numeric_columns(df)
+    table = checkpointed(df.select("doc_id", "grp", *(F.col(c).cast("double").alias(c) for c in features)))  # four statistics read it: none makes features again
+    values = long(table, features)
     target, reference = (values.where(F.col("grp") == g) for g in ("target", "reference"))
     stats = values.groupBy("feature").agg(
         *(f(F.when(F.col("grp") == g, x)).alias(f"{g}_{n}") for g in ("target", "reference") for f, x, n in ((F.avg, F.col("value"), "mean"), (F.avg, (F.col("value") != 0).cast("double"), "present"))),
