@@ -155,6 +155,34 @@ def test_tree_has_least_weight(spark):
     assert len(tree) == len(x) - 1 and abs(tree.w.sum() - total) < 1e-9
 
 
+def test_copies_are_one_row_and_the_largest_component_waits(spark, monkeypatch):
+    """Equal vectors are searched for once, and a round searches for rows of the smaller components only."""
+    plain, asked = neighbours.nearest, []
+
+    def counted(queries, cells, *rest, **named):
+        if "group" in named:
+            largest = cells.rows.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+            assert queries.where(F.col("comp") == largest).count() == 0
+        asked.append(queries.count())
+        return plain(queries, cells, *rest, **named)
+
+    monkeypatch.setattr(neighbours, "nearest", counted)
+    x = np.concatenate([spots(5, 60), spots(5, 60)])
+    tree = density.spanning_tree(table(spark, x), "vec_id", "embedding", graph=3, pivots=9).toPandas()
+    total = sum(w for _, _, w in plain_tree(reachability(x)))
+    assert len(tree) == len(x) - 1 and abs(tree.w.sum() - total) < 1e-9
+    assert asked[0] == len(np.unique(x, axis=0)) and len(asked) > 1
+
+
+def test_packed_vectors_and_places():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 40)) * (rng.uniform(size=(50, 40)) < np.linspace(0, 1, 50)[:, None])
+    packed = neighbours._packed(x)
+    assert (neighbours._unpacked(packed, 40) == x).all() and len(packed[0]) == 0 and max(map(len, packed)) <= 320
+    for near in (x > 1, x[:3, :7] > 0):
+        assert neighbours._hits(near).tolist() == np.flatnonzero(near).tolist()
+
+
 def test_few_rows(spark):
     x = spots(1)[:4]
     assert [r.label for r in density.clusters(table(spark, x), "vec_id", "embedding", 5).collect()] == [-1] * 4

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from timbre.operators import neighbours
 from timbre.session import checkpointed
 
-#: Neighbours by which most edges of the tree are found; edges of a part of the tree that one task folds;
-#: distances under SMALLEST count as that.
-GRAPH, DIRECT, SMALLEST = 16, 50_000, 1e-9
+#: Neighbours by which most edges of the tree are found; rows of a table of parents that is followed at once; edges of
+#: a part of the tree that one task folds; distances under SMALLEST count as that.
+GRAPH, DIRECT, FOLD, SMALLEST = 16, 50_000, 500_000, 1e-9
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -76,27 +76,40 @@ def components(nodes: DataFrame, edges: DataFrame, direct: int = DIRECT) -> Data
 def spanning_tree(rows: DataFrame, key: str, vector: str, samples: int = 3, graph: int = GRAPH, pivots: int | None = None, direct: int = DIRECT) -> DataFrame:
     """a, b, w: a minimum spanning tree of the mutual reachability distances between rows of distinct keys.
 
-    Each row's nearest neighbours are found once. In a round each component takes its least edge to another;
-    the neighbours give it, unless a row's are all nearer than that: only such rows are searched for again, among rows
-    of other components that are nearer than what is known.
+    Equal vectors are one row of several copies: no edge at a copy is shorter than its core distance, which is that of
+    its edge to the first. Each row's nearest neighbours are found once. In a round each component but the largest takes its least
+    edge to another; the neighbours give it, unless a row's are all nearer than that: only such rows are searched for
+    again, among rows of other components that are nearer than what is known. The largest waits for the others to come to it.
     """
-    cells = neighbours.built(rows, key, vector, pivots=pivots)
-    plain = rows.select(key, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    hashed = rows.select(key, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull()).withColumn("_h", F.xxhash64(vector))
+    firsts = _cut(hashed.groupBy("_h", vector).agg(F.min(key).alias(key), F.count("*").alias("copies")))
+    copies = firsts.where("copies > 1").select("_h", vector, F.col(key).alias("a"))
+    copies = _cut(hashed.join(copies, ["_h", vector]).where(F.col(key) != F.col("a")).select("a", F.col(key).alias("b")))
+    plain = firsts.select(key, vector)
+    cells = neighbours.built(plain, key, vector, pivots=pivots)
     near = _cut(neighbours.nearest(plain, cells, max(graph, samples - 1), but_itself=True))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("cost", "match"))  # at most ``graph`` rows a key
-    told = near.withColumn("i", rank).groupBy(key).agg(F.max(F.when(F.col("i") <= samples - 1, F.col("cost"))).alias("core"), F.max("cost").alias("reach"), F.count("*").alias("n"))
+    # rows nearer than a neighbour: the row's own copies and those of neighbours before it; at most ``graph`` neighbours a key
+    before = F.sum("_copies").over(Window.partitionBy(key).orderBy("cost", "match").rowsBetween(Window.unboundedPreceding, -1))
+    counted = near.join(firsts.select(F.col(key).alias("match"), F.col("copies").alias("_copies")), "match").join(firsts.select(key, "copies"), key)
+    counted = counted.withColumn("before", F.col("copies") + F.coalesce(before, F.lit(0)))
+    told = counted.groupBy(key).agg(F.max(F.when(F.col("before") < samples, F.col("cost"))).alias("core"), F.max("cost").alias("reach"), F.count("*").alias("n"))
     points = _cut(plain.join(told, key, "left").select(F.col(key).alias("node"), F.coalesce("core", F.lit(0.0)).alias("core"), F.when(F.col("n") >= graph, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")))
     core = lambda end: points.select(F.col("node").alias(end), F.col("core").alias(f"core_{end}"))
     pairs = near.select(F.least(key, "match").alias("a"), F.greatest(key, "match").alias("b"), "cost").distinct()
     known = _cut(pairs.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("cost", "core_a", "core_b").alias("w")))
-    labels, tree = _cut(points.select("node", F.col("node").alias("comp"))), None
+    tree = _cut(copies.join(points.select(F.col("node").alias("a"), F.col("core").alias("w")), "a").select("a", "b", "w"))
+    labels = _cut(points.select("node", F.col("node").alias("comp")))
     cored = neighbours.Cells(_cut(cells.rows.join(points.select(F.col("node").alias(key), "core"), key).select(*cells.rows.columns, "core")), cells.pivots, cells.radius, cells.count, key, vector)
     while True:
         of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))  # noqa: E731, B023
         crossing = lambda e: e.join(of("a"), "a").join(of("b"), "b").where("_a <> _b").select("a", "b", "w", "_a", "_b")  # noqa: E731, B023
         known = _cut(crossing(known.select("a", "b", "w")))
+        largest = labels.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).collect()
+        if not largest:
+            return tree
+        others = F.col("comp") != F.lit(largest[0]["comp"])
         asked = points.join(labels, "node").join(_taken(known).select(F.col("_a").alias("comp"), F.col("best.w").alias("most")), "comp", "left")
-        asked = _cut(asked.select("node", "comp", "core", F.coalesce("most", F.lit(float("inf"))).alias("most"), "reach").where(F.greatest("core", "reach") < F.col("most")))
+        asked = _cut(asked.select("node", "comp", "core", F.coalesce("most", F.lit(float("inf"))).alias("most"), "reach").where(others & (F.greatest("core", "reach") < F.col("most"))))
         if asked.limit(1).count():
             placed = cored.rows.join(labels.withColumnRenamed("node", key), key).select(*cored.rows.columns, "comp")
             here = neighbours.Cells(placed, cells.pivots, cells.radius, cells.count, key, vector)
@@ -104,11 +117,11 @@ def spanning_tree(rows: DataFrame, key: str, vector: str, samples: int = 3, grap
             found = neighbours.nearest(queries, here, 1, core="core", group="comp", most="most")
             more = found.select(F.least(key, "match").alias("a"), F.greatest(key, "match").alias("b"), F.col("cost").alias("w")).distinct()
             known = _cut(known.unionByName(crossing(more)).distinct())
-        taken = _cut(_taken(known))
+        taken = _cut(_taken(known).where(F.col("_a") != F.lit(largest[0]["comp"])))
         if not taken.limit(1).count():
-            return tree if tree is not None else known.select("a", "b", "w")
+            return tree
         chosen = taken.select("best.a", "best.b", "best.w").distinct()
-        tree = _cut(chosen if tree is None else tree.unionByName(chosen))
+        tree = _cut(tree.unionByName(chosen))
         to = taken.select(F.col("_a").alias("node"), F.col("best.to").alias("comp"))
         back = to.select(F.col("node").alias("comp"), F.col("comp").alias("_back"))
         parents = to.join(back, "comp", "left").select("node", F.when((F.col("_back") == F.col("node")) & (F.col("node") < F.col("comp")), F.col("node")).otherwise(F.col("comp")).alias("comp"))
@@ -133,10 +146,11 @@ def _folded(least: int):
     def fold(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         part = nodes["part"].iloc[0]
-        up = {n: n for n in nodes["node"]}
-        size = dict(zip(nodes["node"], nodes["size"].tolist(), strict=True))
-        large = {n: c for n, c in zip(nodes["node"], nodes["cluster"], strict=True) if c is not None and c == c}
-        small = {n: [n] for n in up if n not in large}
+        names = nodes["node"].tolist()
+        place = {n: i for i, n in enumerate(names)}
+        up, size = list(range(len(names))), nodes["size"].tolist()
+        large = {i: c for i, c in enumerate(nodes["cluster"]) if c is not None and c == c}
+        small = {i: [i] for i in up if i not in large}
 
         def root(n):
             while up[n] != n:
@@ -144,35 +158,46 @@ def _folded(least: int):
                 n = up[n]
             return n
 
-        for w, some in edges.sort_values("w").groupby("w", sort=True):
-            touched: dict = {}
-            for a, b in zip(some["a"], some["b"], strict=True):
-                a, b = root(a), root(b)
+        edges = edges.sort_values("w")
+        weights, starts, ends_ = edges["w"].tolist(), edges["a"].map(place).tolist(), edges["b"].map(place).tolist()
+        at = 0
+        while at < len(weights):
+            w, touched = weights[at], {}
+            while at < len(weights) and weights[at] == w:
+                a, b = root(starts[at]), root(ends_[at])
+                at += 1
                 if a == b:
                     continue
                 if size[a] < size[b]:
                     a, b = b, a
                 up[b] = a
                 size[a] += size[b]
-                touched[a] = touched.pop(a, [a]) + touched.pop(b, [b])
+                one, two = touched.pop(a, [a]), touched.pop(b, [b])
+                if len(one) < len(two):
+                    one, two = two, one
+                one.extend(two)
+                touched[a] = one
             for top, ends in touched.items():
                 bigs = sorted({large.pop(e) for e in ends if e in large})
                 if size[top] < least and not bigs:
-                    small[top] = [n for e in ends for n in small.pop(e)]
+                    lists = sorted((small.pop(e) for e in ends), key=len)
+                    for few in lists[:-1]:  # the longest takes in the others: no row moves more often than its component doubles
+                        lists[-1].extend(few)
+                    small[top] = lists[-1]
                     continue
-                cluster = bigs[0] if len(bigs) == 1 else f"{part}/{w!r}/{min(map(str, ends))}"
+                cluster = bigs[0] if len(bigs) == 1 else f"{part}/{w!r}/{min(str(names[e]) for e in ends)}"
                 if len(bigs) != 1:
-                    out.append(("born", None, float(w), cluster, None))
-                    out += [("child", None, float(w), cluster, c) for c in bigs]
+                    out.append(("born", None, w, cluster, None))
+                    out += [("child", None, w, cluster, c) for c in bigs]
                 large[top] = cluster
-                out += [("row", n, float(w), cluster, None) for e in ends for n in small.pop(e, [])]
+                out += [("row", names[n], w, cluster, None) for e in ends for n in small.pop(e, [])]
         out += [("last", None, None, c, str(part)) for c in large.values()]
         return pd.DataFrame(out, columns=["kind", "node", "w", "cluster", "child"])
 
     return fold
 
 
-def condensed(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRECT) -> tuple[DataFrame, list]:
+def condensed(points: DataFrame, tree: DataFrame, least: int, direct: int = FOLD) -> tuple[DataFrame, list]:
     """(node, w, cluster: the distance at which a row joins a large component, and which; events: kind, w, cluster, child).
 
     ``points``: node. A tree of more than ``direct`` edges is parted at the median weight: its light edges'
@@ -199,7 +224,7 @@ def condensed(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRE
         place = lambda end: F.struct("part", F.col(end).alias("node"))  # noqa: E731  (a component of several nodes has an id in two parts)
         split = _cut(edges.join(cut, "part").select("part", "a", "b", "w", light.alias("light"), place("a").alias("at"), place("b").alias("to")))
         mine = _cut(nodes.join(cut.select("part"), "part").withColumn("at", place("node")))
-        found = _cut(components(mine.select(F.col("at").alias("node")), split.where("light").select(F.col("at").alias("a"), F.col("to").alias("b")), direct))
+        found = _cut(components(mine.select(F.col("at").alias("node")), split.where("light").select(F.col("at").alias("a"), F.col("to").alias("b")), min(direct, DIRECT)))
         placed = _cut(mine.join(found.select(F.col("node").alias("at"), "comp"), "at"))
         sums = placed.groupBy("part", "comp").agg(F.sum("size").alias("size"), F.count("cluster").alias("bigs"), F.max("cluster").alias("one"), F.count("*").alias("n"))
         # a single large node stays what it is; a part of several is named, and tells its last large component later
@@ -228,7 +253,7 @@ def _spread(rows: list[DataFrame], maps: list[DataFrame]) -> DataFrame:
     return done
 
 
-def labels(points: DataFrame, tree: DataFrame, least: int, direct: int = DIRECT) -> DataFrame:
+def labels(points: DataFrame, tree: DataFrame, least: int, direct: int = FOLD) -> DataFrame:
     """node, label: clusters from 0, the largest first (ties: the one of the least node), and -1 for noise."""
     joined, events = condensed(points, tree, least, direct)
     names = {e.child: e.cluster for e in events if e.kind == "last"}
@@ -279,9 +304,9 @@ def _chosen(made: dict[str, float], parent: dict[str, str], sums: dict[str, tupl
     return out
 
 
-def clusters(rows: DataFrame, key: str, vector: str, least: int, samples: int = 3, graph: int = GRAPH, direct: int = DIRECT, pivots: int | None = None) -> DataFrame:
+def clusters(rows: DataFrame, key: str, vector: str, least: int, samples: int = 3, graph: int = GRAPH, direct: int = DIRECT, pivots: int | None = None, fold: int = FOLD) -> DataFrame:
     """key, label of all rows with a vector; keys are distinct. Fewer than ``least`` rows are all noise."""
     tree = spanning_tree(rows, key, vector, samples, graph, pivots, direct)
     points = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("node"))
-    return labels(_cut(points), tree, least, direct).select(F.col("node").alias(key), "label")
+    return labels(_cut(points), tree, least, fold).select(F.col("node").alias(key), "label")
 

@@ -10,7 +10,8 @@ Cells that lie by each other form groups, and a query goes once to each group th
 skipped, a query is copied as often as there are groups (about :data:`GROUPS`, until a group is as large as a tile may be),
 not as there are cells. Queries and rows of a group meet in tiles: rows are dealt into parts by key and copied for
 each part of the queries, and the other way round, so a group or a set of queries of any size is spread over tasks and no
-task holds more than a tile. Tiles are compared in single precision first; what its rounding can't rule out is
+task holds more than a tile. Vectors travel packed, those of few numbers other than zero as these alone. A tile is gone
+through in blocks of products in single precision; what its rounding can't rule out against the best known so far is
 compared in double precision. Nothing but pivots, radii and counts of cells reaches the driver.
 """
 
@@ -29,8 +30,10 @@ from timbre.session import checkpointed
 
 #: Most pivots (each as long as a vector; they are broadcast), least rows of a tile's side, queries compared at once.
 PIVOTS, TILE, SLICE = 4096, 4096, 256
-#: Groups of cells that are aimed at, most bytes of the vectors of a tile's side, products held at once.
-GROUPS, TILE_BYTES, HELD = 8, 32 << 20, 1 << 21
+#: Groups of cells that are aimed at, most bytes of the vectors of a tile's side, products held at once, rows in a block of them.
+GROUPS, TILE_BYTES, HELD, BLOCK = 8, 64 << 20, 1 << 20, 2048
+#: A packed vector's number and its place.
+ENTRY = np.dtype([("i", "<u2"), ("v", "<f8")])
 #: Bounds are loosened by this share of the numbers they are made of, which is far above what rounding takes.
 SLACK = 1e-9
 PRODUCT, DISTANCE = "product", "distance"
@@ -64,6 +67,38 @@ class Cells:
         return out
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """A row's bytes: its numbers, or its entries other than zero where that is shorter."""
+    size = (x != 0).sum(axis=1)
+    sparse = size * ENTRY.itemsize < x.shape[1] * 8 if x.shape[1] <= 1 << 16 else np.zeros(len(x), bool)
+    a, b = np.nonzero((x != 0) & sparse[:, None])
+    entries = np.empty(len(a), ENTRY)
+    entries["i"], entries["v"] = b, x[a, b]
+    told, ends = entries.tobytes(), np.cumsum(size * sparse) * ENTRY.itemsize
+    return [told[end - n * ENTRY.itemsize : end] if few else row.tobytes() for row, few, n, end in zip(x, sparse.tolist(), size.tolist(), ends.tolist(), strict=True)]
+
+
+def _unpacked(column: pd.Series, dim: int) -> np.ndarray:
+    rows = list(column)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    x, full = np.zeros((len(rows), dim)), size == 8 * dim
+    if full.any() and dim:
+        x[full] = np.frombuffer(b"".join(r for r, f in zip(rows, full, strict=True) if f), "<f8").reshape(-1, dim)
+    if not full.all():
+        entries = np.frombuffer(b"".join(r for r, f in zip(rows, full, strict=True) if not f), ENTRY)
+        x[np.repeat(np.flatnonzero(~full), size[~full] // ENTRY.itemsize), entries["i"]] = entries["v"]
+    return x
+
+
+def _hits(near: np.ndarray) -> np.ndarray:
+    """The flat places of what is true, which is rare: eight at a time."""
+    flat = near.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    words = np.flatnonzero(flat.view(np.uint64))
+    return (words[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[words]]
+
+
 def built(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), pivots: int | None = None) -> Cells:
     """The cells of ``rows``: their keys, vectors (arrays of doubles without nulls) and the columns to keep.
     Rows without a vector play no part."""
@@ -73,7 +108,7 @@ def built(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), pi
     drawn = rows.select(F.xxhash64(F.col(key).cast("string")).alias("h"), vector).orderBy("h", vector).limit(pivots).collect()  # at most PIVOTS rows
     centres = np.unique(np.array([r[1] for r in drawn], np.float64), axis=0) if drawn else np.zeros((0, 0))
     shared = rows.sparkSession.sparkContext.broadcast(centres)
-    out = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), *rows.schema.fields])
+    out = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()), *_packing(rows, vector)])
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -82,6 +117,7 @@ def built(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), pi
                 cell = np.concatenate([_squares(x[i : i + SLICE], shared.value).argmin(axis=1) for i in range(0, len(x), SLICE)])
                 pdf.insert(0, "away", np.sqrt(((x - shared.value[cell]) ** 2).sum(axis=1)))
                 pdf.insert(0, "cell", cell.astype(np.int32))
+                pdf[vector] = _packed(x)
                 yield pdf
 
     placed = checkpointed(rows.mapInPandas(assign, out))
@@ -91,6 +127,10 @@ def built(rows: DataFrame, key: str, vector: str, keep: tuple[str, ...] = (), pi
     return Cells(placed.drop("away"), centres, radius, count, key, vector)
 
 
+def _packing(rows: DataFrame, vector: str) -> list[T.StructField]:
+    return [T.StructField(vector, T.BinaryType()) if f.name == vector else f for f in rows.schema.fields]
+
+
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(axis=1)[:, None] - 2 * (a @ b.T) + (b**2).sum(axis=1), 0)
 
@@ -125,17 +165,26 @@ def nearest(queries: DataFrame, cells: Cells, k: int = 1, metric: str = DISTANCE
     key, vector = cells.key, cells.vector
     extra = [c for c in (core, group) if c]
     queries = queries.select(key, F.col(vector).cast("array<double>").alias(vector), *extra, (F.col(most).cast("double") if most else F.lit(float("inf"))).alias("_most")).where(F.col(vector).isNotNull())
-    queries = checkpointed(queries)
     if not len(cells.pivots):
         none = queries.select(key, F.col(key).alias("match"), F.lit(0.0).alias("cost"))
         return none.where("false")
-    bound, group_of = _floor(cells, metric), cells.group
+    bound, group_of, dim = _floor(cells, metric), cells.group, cells.pivots.shape[1]
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                x = np.stack(pdf[vector].to_numpy())
+                if x.shape[1] != dim:
+                    raise ValueError(f"vectors of {x.shape[1]} and of {dim} numbers")
+                pdf[vector] = _packed(x)
+                yield pdf
+
+    queries = checkpointed(queries.mapInPandas(pack, T.StructType(_packing(queries, vector))))
     asking = T.StructType([*queries.schema.fields, T.StructField("_groups", T.ArrayType(T.IntegerType()))])
     cores = core and _least_core(cells, core)
 
     def floors(pdf: pd.DataFrame) -> np.ndarray:
-        x = np.stack(pdf[vector].to_numpy())
-        floor = bound(x)
+        floor = bound(_unpacked(pdf[vector], dim))
         if core:
             floor = np.maximum(floor, np.maximum(pdf[core].to_numpy()[:, None], cores))
         return np.where(floor <= pdf["_most"].to_numpy()[:, None], floor, np.inf)
@@ -205,66 +254,72 @@ def _met(asked: DataFrame, cells: Cells, k: int, metric: str, but_itself: bool,
     of = asked.schema[key]
     out = T.StructType([of, T.StructField("match", cells.rows.schema[key].dataType), T.StructField("cost", T.DoubleType())])
 
+    dim = cells.pivots.shape[1]
+
     def compare(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(rows):
             return pd.DataFrame({key: [], "match": [], "cost": []})
         rows = rows.sort_values(key)
-        x, found = np.stack(rows.pop(vector).to_numpy()), []
-        lengths = np.sqrt((x**2).sum(axis=1))
-        longest = lengths.max()
-        coarse, squares = x.astype(np.float32), (lengths**2).astype(np.float32)
-        # whether single precision can hold what is compared, and its rounding's share of the sizes, from above
-        plain = longest < 1e15 and not core
-        share = (x.shape[1] + 8) * 2.0**-23
-        step = max(1, min(SLICE, HELD // len(x)))
-        for i in range(0, len(asked), step):
-            some = asked.iloc[i : i + step]
-            q = np.stack(some[vector].to_numpy())
-            length, most = np.sqrt((q**2).sum(axis=1)), some["_most"].to_numpy()
-            single = plain and length.max() < 1e15
-            if single:  # squares of distances, without the query's own, or negative products
-                cost = q.astype(np.float32) @ coarse.T
-                cost *= -1 if metric == PRODUCT else -2
-                if metric != PRODUCT:
-                    cost += squares
-                loose = share * (length * longest if metric == PRODUCT else (length + longest) ** 2)
-            else:
-                cost = -(q @ x.T) if metric == PRODUCT else np.sqrt(_squares(q, x))
-                size = length * longest
-                loose = SLACK * size + (np.sqrt(SLACK) * (length + longest) if metric == DISTANCE else 0)
-            if core:
-                cost = np.maximum(cost, np.maximum(some[core].to_numpy()[:, None], rows[core].to_numpy()))
-            if group:
-                cost[some[group].to_numpy()[:, None] == rows[group].to_numpy()] = np.inf
+        x, keys, found = _unpacked(rows.pop(vector), dim), rows[key].to_numpy(), []
+        squares = (x**2).sum(axis=1)
+        longest = np.sqrt(squares.max())
+        # products with this are squares of distances, without the query's own, or negative products
+        sides = {np.float64: x if metric == PRODUCT else np.column_stack([x, squares])}
+        if longest < 1e15:
+            sides[np.float32] = sides[np.float64].astype(np.float32)
+        cores, groups = core and rows[core].to_numpy(), group and rows[group].to_numpy()
+        for i in range(0, len(asked), HELD // BLOCK):
+            some = asked.iloc[i : i + HELD // BLOCK]
+            q, own, limit = _unpacked(some[vector], dim), some[key].to_numpy(), some["_most"].to_numpy().astype(np.float64)
+            length = np.sqrt((q**2).sum(axis=1))
+            kind = np.float32 if np.float32 in sides and length.max() < 1e15 else np.float64
+            share = (dim + 8) * 2.0 ** (-23 if kind == np.float32 else -52)  # of the sizes: its rounding, from above
+            loose = share * (length * longest if metric == PRODUCT else (length + longest) ** 2)
+            left = (-q if metric == PRODUCT else np.column_stack([-2 * q, np.ones(len(q))])).astype(kind)
             if but_itself:
-                own = some[key].to_numpy()
-                place = np.minimum(np.searchsorted(rows[key].to_numpy(), own), len(x) - 1)
-                same = np.flatnonzero(rows[key].to_numpy()[place] == own)
-                for a in same:
-                    b = place[a]
-                    while b < len(x) and rows[key].to_numpy()[b] == own[a]:
-                        cost[a, b] = np.inf
-                        b += 1
-            n = min(k, cost.shape[1])
-            kth = (cost.min(axis=1) if n == 1 else np.partition(cost, n - 1, axis=1)[:, n - 1]).astype(np.float64)
-            limit = most**2 - length**2 if single and metric == DISTANCE else most
-            far = np.minimum(kth, limit) + 2 * loose
-            near = cost <= (np.nextafter(far.astype(np.float32), np.float32(np.inf)) if single else far)[:, None]
-            a, b = np.nonzero(near)
-            there = np.isfinite(cost[a, b])
-            a, b = a[there], b[there]
-            exact = np.empty(len(a))  # costs of what may be among the k, the same for equal vectors whatever the tile
-            for s in range(0, len(a), 65_536):
-                u, v = q[a[s : s + 65_536]], x[b[s : s + 65_536]]
-                exact[s : s + 65_536] = -(u * v).sum(axis=1) if metric == PRODUCT else np.sqrt(((u - v) ** 2).sum(axis=1))
-            if core:
-                exact = np.maximum(exact, np.maximum(some[core].to_numpy()[a], rows[core].to_numpy()[b]))
-            order = np.lexsort((b, exact, a))
-            a, b, exact = a[order], b[order], exact[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            told = (rank < k) & (exact <= most[a])
-            a, b, exact = a[told], b[told], exact[told]
-            found.append(pd.DataFrame({key: some[key].to_numpy()[a], "match": rows[key].to_numpy()[b], "cost": exact}))
+                low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+                same = np.repeat(np.arange(len(q)), high - low)
+                at = np.arange(len(same)) - np.repeat(np.cumsum(high - low) - high, high - low)
+
+            def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                """Costs in double precision, the same for equal vectors whatever the tile."""
+                cost, step = np.empty(len(a)), max(1, HELD // max(1, dim))  # noqa: B023
+                for s in range(0, len(a), step):
+                    u, v = q[a[s : s + step]], x[b[s : s + step]]  # noqa: B023
+                    cost[s : s + step] = -(u * v).sum(axis=1) if metric == PRODUCT else np.sqrt(((u - v) ** 2).sum(axis=1))
+                return np.maximum(cost, np.maximum(some[core].to_numpy()[a], cores[b])) if core else cost  # noqa: B023
+
+            best, waiting, due = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)], [], 1
+            for number, s in enumerate(range(0, len(x), BLOCK)):
+                cost = left @ sides[kind][s : s + BLOCK].T
+                if group:
+                    cost[some[group].to_numpy()[:, None] == groups[s : s + BLOCK]] = np.inf
+                if but_itself:
+                    here = (at >= s) & (at < s + BLOCK)
+                    cost[same[here], at[here] - s] = np.inf
+                if number == 0 and cost.shape[1] >= k and np.isinf(limit).any():  # any k rows bound the cost of the k-th
+                    some_k = cost.argmin(axis=1)[:, None] if k == 1 else np.argpartition(cost, k - 1, axis=1)[:, :k]
+                    there = np.isfinite(np.take_along_axis(cost, some_k, axis=1)).all(axis=1)
+                    a = np.flatnonzero(there)
+                    limit[a] = np.minimum(limit[a], exact(np.repeat(a, k), some_k[a].ravel()).reshape(-1, k).max(axis=1))
+                far = (limit if metric == PRODUCT else limit**2 - length**2) + 2 * loose
+                near = cost <= (np.nextafter(far.astype(np.float32), np.float32(np.inf)) if kind == np.float32 else far)[:, None]
+                a, b = np.divmod(_hits(near), cost.shape[1])
+                there = np.isfinite(cost[a, b])
+                a, b = a[there], b[there] + s
+                true = exact(a, b)
+                told = true <= limit[a]
+                waiting.append((a[told], b[told], true[told]))
+                if number + 1 < due and sum(len(w[0]) for w in waiting) < HELD and s + BLOCK < len(x):
+                    continue
+                due = 2 * (number + 1)
+                a, b, true = (np.concatenate(c) for c in zip(best, *waiting, strict=True))
+                order = np.lexsort((b, true, a))
+                a, b, true = a[order], b[order], true[order]
+                rank, waiting = np.arange(len(a)) - np.searchsorted(a, a), []
+                limit[a[rank == k - 1]] = np.minimum(limit[a[rank == k - 1]], true[rank == k - 1])
+                best = [c[rank < k] for c in (a, b, true)]
+            found.append(pd.DataFrame({key: own[best[0]], "match": keys[best[1]], "cost": best[2]}))
         return pd.concat(found)
 
     return sides[0].cogroup(sides[1]).applyInPandas(compare, out)
