@@ -183,6 +183,22 @@ def test_packed_vectors_and_places():
         assert neighbours._hits(near).tolist() == np.flatnonzero(near).tolist()
 
 
+def test_large_least_folds_in_time():
+    """A component that grows row by row to a great least size (a sixtieth of all rows for situations) isn't copied a merge."""
+    import time
+
+    import pandas as pd
+
+    n = 100_000
+    nodes = pd.DataFrame({"part": "t", "node": range(n), "size": 1, "cluster": None})
+    edges = pd.DataFrame({"a": range(n - 1), "b": range(1, n), "w": np.arange(1.0, n)})
+    start = time.perf_counter()
+    out = density._folded(n // 2)(nodes, edges)
+    assert time.perf_counter() - start < 15
+    rows = out[out.kind == "row"].sort_values("node")
+    assert rows.node.tolist() == list(range(n)) and rows.w.tolist() == [max(float(i), n // 2 - 1.0) for i in range(n)]
+
+
 def test_few_rows(spark):
     x = spots(1)[:4]
     assert [r.label for r in density.clusters(table(spark, x), "vec_id", "embedding", 5).collect()] == [-1] * 4
